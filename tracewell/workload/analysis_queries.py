@@ -351,10 +351,10 @@ WITH s AS (
          CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders
 ), b AS (
   SELECT database_id, file_id, count(*) AS num_of_reads, CAST(sum(cents) AS BIGINT) AS io_stall
-  FROM s WHERE ordered < TIMESTAMP '1995-01-01' GROUP BY ALL
+  FROM s WHERE ordered < TIMESTAMP '1997-01-01' GROUP BY ALL
 ), c AS (
   SELECT database_id, file_id, count(*) AS num_of_reads, CAST(sum(cents) AS BIGINT) AS io_stall
-  FROM s WHERE ordered < TIMESTAMP '1997-01-01' GROUP BY ALL
+  FROM s WHERE ordered < TIMESTAMP '1999-01-01' GROUP BY ALL
 )
 SELECT c.database_id, c.file_id, c.num_of_reads - b.num_of_reads AS num_of_reads_in_interval,
        c.io_stall - b.io_stall AS io_stall_in_interval
@@ -377,7 +377,7 @@ def snapshot_delta(spark, sf_dir):
         )
 
     return monitoring.snapshot_delta(
-        totals("1995-01-01"), totals("1997-01-01"), ["database_id", "file_id"], ["num_of_reads", "io_stall"]
+        totals("1997-01-01"), totals("1999-01-01"), ["database_id", "file_id"], ["num_of_reads", "io_stall"]
     )
 
 
