@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _named(nodes: Column, name: str) -> Column:
     """Value of the first node called ``name``; NULL when there is none."""
-    return F.get(F.filter(nodes, lambda n: n["_name"] == name), 0)["value"]
+    return F.get(nodes["value"], (F.array_position(nodes["_name"], name) - 1).cast("int"))
 
 
 def data_value(name: str, event: str = "event") -> Column:

@@ -36,4 +36,4 @@ def assign_epoch(
 
 def rank_epochs(df: DataFrame, epoch: str = "epoch", out: str = "session_history_rank") -> DataFrame:
     """Distinct epochs, newest first, with their dense rank."""
-    return df.select(epoch).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(F.desc(epoch))))
+    return df.select(epoch).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(F.desc(epoch))).cast("long"))

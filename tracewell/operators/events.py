@@ -1,4 +1,4 @@
-"""Split trace events into logins and statements, and project each to its columns."""
+"""Flat trace events, split into logins and statements."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.fields import action_value, data_value
 from tracewell.functions.text import text_to_utf16_hex, utf16_hex_to_text
-from tracewell.model import LOGIN_EVENT, LOGIN_PAYLOAD, MIN_USER_SESSION, NO_DATABASE
+from tracewell.model import LOGIN_EVENT, LOGIN_PAYLOAD, METRICS, MIN_USER_SESSION, NO_DATABASE
 
+LOGIN, STATEMENT, UNREADABLE = "login", "statement", "unreadable"
 
-def login_events(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("event_name") == LOGIN_EVENT)
+STATEMENT_COLUMNS = ["server_principal_name", "session_id", "database_name", "statement", *METRICS]
 
 
-def statement_events(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("event_name") != LOGIN_EVENT)
+def event_class(name: str = "event_name"):
+    return (
+        F.when(F.col(name).isNull(), UNREADABLE).when(F.col(name) == LOGIN_EVENT, LOGIN).otherwise(STATEMENT)
+    )
 
 
 def user_activity(df: DataFrame, session: str = "session_id", is_system: str | None = None) -> DataFrame:
@@ -24,20 +26,26 @@ def user_activity(df: DataFrame, session: str = "session_id", is_system: str | N
     return df.where(~F.col(is_system)) if is_system else df
 
 
-def extract_statements(
+def flatten_events(
     parsed: DataFrame, missing_database: str = NO_DATABASE, writes_from_cpu_time: bool = False
 ) -> DataFrame:
-    """Project statement events to the audit columns; a node that is missing or not a number gives NULL."""
+    """Replace the nodes of an event by typed columns and its class.
+
+    A node that is missing or not a number gives NULL. Flat columns are what later readers prune: the summary
+    of an as-of join, for one, reads three of them and never the statement text.
+    """
 
     def number(name: str):
         return data_value(name).try_cast("long")
 
-    kept = [c for c in parsed.columns if c not in ("event", "event_name")]
-    return statement_events(parsed).select(
+    kept = [c for c in parsed.columns if c != "event"]
+    is_statement = event_class() == STATEMENT
+    return parsed.select(
         *kept,
+        event_class().alias("event_class"),
         action_value("server_principal_name").alias("server_principal_name"),
         action_value("session_id").try_cast("int").alias("session_id"),
-        F.coalesce(action_value("database_name"), F.lit(missing_database)).alias("database_name"),
+        F.when(is_statement, F.coalesce(action_value("database_name"), F.lit(missing_database))).alias("database_name"),
         data_value("statement").alias("statement"),
         number("duration").alias("dur_micro_sec"),
         number("cpu_time").alias("cpu_time"),
@@ -45,16 +53,28 @@ def extract_statements(
         number("cpu_time" if writes_from_cpu_time else "writes").alias("writes"),
         number("row_count").alias("row_count"),
         number("physical_reads").alias("physical_reads"),
+        data_value("user_data").alias("user_data"),
     )
 
 
-def _decoded(parsed: DataFrame) -> DataFrame:
+def extract_statements(flat: DataFrame) -> DataFrame:
+    """Statement events with their audit columns."""
+    dropped = ("event_class", "event_name", "user_data")
+    return flat.where(F.col("event_class") == STATEMENT).select(*[c for c in flat.columns if c not in dropped])
+
+
+def unreadable_events(flat: DataFrame) -> DataFrame:
+    """Events whose XML could not be read."""
+    return flat.where(F.col("event_class") == UNREADABLE).select("file_name", "file_offset")
+
+
+def _decoded(flat: DataFrame) -> DataFrame:
     """Logins with one row per payload element; an unreadable payload keeps its row, with NULLs."""
-    kept = [c for c in parsed.columns if c not in ("event", "event_name")]
+    dropped = {"event_class", "event_name", "user_data", *STATEMENT_COLUMNS}
+    kept = [c for c in flat.columns if c not in dropped]
     return (
-        login_events(parsed)
-        .withColumn("user_data", data_value("user_data"))
-        .withColumn("payload", utf16_hex_to_text("user_data"))
+        flat.where(F.col("event_class") == LOGIN)
+        .select(*kept, "user_data", utf16_hex_to_text("user_data").alias("payload"))
         .withColumn("items", F.from_json("payload", LOGIN_PAYLOAD))
         .withColumn("item", F.explode_outer("items"))
         .select(
@@ -70,28 +90,25 @@ def _decoded(parsed: DataFrame) -> DataFrame:
     )
 
 
-
 def _usable():
     return F.col("login_name").isNotNull() & F.col("session_id").isNotNull()
 
 
-def decode_logins(parsed: DataFrame) -> DataFrame:
+def decode_logins(flat: DataFrame) -> DataFrame:
     """Who logged in, from where and with which program: hex, then UTF-16LE text, then a JSON array."""
-    return _decoded(parsed).where(_usable()).drop("user_data", "payload").distinct()
+    return _decoded(flat).where(_usable()).drop("user_data", "payload").distinct()
 
 
-def quarantined_logins(parsed: DataFrame) -> DataFrame:
+def quarantined_logins(flat: DataFrame) -> DataFrame:
     """Login events that name no login or session, with the step that failed."""
     reason = (
         F.when(F.col("user_data").isNull(), "no payload")
         .when(F.col("payload").isNull(), "not UTF-16LE hex")
-        .when(
-            F.coalesce("login_name", F.col("session_id").cast("string")).isNull(), "not a JSON login"
-        )
+        .when(F.coalesce("login_name", F.col("session_id").cast("string")).isNull(), "not a JSON login")
         .otherwise("login or session missing")
     )
     return (
-        _decoded(parsed)
+        _decoded(flat)
         .where(~_usable())
         .select("file_name", "event_sequence", "event_time", "user_data", reason.alias("reason"))
     )

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from tracewell.model import FULL_AUDIT, LIVE_SESSIONS, AuditConfig
 from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch
-from tracewell.operators.events import decode_logins, extract_statements, quarantined_logins
+from tracewell.operators.events import (
+    decode_logins,
+    extract_statements,
+    flatten_events,
+    quarantined_logins,
+    unreadable_events,
+)
 from tracewell.session import materialise
-from tracewell.sources.trace import parse_trace_events, unreadable_events
+from tracewell.sources.trace import parse_trace_events
 
 AUDIT_KEY = ["event_time", "epoch", "event_sequence"]
 LOGIN_KEY = ["session_id", "epoch", "event_sequence"]
@@ -29,21 +35,23 @@ class AuditBatch:
 def audit_batch(raw: DataFrame, live_sessions: DataFrame | None = None, config: AuditConfig = AuditConfig()) -> AuditBatch:
     """Parse, date and split the events, then attribute each statement.
 
-    The parsed events are written once: logins, statements and their summary all read them, and XML is by
-    far the dearest step.
+    The events are parsed once, flattened, and written by class: logins and statements are then read from
+    folders of their own, and readers that need only the keys read only those columns.
     """
     if live_sessions is None:
         live_sessions = raw.sparkSession.createDataFrame([], LIVE_SESSIONS)
-    parsed = materialise(parse_trace_events(raw), "parsed")
-    dated = assign_epoch(parsed, initial=config.initial_epoch)
+    flat = flatten_events(parse_trace_events(raw), config.missing_database, config.writes_from_cpu_time)
+    flat = materialise(flat, "events", partition_by="event_class")
+    dated = assign_epoch(flat, initial=config.initial_epoch)
     logins = decode_logins(dated)
-    statements = extract_statements(dated, config.missing_database, config.writes_from_cpu_time)
-    attributed = attribute_with_fallback(statements, logins, live_sessions, config.bucket_rows, drop_repeats=True)
+    attributed = attribute_with_fallback(
+        extract_statements(dated), logins, live_sessions, config.bucket_rows, drop_repeats=True
+    )
     return AuditBatch(
         audit=attributed,
         logins=logins,
         quarantine=quarantined_logins(dated),
-        unreadable=unreadable_events(parsed),
+        unreadable=unreadable_events(flat),
     )
 
 

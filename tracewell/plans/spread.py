@@ -1,0 +1,14 @@
+"""Give dear per-row work enough tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer partitions than there are cores; a larger one is left as it is.
+
+    Meant for plans without a shuffle, whose number of partitions is known before anything runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -53,11 +53,13 @@ def not_stored(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(stored.select(*keys), keys, "left_anti")
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], partition_by: str | None = None) -> None:
+def append_new(
+    df: DataFrame, path: str, keys: list[str], partition_by: str | None = None, rebalance: bool = False
+) -> None:
     """Append the rows of ``df`` whose key is not in the table at ``path``.
 
     With ``partition_by``, equal keys must fall in equal partitions; then only the partitions that ``df``
-    touches are read.
+    touches are read. ``rebalance`` gathers small batches into few files per partition and splits large ones.
     """
     spark = df.sparkSession
     if has_data(spark, path):
@@ -67,6 +69,8 @@ def append_new(df: DataFrame, path: str, keys: list[str], partition_by: str | No
             if len(touched) <= MAX_PRUNING_DATES:
                 stored = stored.where(F.col(partition_by).isin([t for t in touched if t is not None]))
         df = not_stored(df, stored, keys)
+    if rebalance:
+        df = df.hint("rebalance", partition_by) if partition_by else df.hint("rebalance")
     writer = df.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -24,15 +24,13 @@ def _shaped(df: DataFrame, *kept: str) -> DataFrame:
 def parse_trace_events(raw: DataFrame, text: str = "event_data") -> DataFrame:
     """One ``from_xml`` per event; name, sequence and time become columns, the nodes stay in ``event``.
 
-    XML that cannot be read gives NULLs in every field; see :func:`unreadable_events`.
+    XML that cannot be read gives NULLs in every field.
     """
     kept = [c for c in raw.columns if c != text]
-    options = {"ignoreSurroundingSpaces": "false"}
-    return _shaped(raw.withColumn("event", F.from_xml(F.col(text), EVENT_XML, options)), *kept)
-
-
-def unreadable_events(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("event_name").isNull()).drop("event")
+    event = F.from_xml(F.col(text), EVENT_XML, {"ignoreSurroundingSpaces": "false"})
+    # As the output of a generator the event is parsed once: filters on its fields are not pushed below it,
+    # where they would parse the text a second time.
+    return _shaped(raw.select(*kept, F.explode(F.array(event)).alias("event")), *kept)
 
 
 def read_raw_events(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

@@ -22,7 +22,7 @@ from tracewell.functions.times import display_time
 from tracewell.model import CHECKPOINT, CONNECTIONS, EVENT_XML, FULL_AUDIT, LIVE_SESSIONS, RAW_EVENT, AuditConfig
 from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch, trace_starts
-from tracewell.operators.events import decode_logins, extract_statements, quarantined_logins
+from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
 from tracewell.operators.lifecycle import prune_connections
 from tracewell.plans.audit import AUDIT_KEY
 from tracewell.session import materialise
@@ -104,9 +104,10 @@ class AuditStore:
         if live_sessions is None:
             live_sessions = spark.createDataFrame([], LIVE_SESSIONS)
 
+        flat = flatten_events(parsed, self.config.missing_database, self.config.writes_from_cpu_time)
         events_path = f"{self._at('events')}/batch_id={batch_id}"
-        parsed.write.mode("overwrite").parquet(events_path)
-        events = spark.read.schema(parsed.schema).parquet(events_path)
+        flat.write.mode("overwrite").partitionBy("event_class").parquet(events_path)
+        events = spark.read.schema(flat.schema).parquet(events_path)
 
         span = events.agg(F.min("file_name").alias("first"), F.max("file_name").alias("last")).first()
         if span is None or span["first"] is None:
@@ -134,7 +135,7 @@ class AuditStore:
             own = assign_epoch(own, starts, self.config.initial_epoch).select(*CONNECTIONS.names)
             logins = self.state(spark, "login_state", CONNECTIONS, batch_id).unionByName(own)
             fresh = self._attributed(dated, logins, live_sessions)
-            tables.append_new(fresh, self._at("audit"), AUDIT_KEY, partition_by="event_date")
+            tables.append_new(fresh, self._at("audit"), AUDIT_KEY, partition_by="event_date", rebalance=True)
             state = prune_connections(logins)
         self._save_state(state, "login_state", batch_id)
 
@@ -146,9 +147,10 @@ class AuditStore:
         self._drop_old_state(spark, batch_id)
 
     def _attributed(self, dated: DataFrame, logins: DataFrame, live_sessions: DataFrame) -> DataFrame:
-        config = self.config
-        statements = extract_statements(dated, config.missing_database, config.writes_from_cpu_time)
-        out = attribute_with_fallback(statements, logins, live_sessions, config.bucket_rows, drop_repeats=True)
+        statements = extract_statements(dated)
+        out = attribute_with_fallback(
+            statements, logins, live_sessions, self.config.bucket_rows, drop_repeats=True
+        )
         event_date = F.to_date(display_time("event_time", "UTC")).alias("event_date")
         return out.select("file_name", *FULL_AUDIT.names, "source", event_date)
 

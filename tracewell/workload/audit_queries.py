@@ -108,8 +108,8 @@ FROM projected
 """,
 )
 def xml_statement_projection(spark, sf_dir):
-    parsed = source.parse_trace_events(tv.raw_trace(tv.trace(spark, sf_dir)))
-    out = events.extract_statements(parsed)
+    flat = events.flatten_events(source.parse_trace_events(tv.raw_trace(tv.trace(spark, sf_dir))))
+    out = events.extract_statements(flat)
     return out.drop("file_offset").withColumn("event_time", display_time("event_time", "UTC"))
 
 
@@ -123,9 +123,9 @@ FROM logins
 """,
 )
 def login_payload_decode(spark, sf_dir):
-    parsed = source.parse_trace_events(tv.raw_trace(tv.trace(spark, sf_dir)))
+    flat = events.flatten_events(source.parse_trace_events(tv.raw_trace(tv.trace(spark, sf_dir))))
     return (
-        events.decode_logins(parsed).drop("file_offset").withColumn("event_time", display_time("event_time", "UTC"))
+        events.decode_logins(flat).drop("file_offset").withColumn("event_time", display_time("event_time", "UTC"))
     )
 
 
@@ -149,9 +149,7 @@ def login_payload_enrichment(spark, sf_dir):
         "client_net_address",
     )
     encoded = events.login_payloads(logins, tv.live_sessions(spark, sf_dir))
-    node = F.struct(F.lit("user_data").alias("_name"), F.col("user_data").alias("value"))
-    event = F.struct(F.array(node).alias("data"))
-    coded = encoded.select("event_id", F.lit("user_event").alias("event_name"), event.alias("event"))
+    coded = encoded.select("event_id", F.lit(events.LOGIN).alias("event_class"), "user_data")
     return events.decode_logins(coded).select(
         "event_id", "login_name", "session_id", "client_net_address", "client_app_name"
     )
@@ -175,10 +173,12 @@ def quarantined_logins(spark, sf_dir):
         .when(F.col("k") % 4 == 2, F.lit("zz00"))
         .when(F.col("k") % 4 == 3, F.hex(F.encode(F.concat(F.lit("<"), F.col("k")), "UTF-16LE")))
     )
-    node = F.struct(F.lit("user_data").alias("_name"), payload.alias("value"))
-    event = F.struct(F.array(node).alias("data"))
     coded = foreign.select(
-        "file_name", "event_sequence", "event_time", F.lit("user_event").alias("event_name"), event.alias("event")
+        "file_name",
+        "event_sequence",
+        "event_time",
+        F.lit(events.LOGIN).alias("event_class"),
+        payload.alias("user_data"),
     )
     return events.quarantined_logins(coded).drop("user_data")
 

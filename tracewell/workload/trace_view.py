@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import text_to_utf16_hex
+from tracewell.plans.spread import spread
 from tracewell.plans.steps import step_lookup
 from tracewell.workload.registry import table
 
@@ -163,7 +164,7 @@ def raw_trace(trace: DataFrame) -> DataFrame:
         *body,
         F.lit("</event>"),
     )
-    return trace.select("file_name", "file_offset", xml.alias("event_data"))
+    return spread(trace).select("file_name", "file_offset", xml.alias("event_data"))
 
 
 # What the raw trace must turn into.
