@@ -30,7 +30,7 @@ def work_dir(spark: SparkSession) -> str:
 
     A temporary folder stands in only for a local session, where driver and executors are one process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
