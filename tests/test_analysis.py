@@ -188,7 +188,7 @@ def test_split_batches(spark):
 
 def test_templates_and_messages(spark):
     errors = spark.createDataFrame(
-        [(1, 2, 3, 4, "p", "boom"), (1, 2, 3, None, None, "boom"), (1, 2, 3, 4, "p", None)],
+        [(1, 2, 3, 4, "p", "boom"), (1, 2, 3, None, None, "boom"), (1, 2, 3, 4, "p", None), (1, 2, 3, None, "#errstate#", "#ERRNUMBER#")],
         "number int, severity int, state int, line int, procedure string, message string",
     )
     got = [r.err_msg for r in text.format_error_messages(errors, text.ERROR_TEMPLATE_SHORT).collect()]
@@ -196,6 +196,7 @@ def test_templates_and_messages(spark):
         " Msg: boom Error: 1 Severity: 2 State: 3 at Line:4 in Sql Module:p",
         " Msg: boom Error: 1 Severity: 2 State: 3",
         None,
+        " Msg: 1 Error: 1 Severity: 2 State: 3 in Sql Module:#errstate#",
     ]
     long = text.format_error_messages(errors).first().err_msg
     assert long.startswith("-" * 94 + "\n -- Msg: boom\n") and long.endswith("\n " + "-" * 94)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +49,24 @@ def format_error_messages(errors: DataFrame, template: str = ERROR_TEMPLATE, out
         F.coalesce(F.concat(F.lit(" at Line:"), F.col("line").cast("string")), F.lit("")),
         F.coalesce(F.concat(F.lit(" in Sql Module:"), F.col("procedure")), F.lit("")),
     )
-    text = F.lit(template)
-    for tag, value in (
-        ("#ErrMessage#", F.col("message")),
-        ("#ErrNumber#", F.col("number").cast("string")),
-        ("#ErrSeverity#", F.col("severity").cast("string")),
-        ("#ErrState#", F.col("state").cast("string")),
-        ("#atPos#", position),
-    ):
-        text = replace_ignoring_case(text, tag, value)
-    return errors.withColumn(out, text)
+    tags = {
+        "#ErrMessage#": F.col("message"),
+        "#ErrNumber#": F.col("number").cast("string"),
+        "#ErrSeverity#": F.col("severity").cast("string"),
+        "#ErrState#": F.col("state").cast("string"),
+        "#atPos#": position,
+    }
+    # The template is one literal: cut it at its tags once, and let each row be a plain concatenation.
+    values = {tag.lower(): value for tag, value in tags.items()}
+    parts = re.split("(" + "|".join(map(re.escape, tags)) + ")", template, flags=re.IGNORECASE)
+    joined = F.concat(*[values.get(p.lower(), F.lit(p)) for p in parts])
+    whole = reduce(Column.__and__, [v.isNotNull() for v in tags.values()])
+    # A value that itself holds a tag is filled by the steps that follow its own, in the order of the tags.
+    in_turn = F.lit(template)
+    for tag, value in tags.items():
+        in_turn = replace_ignoring_case(in_turn, tag, value)
+    plain = ~F.concat("message", position).contains("#")
+    return errors.withColumn(out, F.when(whole, F.when(plain, joined).otherwise(in_turn)))
 
 
 def file_path_parts(df: DataFrame, path: str, separator: str = "\\") -> DataFrame:

@@ -35,11 +35,13 @@ def attribute_with_fallback(
     live_sessions: DataFrame,
     bucket_rows: int = DEFAULT_BUCKET_ROWS,
     drop_repeats: bool = False,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """As-of login first; if its address is NULL the live session, marked as such; else a fixed text.
 
     ``source`` tells which of the three gave the address: asof, live or none. ``drop_repeats`` keeps one of
-    several copies of an event, as when a restored file is read along with the original.
+    several copies of an event, as when a restored file is read along with the original; ``stored`` (session_id,
+    epoch, event_sequence) names events audited before, which are left out.
     """
     live = (
         live_sessions.where(F.col("session_id").isNotNull())
@@ -56,6 +58,7 @@ def attribute_with_fallback(
         bucket_rows,
         per_key=live,
         drop_repeats=drop_repeats,
+        stored=stored,
     )
     address, program = F.col(_LOGIN)["client_net_address"], F.col(_LOGIN)["client_app_name"]
     # The live view is asked only when the login gave no address.

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_ROWS = 1_000_000
 
-_RIGHT, _CARRY, _TAG, _BUCKET = "__is_right", "__carried", "__tag", "__bucket"
+_KIND, _CARRY, _TAG, _BUCKET = "__kind", "__carried", "__tag", "__bucket"
+# Order of rows with equal keys: what is stored already, then left rows, then the right ones a strict join must not see.
+_STORED, _LEFT, _RIGHT = 0, 1, 2
 
 
 def sequence_bucket(seq: str | Column, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> Column:
@@ -35,6 +37,7 @@ def asof_join(
     strict: bool = True,
     per_key: DataFrame | None = None,
     drop_repeats: bool = False,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Attach to each left row the ``payload`` struct of the last right row before it (or at it, if not ``strict``).
 
@@ -42,26 +45,29 @@ def asof_join(
     frame with one row per ``by`` key; its other columns are attached as well. It is joined to the summary
     and not to the left rows, which are therefore shuffled once. Keys with a NULL never match.
     ``drop_repeats`` keeps one of several left rows with the same full order key (strict joins only); they are
-    neighbours in the window already.
+    neighbours in the window already. With ``stored``, the keys of rows written earlier, left rows among those
+    are dropped too: an anti join that costs only the shuffle of the stored keys.
     """
     by, bucket, order = list(by), list(bucket), list(order)
     cell = [*by, *bucket]
     right = right.select(*cell, *[o for o in order if o not in cell], payload).dropna(subset=[*cell, *order])
 
-    both = left.withColumn(_RIGHT, F.lit(False)).unionByName(
-        right.withColumn(_RIGHT, F.lit(True)), allowMissingColumns=True
+    both = left.withColumn(_KIND, F.lit(_LEFT)).unionByName(
+        right.withColumn(_KIND, F.lit(_RIGHT)), allowMissingColumns=True
     )
-    # At equal keys a strict join must not see the right row: it sorts after the left one.
-    tie = F.col(_RIGHT).asc() if strict else F.col(_RIGHT).desc()
+    if stored is not None:
+        keys = stored.select(*cell, *[o for o in order if o not in cell])
+        both = both.unionByName(keys.withColumn(_KIND, F.lit(_STORED)), allowMissingColumns=True)
+    tie = F.col(_KIND).asc() if strict else F.col(_KIND).desc()
     ordered = Window.partitionBy(*cell).orderBy(*order, tie, F.col(payload))
     last_before = F.last(payload, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    if drop_repeats:
+    if drop_repeats or stored is not None:
         same = [F.col(o) == F.lag(o).over(ordered) for o in order] + [F.col(b).isNotNull() for b in bucket]
         repeat = F.coalesce(reduce(Column.__and__, same), F.lit(False))
-        found = both.withColumns({payload: last_before, _TAG: repeat}).where(~F.col(_RIGHT) & ~F.col(_TAG))
+        found = both.withColumns({payload: last_before, _TAG: repeat}).where((F.col(_KIND) == _LEFT) & ~F.col(_TAG))
     else:
-        found = both.withColumn(payload, last_before).where(~F.col(_RIGHT))
-    found = found.drop(_RIGHT, _TAG)
+        found = both.withColumn(payload, last_before).where(F.col(_KIND) == _LEFT)
+    found = found.drop(_KIND, _TAG)
 
     # One row per (key, bucket): what the buckets before it end with.
     ends = right.groupBy(*cell).agg(F.max(F.struct(*[F.col(o) for o in order], F.col(payload))).alias(_CARRY))
@@ -98,6 +104,7 @@ def asof_attribute(
     strict: bool = True,
     per_key: DataFrame | None = None,
     drop_repeats: bool = False,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """As-of join on ``by`` under the lexicographic order ``(epoch, seq)``."""
     cut = sequence_bucket(seq, bucket_rows)
@@ -111,6 +118,7 @@ def asof_attribute(
         strict=strict,
         per_key=per_key,
         drop_repeats=drop_repeats,
+        stored=None if stored is None else stored.withColumn(_BUCKET, cut),
     )
     return out.drop(_BUCKET)
 

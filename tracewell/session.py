@@ -19,6 +19,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        # Partitioned writes keep one file open per value (event class, date) and so need not sort wide rows.
+        .config("spark.sql.maxConcurrentOutputFileWriters", "100")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,7 +24,6 @@ from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch, trace_starts
 from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
 from tracewell.operators.lifecycle import prune_connections
-from tracewell.plans.audit import AUDIT_KEY
 from tracewell.session import materialise
 from tracewell.sources import tables
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
@@ -48,6 +47,10 @@ _LOGIN_EVENTS = T.StructType(
 )
 
 
+def _event_date() -> Column:
+    return F.to_date(display_time("event_time", "UTC"))
+
+
 class AuditStore:
     """Tables of one audit under one shared folder."""
 
@@ -134,8 +137,9 @@ class AuditStore:
             own = spark.read.schema(_LOGIN_EVENTS).parquet(f"{self._at('logins')}/batch_id={batch_id}")
             own = assign_epoch(own, starts, self.config.initial_epoch).select(*CONNECTIONS.names)
             logins = self.state(spark, "login_state", CONNECTIONS, batch_id).unionByName(own)
-            fresh = self._attributed(dated, logins, live_sessions)
-            tables.append_new(fresh, self._at("audit"), AUDIT_KEY, partition_by="event_date", rebalance=True)
+            fresh = self._attributed(dated, logins, live_sessions, self._stored_keys(spark, events))
+            # Few files per date for a small batch, more for a large one.
+            fresh.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(self._at("audit"))
             state = prune_connections(logins)
         self._save_state(state, "login_state", batch_id)
 
@@ -146,13 +150,29 @@ class AuditStore:
         self._save_state(spark.createDataFrame([(last,)], _PROGRESS), "progress", batch_id)
         self._drop_old_state(spark, batch_id)
 
-    def _attributed(self, dated: DataFrame, logins: DataFrame, live_sessions: DataFrame) -> DataFrame:
-        statements = extract_statements(dated)
+    def _stored_keys(self, spark: SparkSession, events: DataFrame) -> DataFrame | None:
+        """Keys already audited on the dates of a batch; None when there are none. Equal keys have equal dates."""
+        if not tables.has_data(spark, self._at("audit")):
+            return None
+        dates = extract_statements(events).select(_event_date().alias("d")).distinct().limit(tables.MAX_PRUNING_DATES + 1)
+        touched = [r.d for r in dates.collect()]
+        stored = self.stored_audit(spark)
+        if len(touched) <= tables.MAX_PRUNING_DATES:
+            stored = stored.where(F.col("event_date").isin([d for d in touched if d is not None]))
+        return stored.select("session_id", "epoch", "event_sequence")
+
+    def _attributed(
+        self, dated: DataFrame, logins: DataFrame, live_sessions: DataFrame, stored: DataFrame | None = None
+    ) -> DataFrame:
         out = attribute_with_fallback(
-            statements, logins, live_sessions, self.config.bucket_rows, drop_repeats=True
+            extract_statements(dated),
+            logins,
+            live_sessions,
+            self.config.bucket_rows,
+            drop_repeats=True,
+            stored=stored,
         )
-        event_date = F.to_date(display_time("event_time", "UTC")).alias("event_date")
-        return out.select("file_name", *FULL_AUDIT.names, "source", event_date)
+        return out.select("file_name", *FULL_AUDIT.names, "source", _event_date().alias("event_date"))
 
     def _replace_from(
         self, spark: SparkSession, first: str, starts: DataFrame, logins: DataFrame, live_sessions: DataFrame

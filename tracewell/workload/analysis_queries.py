@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.operators import analytics, monitoring, reports
 from tracewell.plans.gates import all_match, keep_if
+from tracewell.plans.spread import spread
 from tracewell.workload import trace_view as tv
 from tracewell.workload.registry import query, table
 
@@ -26,13 +27,13 @@ QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY uses DESC, last_use
 """,
 )
 def host_most_used(spark, sf_dir):
-    logins = tv.logins(tv.trace(spark, sf_dir)).select(
+    logins = tv.logins(tv.trace_rows(spark, sf_dir)).select(
         F.concat(F.lit("user_"), F.col("session_id")).alias("login_name"),
         "client_net_address",
         F.col("event_time").alias("login_time"),
-        "event_sequence",
+        "event_id",
     )
-    return analytics.host_most_used(logins)
+    return analytics.host_most_used(logins, tie="event_id")
 
 
 @query(
@@ -46,7 +47,7 @@ SELECT * FROM steps WHERE k - bs <> 1
 """,
 )
 def sequence_gaps(spark, sf_dir):
-    numbered = tv.trace(spark, sf_dir).select("event_id", "session_id", "k")
+    numbered = tv.trace_rows(spark, sf_dir).select("event_id", "session_id", "k")
     return analytics.find_missing_seq(numbered, "session_id", "k", tie="event_id")
 
 
@@ -117,7 +118,7 @@ _JOB_SQL = (
 
 
 def _history(spark, sf_dir):
-    return tv.trace(spark, sf_dir).select(
+    return tv.trace_rows(spark, sf_dir).select(
         F.col("session_id").alias("job_id"),
         F.col("event_id").alias("instance_id"),
         F.when(F.col("event_type") == "error", 0).otherwise(1).alias("step_id"),
@@ -161,7 +162,7 @@ FROM statements GROUP BY ALL
 """,
 )
 def daily_weekday_counts(spark, sf_dir):
-    return analytics.daily_weekday_counts(tv.statements(tv.trace(spark, sf_dir)))
+    return analytics.daily_weekday_counts(tv.statements(tv.trace_rows(spark, sf_dir)))
 
 
 @query(
@@ -394,7 +395,7 @@ SELECT file_name, file_offset, n, last_offset, last_count FROM ranked WHERE rn =
 """,
 )
 def offset_profile(spark, sf_dir):
-    return monitoring.offset_profile(tv.trace(spark, sf_dir).select("file_name", "file_offset"))
+    return monitoring.offset_profile(tv.trace_rows(spark, sf_dir).select("file_name", "file_offset"))
 
 
 @query(
@@ -411,7 +412,7 @@ FROM before LEFT JOIN again USING (file_name, file_offset) WHERE coalesce(n_afte
 )
 def offset_regressions(spark, sf_dir):
     # A reading cut in the middle of an offset shows up as the one offset that grew.
-    trace = tv.trace(spark, sf_dir).select("file_name", "file_offset", "event_time")
+    trace = tv.trace_rows(spark, sf_dir).select("file_name", "file_offset", "event_time")
     return monitoring.offset_regressions(trace.where("event_time < TIMESTAMP_NTZ '2024-01-16 12:30:00'"), trace)
 
 
@@ -441,7 +442,7 @@ FROM trace WHERE event_type = 'error'
 )
 def error_messages(spark, sf_dir):
     errors = (
-        tv.trace(spark, sf_dir)
+        tv.trace_rows(spark, sf_dir)
         .where("event_type = 'error'")
         .select(
             "event_id",
@@ -480,7 +481,7 @@ SELECT string_agg('error ' || CAST(event_id AS VARCHAR), '<br>' ORDER BY event_i
 )
 def alert_digest(spark, sf_dir):
     log = (
-        tv.trace(spark, sf_dir)
+        tv.trace_rows(spark, sf_dir)
         .where("event_type = 'error'")
         .select("event_id", F.col("event_time").alias("msg_date"), F.concat(F.lit("error "), "event_id").alias("msg"))
     )
@@ -533,7 +534,7 @@ def json_array_outer(spark, sf_dir):
     # The JSON text has no element, one or two, by k.
     both = F.when(F.col("k") % 3 == 2, F.concat(F.lit(',{"p":1,"v":'), F.col("k") + 1, F.lit("}"))).otherwise("")
     json = F.when(F.col("k") % 3 != 0, F.concat(F.lit('[{"p":0,"v":'), F.col("k"), F.lit("}"), both, F.lit("]")))
-    rows = tv.trace(spark, sf_dir).select("event_id", json.alias("json"))
+    rows = tv.trace_rows(spark, sf_dir).select("event_id", json.alias("json"))
     rows = rows.withColumn("items", F.from_json("json", "array<struct<p:int,v:bigint>>"))
     out = analytics.json_array_rows(rows, "items")
     return out.select("event_id", F.col("item.p").alias("position"), F.col("item.v").alias("item"))
@@ -551,7 +552,7 @@ FROM statements GROUP BY 1
 """,
 )
 def statement_fingerprints(spark, sf_dir):
-    audit = tv.statements(tv.trace(spark, sf_dir)).select(
+    audit = tv.statements(tv.trace_rows(spark, sf_dir)).select(
         tv.statement_text().alias("statement"),
         (F.col("k") * 2).alias("cpu_time"),
         (F.col("value") * 100).cast("long").alias("dur_micro_sec"),
@@ -574,7 +575,7 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS batch_no, b[i] AS batch FROM (SELECT *,
 def split_batches(spark, sf_dir):
     # Documents as scripts: each sentence end becomes a GO line, what would open a literal or comment a blank.
     plain = F.regexp_replace(F.regexp_replace("text", r"['■]|--|/\*", " "), r"\s*\n\s*", "\r\n")
-    scripts = table(spark, sf_dir, "documents").select(
+    scripts = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.replace(plain, F.lit(". "), F.lit("\r\nGO\r\n")).alias("script")
     )
     return reports.split_batches(scripts, "doc_id").select("doc_id", "batch_no", "batch")
@@ -604,5 +605,5 @@ FROM trace
 """,
 )
 def run_status_labels(spark, sf_dir):
-    trace = tv.trace(spark, sf_dir)
+    trace = tv.trace_rows(spark, sf_dir)
     return trace.select("event_id", analytics.run_status_label(F.col("k") % 7).alias("status"))

@@ -88,7 +88,7 @@ FROM trace WHERE session_id > 50
 """,
 )
 def event_split_projection(spark, sf_dir):
-    trace = events.user_activity(tv.trace(spark, sf_dir))
+    trace = events.user_activity(tv.trace_rows(spark, sf_dir))
     columns = ["event_id", "session_id", "event_time"]
     halves = [
         part.select(*columns, F.lit(name).alias("event_class"), "k", "value")
@@ -274,7 +274,7 @@ _CHECKPOINT_SQL = (
 
 @query("pending_after_checkpoint", _CHECKPOINT_SQL + "SELECT * FROM pending")
 def pending_after_checkpoint(spark, sf_dir):
-    trace = tv.trace(spark, sf_dir)
+    trace = tv.trace_rows(spark, sf_dir)
     return source.pending_events(trace.select("event_id", "file_name", "file_offset"), _checkpoints(trace))
 
 
@@ -283,7 +283,7 @@ def pending_after_checkpoint(spark, sf_dir):
     _CHECKPOINT_SQL + "SELECT * FROM pending WHERE file_name = (SELECT min(file_name) FROM pending)",
 )
 def next_file_events(spark, sf_dir):
-    trace = tv.trace(spark, sf_dir)
+    trace = tv.trace_rows(spark, sf_dir)
     return source.next_events(trace.select("event_id", "file_name", "file_offset"), _checkpoints(trace))
 
 
@@ -295,7 +295,7 @@ SELECT max(file_name) AS file_name, max(file_offset) AS last_offset_done, max(ep
 """,
 )
 def batch_checkpoint(spark, sf_dir):
-    trace = tv.trace(spark, sf_dir)
+    trace = tv.trace_rows(spark, sf_dir)
     return tables.batch_checkpoint(trace, _checkpoints(trace)).drop("chk_point_time")
 
 
@@ -319,7 +319,7 @@ WHERE event_time >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY
 """,
 )
 def retention_purge(spark, sf_dir):
-    statements = tv.statements(tv.trace(spark, sf_dir)).select("event_id", "event_time")
+    statements = tv.statements(tv.trace_rows(spark, sf_dir)).select("event_id", "event_time")
     now = tv.events(spark, sf_dir).agg(F.max("ts")).scalar()
     return lifecycle.retain(statements, "event_time", now, days=10)
 
@@ -337,7 +337,7 @@ SELECT event_id, event_time FROM statements WHERE event_id NOT IN (SELECT event_
 )
 def retention_bounded_pass(spark, sf_dir):
     # One bounded delete pass: the 1000 oldest expired rows go, the rest waits for the next pass.
-    statements = tv.statements(tv.trace(spark, sf_dir)).select("event_id", "event_time")
+    statements = tv.statements(tv.trace_rows(spark, sf_dir)).select("event_id", "event_time")
     now = tv.events(spark, sf_dir).agg(F.max("ts")).scalar()
     return lifecycle.retain(statements, "event_time", now, days=10, max_rows=1000, order=["event_id"])
 
@@ -357,7 +357,7 @@ FROM ranked
 )
 def epoch_retention(spark, sf_dir):
     now = tv.events(spark, sf_dir).agg(F.max("ts")).scalar()
-    return lifecycle.epoch_retention_report(tv.logins(tv.trace(spark, sf_dir)), now, days=15)
+    return lifecycle.epoch_retention_report(tv.logins(tv.trace_rows(spark, sf_dir)), now, days=15)
 
 
 @query(
@@ -395,7 +395,7 @@ FROM (SELECT file_name FROM checkpoints EXCEPT SELECT path FROM listing)
 """,
 )
 def lost_files(spark, sf_dir):
-    trace = tv.trace(spark, sf_dir)
+    trace = tv.trace_rows(spark, sf_dir)
     return lifecycle.lost_files(_checkpoints(trace), _listing(trace), latest_only=False)
 
 
@@ -404,7 +404,7 @@ def lost_files(spark, sf_dir):
     tv.TRACE_SQL + _LISTING_SQL + "SELECT min(path) AS path, count(*) AS nb_files FROM listing HAVING count(*) > 1",
 )
 def disposable_files(spark, sf_dir):
-    return lifecycle.disposable_files(_listing(tv.trace(spark, sf_dir)))
+    return lifecycle.disposable_files(_listing(tv.trace_rows(spark, sf_dir)))
 
 
 @query(
@@ -412,7 +412,7 @@ def disposable_files(spark, sf_dir):
     _CHECKPOINT_SQL + _LISTING_SQL + "SELECT path FROM listing WHERE path < (SELECT file_name FROM cp)",
 )
 def finished_files(spark, sf_dir):
-    trace = tv.trace(spark, sf_dir)
+    trace = tv.trace_rows(spark, sf_dir)
     return lifecycle.finished_files(_listing(trace), _checkpoints(trace))
 
 
@@ -427,7 +427,7 @@ FROM trace GROUP BY epoch
 """,
 )
 def epoch_freshness(spark, sf_dir):
-    return lifecycle.freshness(tv.trace(spark, sf_dir), F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
+    return lifecycle.freshness(tv.trace_rows(spark, sf_dir), F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
 
 
 @query(
@@ -459,7 +459,7 @@ def legacy_migration(spark, sf_dir):
     tv.TRACE_SQL + "SELECT DISTINCT session_id, client_net_address, client_app_name FROM logins",
 )
 def distinct_logins(spark, sf_dir):
-    logins = tv.logins(tv.trace(spark, sf_dir))
+    logins = tv.logins(tv.trace_rows(spark, sf_dir))
     return logins.select("session_id", "client_net_address", "client_app_name").distinct()
 
 

@@ -51,8 +51,13 @@ def _week(c: str):
     return F.date_trunc("week", F.col(c)).cast("timestamp_ntz")
 
 
-def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).select(
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace without event sequences."""
+    return _rows(events(spark, sf_dir))
+
+
+def _rows(source: DataFrame) -> DataFrame:
+    return source.select(
         "event_id",
         F.col("ts").alias("event_time"),
         F.col("user_id").alias("session_id"),
@@ -64,8 +69,12 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.hour("ts").cast("long").alias("file_offset"),
         (F.col("event_type") == "signup").alias("is_login"),
     )
-    firsts = events(spark, sf_dir).groupBy(_week("ts").alias("epoch")).agg(F.min("event_id").alias("first_id"))
-    numbered = step_lookup(rows, "epoch", firsts, "epoch", "first_id", out="first_id")
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = events(spark, sf_dir)
+    firsts = source.groupBy(_week("ts").alias("epoch")).agg(F.min("event_id").alias("first_id"))
+    numbered = step_lookup(_rows(source), "epoch", firsts, "epoch", "first_id", out="first_id")
     return numbered.withColumn("event_sequence", F.col("event_id") - F.col("first_id") + 1).drop("first_id")
 
 
@@ -73,7 +82,7 @@ def logins(trace: DataFrame) -> DataFrame:
     return trace.where("is_login").select(
         "session_id",
         "epoch",
-        "event_sequence",
+        *[c for c in ("event_sequence",) if c in trace.columns],
         "event_id",
         "event_time",
         "file_name",
