@@ -69,6 +69,7 @@ def test_last_job_run(spark):
         key=repr,
     )
     report = analytics.job_status_report(history, "k").orderBy("ordinal").collect()
+    assert analytics.job_status_report(history).count() == 4 + 1 + 2 + 1
     assert [(r.status, r.msgs) for r in report] == [
         (None, "Status from previous k job execution "), ("Canceled", "m\r\n"), ("Succeeded", "m\r\n")
     ]

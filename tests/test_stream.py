@@ -3,7 +3,7 @@ import random
 import pytest
 
 from helpers import at, login_xml, rows, statement_xml
-from tracewell.model import RAW_EVENT
+from tracewell.model import LIVE_SESSIONS, RAW_EVENT, AuditConfig
 from tracewell.operators.analytics import find_missing_seq, numbered_statements
 from tracewell.plans.audit import audit_batch
 from tracewell.streaming.audit_stream import AuditStore, audit_stream
@@ -100,6 +100,32 @@ def test_a_batch_run_twice_changes_nothing(spark, tmp_path, files):
     assert rows(store.audit(), *COLUMNS) == once
 
 
+def test_raw_capture_is_a_switch(spark, tmp_path):
+    incoming = str(tmp_path / "in")
+    deliver(spark, incoming, "T_0_1.xml", [statement_xml(7, at(1, 2), 60, "a"), "broken"])
+    for keep in (True, False):
+        store = AuditStore(spark, str(tmp_path / f"store{keep}"), AuditConfig(keep_raw=keep))
+        audit_stream(spark, incoming, store).awaitTermination()
+        assert (tmp_path / f"store{keep}" / "raw").exists() == keep
+    assert spark.read.parquet(str(tmp_path / "storeTrue" / "raw")).count() == 2
+
+
+def test_late_file_keeps_earlier_live_answers(spark, tmp_path):
+    incoming = str(tmp_path / "in")
+    store = AuditStore(spark, str(tmp_path / "store"), AuditConfig(initial_epoch=at(1)))
+    live = [spark.createDataFrame([(60, "p1", "h1"), (61, "p1", "h1")], LIVE_SESSIONS)]
+    deliver(spark, incoming, "T_0_2.xml", [statement_xml(7, at(1, 2), 60, "a"), statement_xml(8, at(1, 2), 61, "b")])
+    audit_stream(spark, incoming, store, live_sessions=lambda s: live[0]).awaitTermination()
+    live[0] = spark.createDataFrame([(61, "p2", "h2")], LIVE_SESSIONS)
+    deliver(spark, incoming, "T_0_1.xml", [login_xml(2, at(1, 1), 60, "ann", "10.0.0.1", "app"), statement_xml(3, at(1, 1), 61, "c")])
+    audit_stream(spark, incoming, store, live_sessions=lambda s: live[0]).awaitTermination()
+    assert rows(store.audit(), "statement", "client_net_address", "source") == [
+        ("a", "10.0.0.1", "asof"),  # its login came late
+        ("b", "(Cur)-> h1", "live"),  # said while the session was h1's
+        ("c", "(Cur)-> h2", "live"),
+    ]
+
+
 def test_xml_files_and_retention(spark, tmp_path):
     incoming = tmp_path / "in"
     incoming.mkdir()
@@ -110,3 +136,6 @@ def test_xml_files_and_retention(spark, tmp_path):
     assert rows(store.audit(), "statement", "client_net_address") == [("new", "h"), ("old", "h")]
     assert store.apply_retention(at(9, 12).replace(month=4, day=20)) == ["2024-03-01"]
     assert rows(store.audit(), "statement") == [("new",)]
+    later = at(9, 12).replace(month=6)
+    assert store.apply_retention(later) == ["2024-03-09"]
+    assert store.audit().count() == 0 and store.logins().count() == 0

@@ -118,11 +118,10 @@ DEFAULT_EPOCH = dt.datetime(2000, 1, 1)
 class AuditConfig:
     """Options of an audit run; the defaults give the documented behaviour."""
 
-    display_tz: str = "America/New_York"
     retention_days: int = RETENTION_DAYS
     missing_database: str = NO_DATABASE
     writes_from_cpu_time: bool = False
     keep_open_sessions: bool = False
-    keep_bronze: bool = True
+    keep_raw: bool = False
     bucket_rows: int = 1_000_000
     initial_epoch: dt.datetime | None = None

@@ -112,16 +112,23 @@ def last_job_run(history: DataFrame, job_id=None) -> DataFrame:
     )
 
 
-def job_status_report(history: DataFrame, job_id) -> DataFrame:
-    """Header row, then the messages of the last run of a job; order by ``ordinal``."""
-    run = last_job_run(history, job_id)
-    header = history.sparkSession.range(1).select(
-        F.lit(0).cast("long").alias("ordinal"),
-        F.lit(None).cast("string").alias("status"),
-        F.lit(f"Status from previous {job_id} job execution ").alias("msgs"),
+def job_status_report(history: DataFrame, job_id=None) -> DataFrame:
+    """Per job a header row, then the messages of its last run; order by ``job_id`` and ``ordinal``."""
+    jobs = history if job_id is None else history.where(F.col("job_id") == job_id)
+    header = (
+        jobs.where(F.col("step_id") == 0)
+        .select("job_id")
+        .distinct()
+        .select(
+            "job_id",
+            F.lit(0).cast("long").alias("ordinal"),
+            F.lit(None).cast("string").alias("status"),
+            F.concat(F.lit("Status from previous "), F.col("job_id"), F.lit(" job execution ")).alias("msgs"),
+        )
     )
     return header.unionByName(
-        run.select(
+        last_job_run(jobs).select(
+            "job_id",
             F.col("instance_id").cast("long").alias("ordinal"),
             "status",
             F.concat("message", F.lit("\r\n")).alias("msgs"),

@@ -11,6 +11,7 @@ Everything a batch writes lies under its own number and is overwritten when the
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,8 @@ from tracewell.model import CHECKPOINT, CONNECTIONS, EVENT_XML, FULL_AUDIT, LIVE
 from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch, trace_starts
 from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
-from tracewell.operators.lifecycle import prune_connections
+from tracewell.operators.lifecycle import prune_connections, retain_connections
+from tracewell.plans.audit import AUDIT_KEY
 from tracewell.session import materialise
 from tracewell.sources import tables
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
@@ -179,9 +181,20 @@ class AuditStore:
     ) -> None:
         """Attribute again everything from file ``first`` on and replace the date partitions it touches."""
         events = spark.read.parquet(self._at("events")).where(F.col("file_name") >= first).drop("batch_id")
-        again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
-        again = materialise(again, "late")
         stored = self.stored_audit(spark)
+        again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
+        # What the live view once said stands, unless a login is known by now: the view has moved on since.
+        said = stored.where((F.col("file_name") >= first) & (F.col("source") == "live")).select(
+            *AUDIT_KEY, F.struct("client_net_address", "client_app_name", "source").alias("said")
+        )
+        keep = F.col("said").isNotNull() & (F.col("source") != "asof")
+        again = again.join(said, AUDIT_KEY, "left").withColumns(
+            {
+                c: F.when(keep, F.col("said")[c]).otherwise(F.col(c))
+                for c in ("client_net_address", "client_app_name", "source")
+            }
+        )
+        again = materialise(again.select(*_STORED_AUDIT.names), "late")
         touched = (
             again.select("event_date")
             .union(stored.where(F.col("file_name") >= first).select("event_date"))
@@ -197,11 +210,34 @@ class AuditStore:
             .parquet(self._at("audit"))
         )
 
-    def apply_retention(self, as_of) -> list[str]:
-        import datetime as dt
-
-        cutoff = as_of - dt.timedelta(days=self.config.retention_days)
-        return tables.purge_before(self.spark, self._at("audit"), cutoff, "event_time", "event_date")
+    def apply_retention(self, as_of: dt.datetime) -> list[str]:
+        """Forget what is older than the retention, seen from ``as_of`` (UTC). Run it while the stream rests.
+
+        Returns the audit dates dropped.
+        """
+        spark, config = self.spark, self.config
+        cutoff = as_of - dt.timedelta(days=config.retention_days)
+        instant = F.timestamp_micros(F.lit(int(cutoff.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)))
+        if tables.has_data(spark, self._at("events")):
+            # One row per batch; a batch goes when its newest event is too old.
+            newest = spark.read.parquet(self._at("events")).groupBy("batch_id").agg(F.max("event_time").alias("t"))
+            for row in newest.where(F.col("t") < instant).collect():
+                for name in ("events", "logins", "quarantine", "raw"):
+                    tables.remove(spark, f"{self._at(name)}/batch_id={row.batch_id}")
+        versions = tables.partition_values(spark, self._at("login_state"), "version")
+        if versions:
+            state = self.state(spark, "login_state", CONNECTIONS)
+            now = instant + F.expr(f"INTERVAL {config.retention_days} DAYS")
+            kept = retain_connections(
+                state.withColumn("at", F.col("login_time").cast("timestamp")),
+                now,
+                config.retention_days,
+                config.keep_open_sessions,
+                at="at",
+            )
+            kept = materialise(kept.select(*CONNECTIONS.names), "login_state")
+            self._save_state(kept, "login_state", max(int(v) for v in versions))
+        return tables.purge_before(spark, self._at("audit"), cutoff, "event_time", "event_date")
 
 
 def audit_stream(
@@ -229,12 +265,17 @@ def audit_stream(
     for key, value in (source_options or {}).items():
         reader = reader.option(key, value)
     incoming = reader.load(path)
-    parsed = trace_xml_events(incoming) if format == "xml" else parse_trace_events(incoming)
+    if format == "xml":
+        incoming = trace_xml_events(incoming)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         live = live_sessions(batch.sparkSession) if callable(live_sessions) else live_sessions
+        if format != "xml":
+            if store.config.keep_raw:
+                tables.capture_raw(batch, f"{store.path}/raw", batch_id)
+            batch = parse_trace_events(batch)
         store.process(batch, batch_id, live)
 
-    writer = parsed.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.path}/_stream")
+    writer = incoming.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.path}/_stream")
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
     return writer.start()

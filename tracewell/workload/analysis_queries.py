@@ -144,13 +144,14 @@ def job_needs_attention(spark, sf_dir):
     "union_header",
     _JOB_SQL
     + """
-SELECT CAST(0 AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS status, 'Status from previous 7 job execution ' AS msgs
+SELECT job_id, CAST(0 AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS status,
+       'Status from previous ' || CAST(job_id AS VARCHAR) || ' job execution ' AS msgs FROM last_run
 UNION ALL
-SELECT instance_id, status, message || chr(13) || chr(10) FROM steps WHERE job_id = 7
+SELECT job_id, instance_id, status, message || chr(13) || chr(10) FROM steps
 """,
 )
 def union_header(spark, sf_dir):
-    return analytics.job_status_report(_history(spark, sf_dir), 7)
+    return analytics.job_status_report(_history(spark, sf_dir))
 
 
 @query(
