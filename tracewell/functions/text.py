@@ -100,7 +100,9 @@ def text_to_utf16_hex(text: str | Column) -> Column:
 
 def match_patterns(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]], label: str = "label") -> DataFrame:
     """Inner join with a literal list of (LIKE pattern, label), ignoring case: one row per pattern that matches."""
-    table = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(v).alias(label)) for p, v in patterns])
     folded = F.lower(F.col(text))
-    hits = F.filter(table, lambda t: F.like(folded, F.lower(t["pattern"])))
-    return df.withColumn("__hit", F.explode(hits)).select(*df.columns, "__hit.pattern", f"__hit.{label}")
+    # Each pattern is a literal of its own and so is compiled once.
+    hits = [
+        F.when(folded.like(p.lower()), F.struct(F.lit(p).alias("pattern"), F.lit(v).alias(label))) for p, v in patterns
+    ]
+    return df.withColumn("__hit", F.explode(F.array_compact(F.array(*hits)))).select(*df.columns, "__hit.pattern", f"__hit.{label}")
