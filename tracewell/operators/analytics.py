@@ -183,33 +183,40 @@ def event_trace_map(
 ) -> DataFrame:
     """Which trace column and action stand behind each event class: a chain of left joins, without copies.
 
-    Bindings are made distinct before they are joined, so repeated bindings never multiply.
+    Each input is made distinct before the joins, where it is narrow. The joined rows are then distinct by
+    themselves, but for classes without bindings, which show no id; those are made distinct apart.
     """
     bound = bindings.select("trace_event_id", "trace_column_id").distinct()
-    named = columns.select("trace_column_id", F.col("name").alias("sql_trace_column"))
-    actions = action_map.select("trace_column_id", F.col("xe_action_name").alias("extended_events_action"))
+    named = columns.select("trace_column_id", F.col("name").alias("sql_trace_column")).distinct()
+    actions = action_map.select("trace_column_id", F.col("xe_action_name").alias("extended_events_action")).distinct()
     mapped = event_map.select(
         F.col("trace_event_id").alias("mapped_id"),
         F.col("package_name").alias("package"),
         F.col("xe_event_name").alias("x_event_name"),
-    )
-    return (
+    ).distinct()
+    classes = (
         events.select(F.col("trace_event_id").alias("event_id"), F.col("name").alias("event_class"))
+        .distinct()
         .join(mapped, F.col("event_id") == F.col("mapped_id"), "left")
-        .join(bound, F.col("mapped_id") == F.col("trace_event_id"), "left")
+    )
+    output = [
+        "trace_event_id",
+        "event_class",
+        "package",
+        "x_event_name",
+        "trace_column_id",
+        "sql_trace_column",
+        "extended_events_action",
+    ]
+    with_columns = (
+        classes.join(bound, F.col("mapped_id") == F.col("trace_event_id"))
         .join(named, "trace_column_id", "left")
         .join(actions, "trace_column_id", "left")
-        .select(
-            "trace_event_id",
-            "event_class",
-            "package",
-            "x_event_name",
-            "trace_column_id",
-            "sql_trace_column",
-            "extended_events_action",
-        )
-        .distinct()
+        .select(*output)
     )
+    ids = bindings.select(F.col("trace_event_id").alias("mapped_id")).distinct()
+    without = classes.join(ids, "mapped_id", "left_anti").select("event_class", "package", "x_event_name").distinct()
+    return with_columns.unionByName(without, allowMissingColumns=True)
 
 
 def pivot_actions(df: DataFrame, key: Sequence[str], action: str, value: str, actions: Sequence[str]) -> DataFrame:

@@ -31,7 +31,7 @@ from tracewell.sources import tables
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
 
 _STARTS = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("epoch", T.TimestampType())])
-_PROGRESS = T.StructType([T.StructField("file_name", T.StringType())])
+_PROGRESS = T.StructType([*CHECKPOINT.fields, T.StructField("batch_id", T.LongType())])
 _STORED_AUDIT = T.StructType(
     [
         T.StructField("file_name", T.StringType()),
@@ -80,7 +80,12 @@ class AuditStore:
         return self.spark.read.parquet(self._at("quarantine"))
 
     def checkpoints(self) -> DataFrame:
-        return tables.read_or_empty(self.spark, self._at("checkpoint"), CHECKPOINT)
+        """The place each batch came to; a batch that ends where an earlier one did adds nothing."""
+        seen = tables.read_or_empty(self.spark, self._at("checkpoint"), _PROGRESS)
+        first = F.min_by(F.struct("chk_point_time", "epoch"), "batch_id").alias("first")
+        return seen.groupBy("file_name", "last_offset_done").agg(first).select(
+            "file_name", "last_offset_done", "first.*"
+        )
 
     def state(self, spark: SparkSession, name: str, schema: T.StructType, before: int | None = None) -> DataFrame:
         """The newest version of a state table, or the newest before a batch."""
@@ -96,7 +101,7 @@ class AuditStore:
         df.write.mode("overwrite").parquet(f"{self._at(name)}/version={version}")
 
     def _drop_old_state(self, spark: SparkSession, version: int) -> None:
-        for name in ("starts", "progress", "login_state"):
+        for name in ("starts", "login_state"):
             old = sorted(int(v) for v in tables.partition_values(spark, self._at(name), "version"))
             # The version before this batch is what a repeat of the batch starts from.
             for v in [v for v in old if v < version][:-1]:
@@ -114,11 +119,13 @@ class AuditStore:
         flat.write.mode("overwrite").partitionBy("event_class").parquet(events_path)
         events = spark.read.schema(flat.schema).parquet(events_path)
 
-        span = events.agg(F.min("file_name").alias("first"), F.max("file_name").alias("last")).first()
-        if span is None or span["first"] is None:
+        span = events.agg(F.min("file_name"), F.max("file_name"), F.max("file_offset")).first()
+        first, last, last_offset = span
+        if first is None:
             return
-        before = self.state(spark, "progress", _PROGRESS, batch_id).agg(F.max("file_name")).first()[0]
-        late = before is not None and span["first"] < before
+        progress = tables.read_or_empty(spark, self._at("checkpoint"), _PROGRESS)
+        before = progress.where(F.col("batch_id") < batch_id).agg(F.max("file_name")).first()[0]
+        late = before is not None and first < before
 
         known = self.state(spark, "starts", _STARTS, batch_id)
         merged = known.unionByName(trace_starts(events)).groupBy("file_name").agg(F.min("epoch").alias("epoch"))
@@ -132,7 +139,7 @@ class AuditStore:
 
         if late:
             all_logins = self.logins(spark, starts)
-            self._replace_from(spark, span["first"], starts, all_logins, live_sessions)
+            self._replace_from(spark, first, starts, all_logins, live_sessions)
             state = prune_connections(all_logins)
         else:
             # What went before is needed only as the newest login per session and epoch.
@@ -145,11 +152,14 @@ class AuditStore:
             state = prune_connections(logins)
         self._save_state(state, "login_state", batch_id)
 
-        tables.append_new(
-            tables.batch_checkpoint(dated), self._at("checkpoint"), ["file_name", "last_offset_done"]
+        # Last of all, so that a batch counts as done only when all it writes is there.
+        place = spark.range(1).select(
+            F.lit(last).alias("file_name"),
+            F.lit(last_offset).cast("long").alias("last_offset_done"),
+            F.current_timestamp().alias("chk_point_time"),
         )
-        last = max(span["last"], before) if before is not None else span["last"]
-        self._save_state(spark.createDataFrame([(last,)], _PROGRESS), "progress", batch_id)
+        place = assign_epoch(place, starts, self.config.initial_epoch)
+        place.write.mode("overwrite").parquet(f"{self._at('checkpoint')}/batch_id={batch_id}")
         self._drop_old_state(spark, batch_id)
 
     def _stored_keys(self, spark: SparkSession, events: DataFrame) -> DataFrame | None:

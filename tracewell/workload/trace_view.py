@@ -125,12 +125,15 @@ STATEMENT_SQL = """
 
 
 def _node(kind: str, name: str, value):
-    text = F.replace(F.replace(value.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     return F.coalesce(
-        F.concat(F.lit(f'<{kind} name="{name}"><value>'), text, F.lit(f"</value></{kind}>")), F.lit("")
+        F.concat(F.lit(f'<{kind} name="{name}"><value>'), value.cast("string"), F.lit(f"</value></{kind}>")), F.lit("")
     )
 
 
+def _escaped(text):
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
 def raw_trace(trace: DataFrame) -> DataFrame:
     """Raw events with their XML: logins as hex payloads, statements with text and counters."""
     payload = F.to_json(
@@ -153,7 +156,7 @@ def raw_trace(trace: DataFrame) -> DataFrame:
 
     body = [
         _node("data", "user_data", F.when(F.col("is_login"), text_to_utf16_hex(payload))),
-        _node("data", "statement", only(statement_text())),
+        _node("data", "statement", only(_escaped(statement_text()))),
         _node("data", "duration", only((F.col("value") * 100).cast("long"))),
         _node("data", "cpu_time", only(F.col("k") * 2)),
         _node("data", "logical_reads", only(F.when(F.col("k") % 3 != 0, F.col("k")))),
