@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,8 +131,12 @@ def test_batch_and_xml_folder(spark, tmp_path):
         ("select 1", "10.0.0.1", "app", "asof", at(1, 1)),
         ("select 2", "session is gone", "Client program disconnected", "none", at(1, 1)),
     ]
+    assert os.path.isdir(batch.events_path)
     assert batch.logins.count() == 1 and batch.quarantine.count() == 0 and batch.unreadable.count() == 1
 
+    batch.release()
+    assert not os.path.exists(batch.events_path)
+
     (tmp_path / "T_0_1.xml").write_text("<events>\n" + "\n".join(xml[:4]) + "\n</events>")
     folder = flatten_events(read_trace_xml(spark, str(tmp_path)))
     assert rows(folder, "file_name", "event_name", "event_sequence", "statement") == rows(

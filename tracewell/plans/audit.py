@@ -17,7 +17,8 @@ from tracewell.operators.events import (
     quarantined_logins,
     unreadable_events,
 )
-from tracewell.session import materialise
+from tracewell.session import new_work_path, write_and_read
+from tracewell.sources.tables import remove
 from tracewell.sources.trace import parse_trace_events
 
 AUDIT_KEY = ["event_time", "epoch", "event_sequence"]
@@ -30,18 +31,30 @@ class AuditBatch:
     logins: DataFrame
     quarantine: DataFrame
     unreadable: DataFrame
+    events_path: str
 
+    def release(self) -> None:
+        """Remove the stored events, once everything wanted from this batch is written."""
+        remove(self.audit.sparkSession, self.events_path)
 
-def audit_batch(raw: DataFrame, live_sessions: DataFrame | None = None, config: AuditConfig = AuditConfig()) -> AuditBatch:
+
+def audit_batch(
+    raw: DataFrame,
+    live_sessions: DataFrame | None = None,
+    config: AuditConfig = AuditConfig(),
+    events_path: str | None = None,
+) -> AuditBatch:
     """Parse, date and split the events, then attribute each statement.
 
     The events are parsed once, flattened, and written by class: logins and statements are then read from
-    folders of their own, and readers that need only the keys read only those columns.
+    folders of their own, and readers that need only the keys read only those columns. The stored events go to
+    ``events_path``, or to the shared work folder.
     """
+    events_path = events_path or new_work_path(raw.sparkSession, "events")
     if live_sessions is None:
         live_sessions = raw.sparkSession.createDataFrame([], LIVE_SESSIONS)
     flat = flatten_events(parse_trace_events(raw), config.missing_database, config.writes_from_cpu_time)
-    flat = materialise(flat, "events", partition_by="event_class")
+    flat = write_and_read(flat, events_path, partition_by="event_class")
     dated = assign_epoch(flat, initial=config.initial_epoch)
     logins = decode_logins(dated)
     attributed = attribute_with_fallback(
@@ -52,6 +65,7 @@ def audit_batch(raw: DataFrame, live_sessions: DataFrame | None = None, config:
         logins=logins,
         quarantine=quarantined_logins(dated),
         unreadable=unreadable_events(flat),
+        events_path=events_path,
     )
 
 

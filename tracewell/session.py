@@ -49,7 +49,10 @@ def new_work_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: many readers, no recomputation, short lineage."""
-    path = new_work_path(df.sparkSession, label)
+    return write_and_read(df, new_work_path(df.sparkSession, label), partition_by)
+
+
+def write_and_read(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.session import materialise
+from tracewell.session import new_work_path, write_and_read
 
 # Above this many dates a list of literals stops helping partition pruning.
 MAX_PRUNING_DATES = 400
@@ -115,6 +115,8 @@ def purge_before(spark: SparkSession, path: str, cutoff: dt.datetime, time_colum
     if _files(spark, split).exists(_path(spark, split)):
         # The kept rows are written out first: a partition cannot be overwritten while it is read.
         instant = F.timestamp_micros(F.lit(int(cutoff.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)))
-        kept = materialise(spark.read.parquet(split).where(F.col(time_column) >= instant), "retention")
+        work = new_work_path(spark, "retention")
+        kept = write_and_read(spark.read.parquet(split).where(F.col(time_column) >= instant), work)
         kept.write.mode("overwrite").parquet(split)
+        remove(spark, work)
     return dropped

@@ -2,9 +2,11 @@
 
 Each micro-batch is parsed once into the ``events`` table. Files normally arrive in name order; then the
 statements of the batch are attributed against a small state (newest login per session and epoch) and appended
-where they are new. The file source does not promise that order, so a batch with an earlier file than one
-already done is a *late* batch: every statement from that file on is attributed again from the stored events,
-and the touched date partitions are replaced. Either way the table equals what one batch over all files gives.
+where they are new. The file source does not promise that order. A batch with an earlier file than one already
+done is *late*: if it brings a login or a restart not known before, every statement from that file on is
+attributed again from the stored events and the touched date partitions are replaced; if not (a restored file),
+its statements are attributed against all logins and appended where they are new. Either way the table equals
+what one batch over all files gives.
 
 Everything a batch writes lies under its own number and is overwritten when the batch is run again.
 """
@@ -25,8 +27,8 @@ from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch, trace_starts
 from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
 from tracewell.operators.lifecycle import prune_connections, retain_connections
-from tracewell.plans.audit import AUDIT_KEY
-from tracewell.session import materialise
+from tracewell.plans.audit import AUDIT_KEY, LOGIN_KEY
+from tracewell.session import new_work_path, write_and_read
 from tracewell.sources import tables
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
 
@@ -68,10 +70,15 @@ class AuditStore:
     def audit(self) -> DataFrame:
         return self.stored_audit().drop("file_name")
 
-    def logins(self, spark: SparkSession | None = None, starts: DataFrame | None = None) -> DataFrame:
-        """All logins seen, each once, with its epoch."""
+    def logins(
+        self, spark: SparkSession | None = None, starts: DataFrame | None = None, before: int | None = None
+    ) -> DataFrame:
+        """All logins seen (``before`` a batch), each once, with its epoch."""
         spark = spark or self.spark
-        seen = tables.read_or_empty(spark, self._at("logins"), _LOGIN_EVENTS)
+        batch = T.StructField("batch_id", T.LongType())
+        seen = tables.read_or_empty(spark, self._at("logins"), T.StructType([*_LOGIN_EVENTS.fields, batch]))
+        if before is not None:
+            seen = seen.where(F.col("batch_id") < before)
         starts = starts if starts is not None else self.state(spark, "starts", _STARTS)
         dated = assign_epoch(seen, starts, self.config.initial_epoch)
         return dated.select(*CONNECTIONS.names).distinct()
@@ -137,19 +144,24 @@ class AuditStore:
         found.write.mode("overwrite").parquet(f"{self._at('logins')}/batch_id={batch_id}")
         quarantined_logins(events).write.mode("overwrite").parquet(f"{self._at('quarantine')}/batch_id={batch_id}")
 
+        own = spark.read.schema(_LOGIN_EVENTS).parquet(f"{self._at('logins')}/batch_id={batch_id}")
+        own = assign_epoch(own, starts, self.config.initial_epoch).select(*CONNECTIONS.names)
         if late:
-            all_logins = self.logins(spark, starts)
-            self._replace_from(spark, first, starts, all_logins, live_sessions)
-            state = prune_connections(all_logins)
+            logins = self.logins(spark, starts)
         else:
             # What went before is needed only as the newest login per session and epoch.
-            own = spark.read.schema(_LOGIN_EVENTS).parquet(f"{self._at('logins')}/batch_id={batch_id}")
-            own = assign_epoch(own, starts, self.config.initial_epoch).select(*CONNECTIONS.names)
             logins = self.state(spark, "login_state", CONNECTIONS, batch_id).unionByName(own)
+        state = prune_connections(logins)
+
+        if late and (
+            not starts.exceptAll(known).isEmpty()
+            or not tables.not_stored(own, self.logins(spark, starts, before=batch_id), LOGIN_KEY).isEmpty()
+        ):
+            self._replace_from(spark, first, starts, logins, live_sessions)
+        else:
             fresh = self._attributed(dated, logins, live_sessions, self._stored_keys(spark, events))
             # Few files per date for a small batch, more for a large one.
             fresh.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(self._at("audit"))
-            state = prune_connections(logins)
         self._save_state(state, "login_state", batch_id)
 
         # Last of all, so that a batch counts as done only when all it writes is there.
@@ -204,7 +216,8 @@ class AuditStore:
                 for c in ("client_net_address", "client_app_name", "source")
             }
         )
-        again = materialise(again.select(*_STORED_AUDIT.names), "late")
+        work = [new_work_path(spark, "late"), new_work_path(spark, "late")]
+        again = write_and_read(again.select(*_STORED_AUDIT.names), work[0])
         touched = (
             again.select("event_date")
             .union(stored.where(F.col("file_name") >= first).select("event_date"))
@@ -212,13 +225,15 @@ class AuditStore:
         )
         # Rows of earlier files in those dates are kept. Dates are few, so this join moves nothing.
         kept = stored.where(F.col("file_name") < first).join(touched, "event_date", "left_semi")
-        replaced = materialise(kept.select(*again.columns).unionByName(again), "late")
+        replaced = write_and_read(kept.select(*again.columns).unionByName(again), work[1])
         (
             replaced.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("event_date")
             .parquet(self._at("audit"))
         )
+        for path in work:
+            tables.remove(spark, path)
 
     def apply_retention(self, as_of: dt.datetime) -> list[str]:
         """Forget what is older than the retention, seen from ``as_of`` (UTC). Run it while the stream rests.
@@ -245,8 +260,10 @@ class AuditStore:
                 config.keep_open_sessions,
                 at="at",
             )
-            kept = materialise(kept.select(*CONNECTIONS.names), "login_state")
+            work = new_work_path(spark, "login_state")
+            kept = write_and_read(kept.select(*CONNECTIONS.names), work)
             self._save_state(kept, "login_state", max(int(v) for v in versions))
+            tables.remove(spark, work)
         return tables.purge_before(spark, self._at("audit"), cutoff, "event_time", "event_date")
 
 
