@@ -111,7 +111,7 @@ NO_DATABASE = "nom de base de données absent"
 LOST_FILE_PREFIX = "Lost audit file: "
 MIN_USER_SESSION = 50
 RETENTION_DAYS = 45
-DEFAULT_EPOCH = dt.datetime(2000, 1, 1)
+DEFAULT_EPOCH = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
 
 
 @dataclass(frozen=True)

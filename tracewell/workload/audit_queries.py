@@ -451,7 +451,7 @@ def legacy_migration(spark, sf_dir):
         "client_app_name",
         "event_sequence",
     )
-    return migrate_legacy(old, "HistoriqueConnexions").withColumn("epoch", F.col("epoch").cast("timestamp_ntz"))
+    return migrate_legacy(old, "HistoriqueConnexions").withColumn("epoch", display_time("epoch", "UTC"))
 
 
 @query(
