@@ -7,6 +7,7 @@ duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
 from check import compare  # noqa: E402
+from tracewell.workload.registry import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -20,7 +21,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     state, _, _, note = compare(spark, con, name, SF)
     assert state in ("ok", "rows only"), note
@@ -30,7 +31,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_nested_loop(spark, name):
-    text = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
