@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from tracewell.llm import classifier_queries, native_queries, text_queries  # noqa: F401
+from tracewell.llm import classifier_queries, native_queries, text_queries, vector_queries  # noqa: F401
 from tracewell.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.arrays import pack, unpack
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 6, 8)
 BINS = 1 << 20
-FEATURES = 1 << 15
+FEATURES = 1 << 10
 FIT_ROWS = 12_000
 #: Characters worked on at once; longer texts go piece by piece, pieces overlapping by the longest n-gram.
 PIECE = 1 << 20
