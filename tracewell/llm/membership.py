@@ -19,8 +19,12 @@ def bit_of(*cols: str | Column, bits: int = BITS) -> Column:
 
 def bitmap(df: DataFrame, *cols: str, bits: int = BITS) -> bytes:
     """One bit for each hash of ``cols``: at most ``bits / 64`` rows of a number each come to the driver."""
-    bit = df.select(bit_of(*cols, bits=bits).alias("bit"))
-    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+    return bitmap_of_bits(df.select(bit_of(*cols, bits=bits).alias("bit")), bits)
+
+
+def bitmap_of_bits(df: DataFrame, bits: int = BITS) -> bytes:
+    """The same from a column ``bit`` of bit numbers."""
+    words = df.groupBy(F.shiftright("bit", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask")
     )
     out = np.zeros(bits // 64, np.int64)

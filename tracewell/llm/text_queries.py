@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe_replay, window_dedup
+from tracewell.llm import bpe_replay, order_minhash, window_dedup
 from tracewell.llm.registry import query, table
 
 
@@ -29,3 +29,9 @@ def bpe_replay_query(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_order_minhash")
+def order_minhash_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.near_duplicates(docs).select("doc_id", "class_id", "kept")
