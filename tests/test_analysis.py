@@ -187,6 +187,14 @@ def test_split_batches(spark):
     ]
 
 
+def test_split_batches_by_line_feeds_and_any_character(spark):
+    script = "a \ue000 b\nGO\nc\r\nGO\nd\n"
+    got = reports.split_batches(spark.createDataFrame([(1, script), (2, "--GO\nx"), (3, None)], "id int, script string"), "id")
+    assert rows(got, "id", "chunk_no", "batch_no", "batch") == [
+        (1, 0, 0, "a \ue000 b"), (1, 0, 1, "c"), (1, 0, 2, "d\n"), (2, 0, 0, ""), (2, 1, 0, "\nx")
+    ]
+
+
 def test_templates_and_messages(spark):
     errors = spark.createDataFrame(
         [(1, 2, 3, 4, "p", "boom"), (1, 2, 3, None, None, "boom"), (1, 2, 3, 4, "p", None), (1, 2, 3, None, "#errstate#", "#ERRNUMBER#")],

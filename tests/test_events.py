@@ -91,8 +91,7 @@ def test_user_activity(spark):
     assert rows(user_activity(df, is_system="is_system")) == [(51, False)]
 
 
-@pytest.mark.parametrize("max_inline", [64, 0])
-def test_epochs(spark, max_inline):
+def test_epochs(spark):
     events = [
         ("T_0_01", 5, at(1, 1)),  # before any restart
         ("T_0_02", 1, at(1, 2)),
@@ -103,7 +102,7 @@ def test_epochs(spark, max_inline):
         ("T_0_05", 2, at(1, 6)),
     ]
     df = spark.createDataFrame(events, "file_name string, event_sequence long, event_time timestamp")
-    got = epochs.assign_epoch(df, initial=at(1, 0), max_inline=max_inline)
+    got = epochs.assign_epoch(df, initial=at(1, 0))
     expected = {"T_0_01": at(1, 0), "T_0_02": at(1, 2), "T_0_03": at(1, 2), "T_0_04": at(1, 5), "T_0_05": at(1, 5)}
     assert {(r.file_name, r.epoch) for r in got.collect()} == set(expected.items())
     assert got.count() == len(events)

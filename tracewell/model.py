@@ -124,4 +124,4 @@ class AuditConfig:
     keep_open_sessions: bool = False
     keep_raw: bool = False
     bucket_rows: int = 1_000_000
-    initial_epoch: dt.datetime | None = None
+    initial_epoch: dt.datetime = DEFAULT_EPOCH

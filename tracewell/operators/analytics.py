@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.times import display_time
+from tracewell.functions.times import display_time, utc_date
 from tracewell.plans.asof import DEFAULT_BUCKET_ROWS, previous_value
 
 # Job run codes.
 RUN_STATUS = {0: "Failed", 1: "Succeeded", 2: "Retry", 3: "Canceled", 4: "In Progress"}
 
-# "SELECT Fen=<3 digits>,Seq=<5 digits>", perhaps after one comment.
-NUMBERED_STATEMENT = r"^(?:/\*[^*]*\*/)?SELECT Fen=([0-9]{3}),Seq=([0-9]{5})"
+# "SELECT Fen=<digits>,Seq=<digits>", perhaps after one comment; numbers are usually padded to 3 and 5 digits.
+NUMBERED_STATEMENT = r"^(?:/\*[^*]*\*/)?SELECT Fen=([0-9]+),Seq=([0-9]+)(?![0-9])"
 
 
 def host_most_used(
@@ -165,11 +165,11 @@ def browse_audit(
     if since is not None:
         audit = audit.where(F.col(at) >= F.lit(since))
         if date_column in audit.columns:
-            audit = audit.where(F.col(date_column) >= F.to_date(F.lit(since)))
+            audit = audit.where(F.col(date_column) >= utc_date(F.lit(since)))
     if until is not None:
         audit = audit.where(F.col(at) < F.lit(until))
         if date_column in audit.columns:
-            audit = audit.where(F.col(date_column) <= F.to_date(F.lit(until)))
+            audit = audit.where(F.col(date_column) <= utc_date(F.lit(until)))
     if principal is not None:
         audit = audit.where(F.col("server_principal_name") == principal)
     if from_live_view is not None:

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.plans.steps import MAX_INLINE_STEPS, step_lookup
+from tracewell.model import DEFAULT_EPOCH
+from tracewell.plans.steps import step_lookup
 
 
 def trace_starts(events: DataFrame) -> DataFrame:
@@ -23,15 +24,16 @@ def trace_starts(events: DataFrame) -> DataFrame:
 def assign_epoch(
     events: DataFrame,
     starts: DataFrame | None = None,
-    initial: dt.datetime | None = None,
-    max_inline: int = MAX_INLINE_STEPS,
+    initial: dt.datetime = DEFAULT_EPOCH,
 ) -> DataFrame:
-    """Add ``epoch``. A file without a restart continues the epoch of the file before it, by name."""
+    """Add ``epoch``. A file without a restart continues the epoch of the file before it, by name.
+
+    Files before the first restart seen belong to the ``initial`` epoch, which is never NULL: logins and statements of
+    a trace that was exported from the middle of a run still meet.
+    """
     if starts is None:
         starts = trace_starts(events)
-    return step_lookup(
-        events, "file_name", starts, "file_name", "epoch", out="epoch", default=initial, max_inline=max_inline
-    )
+    return step_lookup(events, "file_name", starts, "file_name", "epoch", out="epoch", default=initial)
 
 
 def rank_epochs(df: DataFrame, epoch: str = "epoch", out: str = "session_history_rank") -> DataFrame:

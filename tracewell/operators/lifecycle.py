@@ -56,9 +56,10 @@ def retain(
 def retain_epochs(
     logins: DataFrame, as_of: dt.datetime | Column, days: int = RETENTION_DAYS, epoch: str = "epoch"
 ) -> DataFrame:
-    """Drop logins of expired epochs, but never those of the newest epoch, whatever its age."""
+    """Drop logins of expired epochs, but never those of the newest epoch, whatever its age, or without an epoch."""
     newest = logins.agg(F.max(epoch))
-    return logins.where((F.col(epoch) >= cutoff(as_of, days)) | (F.col(epoch) == newest.scalar()))
+    kept = (F.col(epoch) >= cutoff(as_of, days)) | (F.col(epoch) == newest.scalar())
+    return logins.where(F.col(epoch).isNull() | kept)
 
 
 def epoch_retention_report(
@@ -82,9 +83,11 @@ def retain_connections(
     if not keep_open_sessions:
         return retain(kept, at, as_of, days)
     newest = kept.groupBy("session_id", "epoch").agg(F.max("event_sequence").alias("__newest"))
+    newest = newest.select(F.col("session_id").alias("__session"), F.col("epoch").alias("__epoch"), "__newest")
     young = F.coalesce(F.col(at) >= cutoff(as_of, days), F.lit(True))
+    same = F.col("session_id").eqNullSafe(F.col("__session")) & F.col("epoch").eqNullSafe(F.col("__epoch"))
     return (
-        kept.join(newest, ["session_id", "epoch"])
+        kept.join(newest, same)
         .where(young | (F.col("event_sequence") == F.col("__newest")))
         .select(*logins.columns)
     )

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.masking import masked
 
-# A private-use character that stands for "cut here".
-_CUT = "\ue000"
-
-
 def alert_digest(log: DataFrame, n: int = 3, separator: str = "<br>", tie: str | None = None) -> DataFrame:
     """The last ``n`` log messages, newest first, in one text. ``n`` bounds what is gathered."""
     order = [F.desc("msg_date")] + ([F.desc(tie)] if tie else [])
@@ -36,35 +32,58 @@ def statement_fingerprints(audit: DataFrame, text: str = "statement") -> DataFra
 def split_batches(scripts: DataFrame, key: str, text: str = "script") -> DataFrame:
     """Batches of each script: cut at lines that hold only GO, outside of literals and comments.
 
-    ``--GO`` lines cut the script into chunks first; ``--GO E-`` mutes errors from its chunk on and
-    ``--GO E+`` reports them again.
+    ``--GO`` lines cut the script into chunks first; ``--GO E-`` mutes errors from the chunk that it ends on and
+    ``--GO E+`` reports them again. A later chunk begins with the break of the line that cut it off. Lines end in CRLF or LF; a batch keeps the breaks between its own lines. Cuts are
+    line numbers, so no character of a script has a meaning of its own.
     """
-    lines = F.split(text, "\r\n")
-    marks = F.filter(lines, lambda x: F.upper(x).like("--GO%"))
-    chunks = F.split(
-        F.array_join(F.transform(lines, lambda x: F.when(F.upper(x).like("--GO%"), _CUT).otherwise(x)), "\r\n"),
-        f"\r\n{_CUT}",
-    )
+    lines = _lines(text)
+    marked = F.transform(lines, lambda x: F.upper(x["line"]).like("--GO%"))
     chunked = (
-        scripts.select(key, marks.alias("marks"), F.posexplode(chunks).alias("chunk_no", "chunk"))
-        .withColumn("marks", F.slice("marks", 1, F.col("chunk_no") + 1))
-        .withColumn(
-            "switches",
-            F.filter("marks", lambda m: F.upper(m).like("--GO E+%") | F.upper(m).like("--GO E-%")),
-        )
+        scripts.select(key, lines.alias("lines"), marked.alias("marked"))
+        .select(key, "lines", F.posexplode(_runs("lines", "marked")).alias("chunk_no", "run"))
+        .withColumn("marks", F.filter(F.slice("lines", 1, F.col("run.start") + F.col("run.n") + 1), lambda x: F.upper(x["line"]).like("--GO E_%")))
+        .withColumn("switches", F.filter("marks", lambda x: F.substring(x["line"], 7, 1).isin("+", "-")))
         .withColumn(
             "errors_muted",
-            F.coalesce(F.upper(F.try_element_at("switches", F.lit(-1))).like("--GO E-%"), F.lit(False)),
+            F.coalesce(F.substring(F.try_element_at("switches", F.lit(-1))["line"], 7, 1) == "-", F.lit(False)),
         )
+        .withColumn("cut_end", F.when(F.col("chunk_no") > 0, F.get("lines", F.col("run.start") - 1)["end"]).otherwise(F.lit("")))
+        .withColumn("chunk", F.concat("cut_end", _joined("lines", "run")))
         .withColumn("mask", masked("chunk"))
     )
-    kept = F.zip_with(
-        F.split("chunk", "\r\n"),
-        F.split("mask", "\r\n"),
-        lambda line, copy: F.when((F.upper(F.trim(line)) == "GO") & (line == copy), _CUT).otherwise(line),
+    own = chunked.select(
+        key, "chunk_no", "errors_muted", _lines("chunk").alias("lines"), F.split("mask", "\r?\n").alias("masked")
+    )
+    go = F.zip_with(
+        "lines", "masked", lambda x, copy: (F.upper(F.trim(x["line"])) == "GO") & (x["line"] == copy)
     )
-    batches = F.split(F.array_join(kept, "\r\n"), f"(?:\r\n)?{_CUT}(?:\r\n)?")
-    return chunked.select(key, "chunk_no", "errors_muted", F.posexplode(batches).alias("batch_no", "batch"))
+    cut = own.withColumn("go", F.transform(go, lambda x: F.coalesce(x, F.lit(False))))
+    runs = cut.select(key, "chunk_no", "errors_muted", "lines", F.posexplode(_runs("lines", "go")).alias("batch_no", "run"))
+    return runs.select(key, "chunk_no", "errors_muted", "batch_no", _joined("lines", "run").alias("batch"))
+
+
+def _lines(text: str) -> Column:
+    """line, end (its break, empty for the last) of each line."""
+    breaks = F.regexp_extract_all(text, F.lit("\r?\n"), F.lit(0))
+    return F.zip_with(
+        F.split(text, "\r?\n"), breaks, lambda x, y: F.struct(x.alias("line"), F.coalesce(y, F.lit("")).alias("end"))
+    )
+
+
+def _runs(lines: str, cuts: str) -> Column:
+    """start (lines before it), n: the runs of lines between those where ``cuts`` is true."""
+    at = F.filter(F.transform(cuts, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size(lines)))
+    pairs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(
+        (a + 1).alias("start"), (b - a - 1).alias("n")))
+    return pairs
+
+
+def _joined(lines: str, run: str) -> Column:
+    """Text of a run of lines, without the break after its last line."""
+    own = F.slice(lines, F.col(run)["start"] + 1, F.col(run)["n"])
+    texts = F.transform(own, lambda x, i: F.concat(x["line"], F.when(i < F.col(run)["n"] - 1, x["end"]).otherwise(F.lit(""))))
+    return F.array_join(texts, "")
 
 
 def sample_rows(df: DataFrame, key: str, fraction: float, first: int, required: str) -> DataFrame:

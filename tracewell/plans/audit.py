@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.times import utc_date
 from tracewell.model import FULL_AUDIT, LIVE_SESSIONS, AuditConfig
 from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch
@@ -70,4 +71,4 @@ def audit_batch(
 
 
 def audit_columns(attributed: DataFrame) -> DataFrame:
-    return attributed.select(*FULL_AUDIT.names, "source", F.to_date("event_time").alias("event_date"))
+    return attributed.select(*FULL_AUDIT.names, "source", utc_date("event_time").alias("event_date"))

@@ -8,65 +8,50 @@ from pyspark.sql import types as T
 
 from tracewell.plans.asof import asof_join
 
-MAX_INLINE_STEPS = 64
+_VALUE, _CELL, _NONE = "__step", "__cell", "__none"
+#: Characters that tell cells of text keys apart, after what all keys have in common.
+CELL_LENGTH = 6
 
-_VALUE, _PREFIX = "__step", "__prefix"
 
-
-def _as_text(c: str, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.TimestampType):  # an instant, whatever the session time zone
-        return F.unix_micros(c).cast("string")
-    return F.col(c).cast("string")
-
-
-def _literal(text: str | None, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.TimestampType) and text is not None:
-        return F.timestamp_micros(F.lit(int(text)))
-    return F.lit(text).cast(dtype)
+def _common_length(keys: DataFrame, key: str) -> Column:
+    """Characters that all keys begin with, as a scalar of the plan; NULL without keys."""
+    edges = keys.agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    shorter = F.least(F.char_length("a"), F.char_length("b"))
+    same = F.filter(F.sequence(F.lit(0), shorter), lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i))
+    return edges.select((F.size(same) - 1).alias("n")).scalar()
 
 
 def step_lookup(
-    df: DataFrame,
-    key: str,
-    steps: DataFrame,
-    start: str,
-    value: str,
-    out: str,
-    default=None,
-    max_inline: int = MAX_INLINE_STEPS,
-    prefix_length: int = 12,
+    df: DataFrame, key: str, steps: DataFrame, start: str, value: str, out: str, default=None
 ) -> DataFrame:
     """Add ``out``: the ``value`` of the greatest ``start`` at or below ``key``, else ``default``.
 
-    Steps are rare (a trace restart, a week). Up to ``max_inline`` of them become one codegen expression, so
-    the rows are neither shuffled nor joined. Beyond that bound the distinct keys are resolved by an as-of
-    join cut by key prefix, and joined back on the key.
+    A NULL value of a step does not hide the step before it; of several steps with one start the greatest value holds;
+    a NULL start is no step and a NULL key gets the default. The distinct keys (one per file, or per week) are resolved by an
+    as-of join, cut by the characters in which the keys begin to differ, by day, or by range of numbers. The rows are then
+    joined with their keys; whether that is a broadcast is Spark's choice by size and changes no value.
     """
-    dtype, start_type = steps.schema[value].dataType, steps.schema[start].dataType
-    last_resort = F.lit(default).cast(dtype)
-    head = (
-        steps.select(_as_text(start, start_type).alias("s"), _as_text(value, dtype).alias("v"))
-        .limit(max_inline + 1)
-        .collect()
-    )
-    if len(head) <= max_inline:
-        numeric = isinstance(start_type, (T.IntegralType, T.TimestampType))
-        head.sort(key=lambda r: int(r.s) if numeric else r.s.encode(), reverse=True)
-        hits = [F.when(F.col(key) >= _literal(r.s, start_type), _literal(r.v, dtype)) for r in head]
-        return df.withColumn(out, F.coalesce(*hits, last_resort))
-
-    def cut(c: str) -> Column:
-        text = F.col(c).cast("string")
-        if isinstance(start_type, T.StringType):
-            return F.substring(text, 1, prefix_length)
-        if isinstance(start_type, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_trunc("day", F.col(c)).cast("string")
-        return F.floor(F.col(c) / F.lit(1_000_000)).cast("long")
-
-    keys = df.select(key).distinct().withColumn(_PREFIX, cut(key))
-    marks = steps.select(
-        F.col(start).alias(key), F.struct(F.col(value).alias("v")).alias(_VALUE), cut(start).alias(_PREFIX)
-    )
-    resolved = asof_join(keys, marks, by=[], bucket=[_PREFIX], order=[key], payload=_VALUE, strict=False)
+    start_type = steps.schema[start].dataType
+    keys = df.select(key).distinct()
+    marks = steps.where(F.col(value).isNotNull() & F.col(start).isNotNull())
+    if isinstance(start_type, T.StringType):
+        length = F.coalesce(_common_length(keys, key), F.lit(0)) + CELL_LENGTH
+
+        def cut(c):
+            return F.substring(c, F.lit(1), length)
+    elif isinstance(start_type, (T.TimestampType, T.TimestampNTZType)):
+
+        def cut(c):
+            return F.date_trunc("day", F.col(c)).cast(start_type)
+    else:
+
+        def cut(c):
+            return F.floor(F.col(c) / F.lit(1_000_000)).cast("long")
+
+    keys = keys.withColumn(_CELL, cut(key))
+    marks = marks.select(F.col(start).alias(key), F.struct(F.col(value).alias("v")).alias(_VALUE), cut(start).alias(_CELL))
+    resolved = asof_join(keys, marks, by=[], bucket=[_CELL], order=[key], payload=_VALUE, strict=False)
     resolved = resolved.select(key, F.col(_VALUE)["v"].alias(out))
-    return df.join(resolved, key, "left").withColumn(out, F.coalesce(F.col(out), last_resort))
+    resolved = resolved.where(F.col(key).isNotNull())
+    last_resort = F.lit(default).cast(steps.schema[value].dataType)
+    return df.join(resolved, key, "left").select(*df.columns, F.coalesce(F.col(out), last_resort).alias(out))

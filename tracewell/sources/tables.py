@@ -10,10 +10,6 @@ from pyspark.sql import types as T
 
 from tracewell.session import new_work_path, write_and_read
 
-# Above this many dates a list of literals stops helping partition pruning.
-MAX_PRUNING_DATES = 400
-
-
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -53,6 +49,15 @@ def not_stored(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(stored.select(*keys), keys, "left_anti")
 
 
+def touching(stored: DataFrame, df: DataFrame, partition: str) -> DataFrame:
+    """Stored rows of the partitions that ``df`` touches. Rows without a partition value count as touched by such rows.
+
+    The semi join reaches the scan as a dynamic partition filter; there is no list of literals and so no bound on it.
+    """
+    touched = df.select(F.col(partition).alias("__touched")).distinct()
+    return stored.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
+
+
 def append_new(
     df: DataFrame, path: str, keys: list[str], partition_by: str | None = None, rebalance: bool = False
 ) -> None:
@@ -65,9 +70,7 @@ def append_new(
     if has_data(spark, path):
         stored = spark.read.schema(df.schema).parquet(path)
         if partition_by:
-            touched = [r[0] for r in df.select(partition_by).distinct().limit(MAX_PRUNING_DATES + 1).collect()]
-            if len(touched) <= MAX_PRUNING_DATES:
-                stored = stored.where(F.col(partition_by).isin([t for t in touched if t is not None]))
+            stored = touching(stored, df, partition_by)
         df = not_stored(df, stored, keys)
     if rebalance:
         df = df.hint("rebalance", partition_by) if partition_by else df.hint("rebalance")
@@ -78,12 +81,10 @@ def append_new(
 
 
 def batch_checkpoint(batch: DataFrame, stored: DataFrame | None = None, at: dt.datetime | None = None) -> DataFrame:
-    """One row: last file and offset of a batch (with its epoch, if known), unless that place is stored already."""
-    last = batch.agg(
-        F.max("file_name").alias("file_name"),
-        F.max("file_offset").alias("last_offset_done"),
-        (F.max("epoch") if "epoch" in batch.columns else F.lit(None).cast("timestamp")).alias("epoch"),
-    ).where(F.col("file_name").isNotNull())
+    """One row: last file of a batch and last offset in it (with its epoch, if known), unless stored already."""
+    epoch = F.col("epoch") if "epoch" in batch.columns else F.lit(None).cast("timestamp")
+    place = F.struct("file_name", F.col("file_offset").alias("last_offset_done"), epoch.alias("epoch"))
+    last = batch.where(F.col("file_name").isNotNull()).agg(F.max(place).alias("place")).dropna().select("place.*")
     when = F.lit(at).cast("timestamp") if at else F.current_timestamp()
     row = last.select("file_name", "last_offset_done", when.alias("chk_point_time"), "epoch")
     return not_stored(row, stored, ["file_name", "last_offset_done"]) if stored is not None else row

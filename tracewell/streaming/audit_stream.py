@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell.functions.times import display_time
+from tracewell.functions.times import utc_date
 from tracewell.model import CHECKPOINT, CONNECTIONS, EVENT_XML, FULL_AUDIT, LIVE_SESSIONS, RAW_EVENT, AuditConfig
 from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch, trace_starts
@@ -52,7 +52,7 @@ _LOGIN_EVENTS = T.StructType(
 
 
 def _event_date() -> Column:
-    return F.to_date(display_time("event_time", "UTC"))
+    return utc_date("event_time")
 
 
 class AuditStore:
@@ -126,13 +126,16 @@ class AuditStore:
         flat.write.mode("overwrite").partitionBy("event_class").parquet(events_path)
         events = spark.read.schema(flat.schema).parquet(events_path)
 
-        span = events.agg(F.min("file_name"), F.max("file_name"), F.max("file_offset")).first()
-        first, last, last_offset = span
-        if first is None:
+        place = F.struct("file_name", F.coalesce("file_offset", F.lit(0)).alias("offset"))
+        first_place, last_place = events.where("file_name IS NOT NULL").agg(F.min(place), F.max(place)).first()
+        if first_place is None:
             return
+        first, (last, last_offset) = first_place[0], last_place
         progress = tables.read_or_empty(spark, self._at("checkpoint"), _PROGRESS)
-        before = progress.where(F.col("batch_id") < batch_id).agg(F.max("file_name")).first()[0]
-        late = before is not None and first < before
+        done = F.max(F.struct("file_name", "last_offset_done"))
+        before = progress.where(F.col("batch_id") < batch_id).agg(done).first()[0]
+        # Parts of one file that do not begin after what is done are late like an earlier file.
+        late = before is not None and tuple(first_place) <= tuple(before)
 
         known = self.state(spark, "starts", _STARTS, batch_id)
         merged = known.unionByName(trace_starts(events)).groupBy("file_name").agg(F.min("epoch").alias("epoch"))
@@ -178,11 +181,8 @@ class AuditStore:
         """Keys already audited on the dates of a batch; None when there are none. Equal keys have equal dates."""
         if not tables.has_data(spark, self._at("audit")):
             return None
-        dates = extract_statements(events).select(_event_date().alias("d")).distinct().limit(tables.MAX_PRUNING_DATES + 1)
-        touched = [r.d for r in dates.collect()]
-        stored = self.stored_audit(spark)
-        if len(touched) <= tables.MAX_PRUNING_DATES:
-            stored = stored.where(F.col("event_date").isin([d for d in touched if d is not None]))
+        dates = extract_statements(events).select(_event_date().alias("event_date"))
+        stored = tables.touching(self.stored_audit(spark), dates, "event_date")
         return stored.select("session_id", "epoch", "event_sequence")
 
     def _attributed(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.operators import analytics, monitoring, reports
 from tracewell.plans.gates import all_match, keep_if
-from tracewell.plans.spread import spread
 from tracewell.workload import trace_view as tv
 from tracewell.workload.registry import query, table
 
@@ -565,21 +564,33 @@ def statement_fingerprints(spark, sf_dir):
     "split_batches",
     r"""
 WITH scripts AS (
-  SELECT doc_id, regexp_replace(regexp_replace(text, '[''■]|--|/\*', ' ', 'g'), '\s*\n\s*', chr(13) || chr(10), 'g') AS t
-  FROM documents
-), batches AS (
-  SELECT doc_id, string_split(replace(t, '. ', chr(1)), chr(1)) AS b FROM scripts
-)
-SELECT doc_id, CAST(i - 1 AS INTEGER) AS batch_no, b[i] AS batch FROM (SELECT *, unnest(generate_series(1, len(b))) AS i FROM batches)
+  SELECT doc_id, string_split(text, '. ') AS p, chr(10) AS lf, chr(13) || chr(10) AS crlf, chr(39) AS q FROM documents
+), chunks AS (
+  SELECT *, unnest(generate_series(1, len(p))) AS c FROM scripts
+)
+SELECT doc_id, CAST(c - 1 AS INTEGER) AS chunk_no, least(c, len(p) - 1) % 2 = 1 AS errors_muted,
+       CAST(b AS INTEGER) AS batch_no,
+       CASE WHEN b = 1 THEN 'exec x'
+            ELSE CASE WHEN c = 1 THEN '' WHEN c % 2 = 0 THEN crlf ELSE lf END
+                 || 'SELECT ' || q || replace(p[c], q, q || q) || q || crlf || '/* a' || lf || 'GO' || lf || '/* b */' || crlf
+                 || 'GO */ -- GO' END AS batch
+FROM chunks, (SELECT unnest([0, 1]) AS b)
 """,
 )
 def split_batches(spark, sf_dir):
-    # Documents as scripts: each sentence end becomes a GO line, what would open a literal or comment a blank.
-    plain = F.regexp_replace(F.regexp_replace("text", r"['■]|--|/\*", " "), r"\s*\n\s*", "\r\n")
-    scripts = spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.replace(plain, F.lit(". "), F.lit("\r\nGO\r\n")).alias("script")
+    # Each sentence is a literal, followed by a nested comment and a batch of its own; switches alternate, as do breaks.
+    sentence = F.transform(
+        F.split("text", r"\. "),
+        lambda x, i: F.concat(
+            F.when(i == 0, "").when(i % 2 == 1, "\r\n--GO E-\r\n").otherwise("\n--GO E+\n"),
+            F.lit("SELECT '"),
+            F.replace(x, F.lit("'"), F.lit("''")),
+            F.lit("'\r\n/* a\nGO\n/* b */\r\nGO */ -- GO\nGO\nexec x"),
+        ),
     )
-    return reports.split_batches(scripts, "doc_id").select("doc_id", "batch_no", "batch")
+    documents = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
+    scripts = documents.select("doc_id", F.array_join(sentence, "").alias("script"))
+    return reports.split_batches(scripts, "doc_id")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tracewell.functions.times import display_time
@@ -237,17 +239,16 @@ _SPLIT = "TIMESTAMP '2024-01-16 12:00:00'"
     tv.TRACE_SQL
     + f"""
 SELECT event_id, event_time, epoch, event_sequence FROM statements n
-WHERE event_time >= TIMESTAMP '2024-01-10 00:00:00' AND NOT EXISTS (
+WHERE NOT EXISTS (
   SELECT 1 FROM statements o WHERE o.event_time < {_SPLIT} AND o.event_time = n.event_time
     AND o.epoch = n.epoch AND o.event_sequence = n.event_sequence)
 """,
 )
 def audit_antijoin_append(spark, sf_dir):
-    # A batch from the 10th on, against a table filled up to noon of the 16th.
+    # The whole trace again, against a table filled up to noon of the 16th.
     statements = tv.statements(tv.trace(spark, sf_dir)).select("event_id", *AUDIT_KEY)
     stored = statements.where(F.col("event_time") < F.expr(f"TIMESTAMP_NTZ {_SPLIT[10:]}"))
-    batch = statements.where("event_time >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
-    return tables.not_stored(batch, stored, AUDIT_KEY)
+    return tables.not_stored(statements, stored, AUDIT_KEY)
 
 
 def _checkpoints(trace):
@@ -291,7 +292,8 @@ def next_file_events(spark, sf_dir):
     "batch_checkpoint",
     tv.TRACE_SQL
     + """
-SELECT max(file_name) AS file_name, max(file_offset) AS last_offset_done, max(epoch) AS epoch FROM trace
+SELECT file_name, file_offset AS last_offset_done, max(epoch) AS epoch FROM trace GROUP BY ALL
+ORDER BY file_name DESC, file_offset DESC LIMIT 1
 """,
 )
 def batch_checkpoint(spark, sf_dir):
@@ -299,6 +301,73 @@ def batch_checkpoint(spark, sf_dir):
     return tables.batch_checkpoint(trace, _checkpoints(trace)).drop("chk_point_time")
 
 
+@query(
+    "resume_after_batch",
+    tv.TRACE_SQL
+    + f"""
+, done AS (
+  SELECT file_name, file_offset FROM trace WHERE event_time < {_SPLIT} ORDER BY file_name DESC, file_offset DESC LIMIT 1
+)
+SELECT t.event_id, t.file_name, t.file_offset FROM trace t, done d
+WHERE t.file_name > d.file_name OR (t.file_name = d.file_name AND t.file_offset > d.file_offset)
+""",
+)
+def resume_after_batch(spark, sf_dir):
+    # A batch of many files ends inside one, at a lower offset than its earlier files reach. All the rest is pending.
+    trace = tv.trace_rows(spark, sf_dir)
+    batch = trace.where(F.col("event_time") < F.expr(f"TIMESTAMP_NTZ {_SPLIT[10:]}"))
+    done = tables.batch_checkpoint(batch.drop("epoch"))
+    return source.pending_events(trace.select("event_id", "file_name", "file_offset"), done)
+
+
+@query(
+    "epoch_many_restarts",
+    tv.TRACE_SQL
+    + """
+, named AS (
+  SELECT event_id, event_time, file_offset, file_name || '_' || lpad(CAST(file_offset AS VARCHAR), 2, '0') AS file_name
+  FROM trace
+), hours AS (
+  SELECT file_name, min(event_time) FILTER (WHERE file_offset % 3 = 0) AS started FROM named GROUP BY file_name
+), dated AS (
+  SELECT file_name, last_value(started IGNORE NULLS) OVER (ORDER BY file_name
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM hours
+)
+SELECT event_id, file_name, coalesce(epoch, TIMESTAMP '1999-12-31 00:00:00') AS epoch FROM named JOIN dated USING (file_name)
+""",
+)
+def epoch_many_restarts(spark, sf_dir):
+    # One file per hour, restarted every third hour.
+    trace = tv.trace_rows(spark, sf_dir).withColumn(
+        "file_name", F.concat_ws("_", "file_name", F.lpad(F.col("file_offset").cast("string"), 2, "0"))
+    )
+    starts = trace.where(F.col("file_offset") % 3 == 0).groupBy("file_name").agg(F.min("event_time").alias("epoch"))
+    files = trace.select("event_id", "file_name")
+    return epochs.assign_epoch(files, starts, initial=dt.datetime(1999, 12, 31))
+
+
+@query(
+    "epoch_before_first_restart",
+    tv.TRACE_SQL
+    + """
+, tail AS (
+  SELECT * FROM trace WHERE epoch > (SELECT min(epoch) FROM trace) OR event_sequence > 100
+)
+SELECT event_id, file_name, event_sequence,
+       CASE WHEN epoch = (SELECT min(epoch) FROM trace) THEN TIMESTAMP '2000-01-01 00:00:00'
+            ELSE (SELECT min(event_time) FROM trace t WHERE t.epoch = tail.epoch) END AS epoch
+FROM tail
+""",
+)
+def epoch_before_first_restart(spark, sf_dir):
+    # The trace is exported from the middle of its first run: the restart of that run is not in it.
+    trace = tv.trace(spark, sf_dir).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    first = trace.agg(F.min("epoch")).scalar()
+    tail = trace.where((F.col("epoch") > first) | (F.col("event_sequence") > 100))
+    dated = epochs.assign_epoch(tail.select("event_id", "file_name", "event_sequence", "event_time"))
+    return dated.drop("event_time").withColumn("epoch", display_time("epoch", "UTC"))
+
+
 @query(
     "prune_connections",
     tv.TRACE_SQL

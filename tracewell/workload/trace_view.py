@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import text_to_utf16_hex
-from tracewell.plans.spread import spread
-from tracewell.plans.steps import step_lookup
 from tracewell.workload.registry import table
 
 ADDRESS = "CASE WHEN k % 10 <> 0 THEN concat('10.0.0.', k) END"
@@ -74,7 +72,7 @@ def _rows(source: DataFrame) -> DataFrame:
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = events(spark, sf_dir)
     firsts = source.groupBy(_week("ts").alias("epoch")).agg(F.min("event_id").alias("first_id"))
-    numbered = step_lookup(_rows(source), "epoch", firsts, "epoch", "first_id", out="first_id")
+    numbered = _rows(source).join(firsts, "epoch")
     return numbered.withColumn("event_sequence", F.col("event_id") - F.col("first_id") + 1).drop("first_id")
 
 
@@ -176,7 +174,9 @@ def raw_trace(trace: DataFrame) -> DataFrame:
         *body,
         F.lit("</event>"),
     )
-    return spread(trace).select("file_name", "file_offset", xml.alias("event_data"))
+    # Building and parsing XML is dear: small tables, read as one partition, are dealt out before it.
+    dealt = trace.repartition(trace.sparkSession.sparkContext.defaultParallelism)
+    return dealt.select("file_name", "file_offset", xml.alias("event_data"))
 
 
 # What the raw trace must turn into.
