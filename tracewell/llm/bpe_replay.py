@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that a task keeps encoded; text bytes whose new words are replayed together.
-KEEP_WORDS = 300_000
-REPLAY_BYTES = 32_000_000
+KEEP_WORDS = 150_000
+REPLAY_BYTES = 12_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -233,12 +233,30 @@ def _decoder(ranks):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row. ``ranks`` is broadcast: a vocabulary."""
+def _both(ranks, pattern: str):
+    encoded, decoded = _encoder(ranks, pattern), _decoder(ranks)
+    return lambda batches: decoded(encoded(batches))
+
+
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    and_decode: bool = False,
+) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row. ``ranks`` is broadcast: a vocabulary.
+
+    ``and_decode`` adds ``decoded``, the bytes that the ids stand for, in the same pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encoder(shared, pattern), f"doc_id {kind}, n_tokens long, ids binary")
+    schema = f"doc_id {kind}, n_tokens long, ids binary"
+    if and_decode:
+        return rows.mapInArrow(_both(shared, pattern), f"{schema}, decoded binary")
+    return rows.mapInArrow(_encoder(shared, pattern), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

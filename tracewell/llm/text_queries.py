@@ -22,8 +22,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def bpe_replay_query(spark, sf_dir):
     ranks = bpe_replay.read_ranks(spark, RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe_replay.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe_replay.decode(encoded, ranks).select(
+    both = bpe_replay.encode(docs, ranks, public_tokenizers.PATTERN, and_decode=True)
+    return both.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
