@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import quality, splits, toxicity
 from tracewell.llm.registry import query, table
+from tracewell.session import materialise
 
 
 def _result(scored, folds, fold):
@@ -27,6 +28,7 @@ def toxicity_query(spark, sf_dir):
 @query("op8_quality")
 def quality_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = splits.labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1)
-    model = quality.fit(quality.as_binary(rows, "body"))
-    return _result(quality.score(docs, model).withColumnRenamed("key", "doc_id"), 3, 1)
+    featured = materialise(quality.features(docs), "quality-features")
+    marks = splits.marks(table(spark, sf_dir, "labels"), "quality", 3, 1)
+    model = quality.fit(featured.join(marks, F.col("key") == F.col("doc_id")))
+    return _result(quality.score(featured, model).withColumnRenamed("key", "doc_id"), 3, 1)

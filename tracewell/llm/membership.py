@@ -6,7 +6,10 @@ wrong "may be" costs a shuffled row, never a result. The size does not grow with
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,13 @@ def bitmap_of_bits(df: DataFrame, bits: int = BITS) -> bytes:
 def may_contain(map_bytes: bytes, positions: np.ndarray) -> np.ndarray:
     words = np.frombuffer(map_bytes, np.int64)
     return (words[positions >> 6] >> (positions & 63) & 1).astype(bool)
+
+
+def rows_in(map_bytes: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the rows whose ``bit`` is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_contain(map_bytes, batch.column("bit").to_numpy())))
+
+    return run

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 TO_POOLED = 0.1
 TO_SPHERE = 0.02
@@ -97,22 +98,39 @@ class Model:
         return density[1] - density[0] + self.log_odds
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = pa.array([statistics(b.as_py()) for b in batch.column("body")], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), x], ["key", "x"])
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key (the id), x (the statistics of the text) of every row: what is shuffled and kept instead of texts."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("key"), body.alias("body"))
+    return rows.mapInArrow(_featured, f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(NAMES))
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(NAMES) + 1
     total = np.zeros((2, d, d))
     for batch in batches:
-        labels = batch.column("label").to_numpy()
-        x = np.array([[1.0, *statistics(b.as_py())] for b in batch.column("body")]).reshape(-1, d)
+        labels, x = batch.column("label").to_numpy(), _matrix(batch.column("x"))
+        x = np.column_stack([np.ones(len(x)), x])
         for k in (0, 1):
             own = x[labels == k]
             total[k] += own.T @ own
-    yield pa.RecordBatch.from_arrays([pa.array([total[0].ravel().tolist()]), pa.array([total[1].ravel().tolist()])], ["m0", "m1"])
+    yield pa.RecordBatch.from_arrays([pa.array([total[k].ravel().tolist()]) for k in (0, 1)], ["m0", "m1"])
 
 
 def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_sphere: float = TO_SPHERE) -> Model:
-    """``rows``: label, body (binary). One matrix of moments for each class comes to the driver."""
+    """``rows``: label, x. One matrix of moments for each class comes to the driver."""
     d = len(NAMES) + 1
-    parts = rows.select("label", "body").mapInArrow(_moments, "m0 array<double>, m1 array<double>")
+    parts = rows.select("label", "x").mapInArrow(_moments, "m0 array<double>, m1 array<double>")
     each = parts.select(F.posexplode(F.concat("m0", "m1")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(2 * d * d)
     for r in each:
@@ -143,19 +161,31 @@ def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_sphere: float = TO_SPH
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(b.as_py()) for b in batch.column("body")]).reshape(-1, len(NAMES))
-            score = 1 / (1 + np.exp(-np.clip(model.log_odds_of(x), -500, 500)))
+            score = 1 / (1 + np.exp(-np.clip(model.log_odds_of(_matrix(batch.column("x"))), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score, pa.float64())], ["key", "score"])
 
     return run
 
 
-def as_binary(rows: DataFrame, text_col: str) -> DataFrame:
-    return rows.withColumn("body", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+def score(featured: DataFrame, model: Model) -> DataFrame:
+    """key, score (0 to 1) of every row of ``features``."""
+    kind = featured.schema["key"].dataType.simpleString()
+    return featured.select("key", "x").mapInArrow(_scorer(model), f"key {kind}, score double")
+
+
+def _accepted(model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = float(np.log(least / (1 - least)))
+        for batch in batches:
+            x = np.array([statistics(b.as_py()) for b in batch.column("body")]).reshape(-1, len(NAMES))
+            yield batch.select(["row"]).filter(pa.array(model.log_odds_of(x) >= bound))
+
+    return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id), score (0 to 1) of every row."""
-    rows = as_binary(docs.select(F.col(id_col).alias("key"), text_col), text_col).select("key", "body")
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(model), f"key {kind}, score double")
+def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The input rows with a score of at least ``least``, all columns as they are."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct("*").alias("row"), body.alias("body"))
+    kept = rows.mapInArrow(_accepted(model, least), StructType([StructField("row", docs.schema)]))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrays import Rolling, WordHashes, pack, unpack
-from tracewell.llm.membership import bit_of, bitmap, may_contain
+from tracewell.llm.membership import bit_of, bitmap, may_contain, rows_in
 from tracewell.session import materialise
 
 WINDOW = 13
@@ -208,14 +208,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     clean = marked.select("doc_id", "body", "bit").mapInArrow(_cut(k, bits), _RESULT)
     # Each range and block gives a document one packed array: no more numbers than the document has windows.
     by_doc = hits.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
-    held = marked.where("doc_id IS NOT NULL").mapInArrow(_may_repeat(bits), "doc_id long, body binary, tag long, bit int")
+    held = marked.where("doc_id IS NOT NULL").mapInArrow(rows_in(bits), "doc_id long, body binary, tag long, bit int")
     cut = held.join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "body", "places")
     return clean.unionByName(cut.mapInArrow(_cut(k, None), _RESULT))
-
-
-def _may_repeat(bits: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_contain(bits, batch.column("bit").to_numpy())))
-
-    return run
