@@ -152,3 +152,20 @@ def _last_step(chosen: DataFrame) -> DataFrame:
     step = flip & F.coalesce("once", F.lit(False))
     copies = F.col("whole") + F.when(step, 1 - F.col("extra")).otherwise(F.col("extra"))
     return final.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The input rows, each as often as the mix takes it, all columns as they are."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), F.struct("*").alias("row")
+    )
+    mixed = mix(rows.select("id", "source", "size"), id_col="id", **options)
+    # Rows repeated under one id are numbered on both sides; their copies are dealt out among them.
+    keys = ["id", "source", "size"]
+    mine = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    theirs = mixed.select(F.col("doc_id").alias("id"), "source", "size", "copies")
+    theirs = theirs.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("copies")))
+    theirs = theirs.select(*(F.col(c).alias(f"{c}_2") for c in [*keys, "turn"]), "copies").where("copies > 0")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in [*keys, "turn"]]
+    joined = mine.join(theirs, same).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return joined.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -1,4 +1,10 @@
-"""All registered queries of this subpackage."""
+"""All registered queries of this subpackage, and the pipeline made of its operators."""
+
+import corpus_pipeline
 
 from tracewell.llm import classifier_queries, native_queries, text_queries, vector_queries  # noqa: F401
-from tracewell.llm.registry import ORACLES, QUERIES  # noqa: F401
+from tracewell.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrays import pack, unpack
+from tracewell.session import materialise
 
 ORDERS = (4, 6, 8)
 BINS = 1 << 20
@@ -124,6 +125,7 @@ def _present(chosen: np.ndarray):
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, l2: float = 1.0, steps: int = 300) -> Model:
     """``rows``: doc_id, body, label. What comes to the driver is bounded by ``BINS``, ``FEATURES`` and ``fit_rows``."""
+    rows = materialise(rows, "toxicity-rows")
     counts, total = class_counts(rows)
     prior = float(np.log((total[1] + 1) / (total[0] + 1)))
     if not total.all():
