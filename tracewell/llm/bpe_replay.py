@@ -114,7 +114,7 @@ class Merges:
         while queue:
             rank = heapq.heappop(queue)
             filed = index.pop(rank)
-            left = filed[0] if len(filed) == 1 else np.unique(np.concatenate(filed))
+            left = np.unique(np.concatenate(filed))
             left = left[pair[left] == rank]
             if not len(left):
                 continue
@@ -128,8 +128,14 @@ class Merges:
                         end = b
                 left, right = left[keep], right[keep]
             following = after[right]
+            met = token[following]
             token[left] = rank
             token[right] = -1
+            beside = np.flatnonzero((following >= 0) & (token[following] != met))
+            if len(beside):  # the next occurrence follows at once: one by one, this pair would have stood there first
+                early = self.rank(np.full(len(beside), rank), met[beside]) <= rank
+                if early.any():
+                    odd.append(left[beside[early]])
             pair[right] = _NONE
             after[left] = following
             has_next = following >= 0
