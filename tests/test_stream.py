@@ -140,3 +140,41 @@ def test_xml_files_and_retention(spark, tmp_path):
     later = at(9, 12).replace(month=6)
     assert store.apply_retention(later) == ["2024-03-09"]
     assert store.audit().count() == 0 and store.logins().count() == 0
+
+
+def test_parts_of_one_file_in_any_order(spark, tmp_path):
+    incoming, store = str(tmp_path / "in"), AuditStore(spark, str(tmp_path / "store"))
+    parts = [(10, statement_xml(20, at(1, 2), 60, "a")), (5, login_xml(2, at(1, 1), 60, "ann", "10.0.0.1", "app"))]
+    for offset, xml in parts:
+        spark.createDataFrame([("T_0_1.xml", offset, xml)], RAW_EVENT).coalesce(1).write.mode("append").parquet(incoming)
+        audit_stream(spark, incoming, store).awaitTermination()
+    assert rows(store.audit(), "statement", "client_net_address") == [("a", "10.0.0.1")]
+    assert store.checkpoints().count() == 2
+    assert rows(store.log(), "msg") == [("Audit stream started",)] * 2
+
+
+def test_spared_logins_serve_late_files(spark, tmp_path):
+    incoming = str(tmp_path / "in")
+    store = AuditStore(spark, str(tmp_path / "store"), AuditConfig(keep_open_sessions=True))
+    deliver(spark, incoming, "T_0_1.xml", [login_xml(2, at(1, 1), 60, "ann", "10.0.0.1", "app"), login_xml(3, at(1, 1), 61, "bob", "h", "b")])
+    audit_stream(spark, incoming, store).awaitTermination()
+    deliver(spark, incoming, "T_0_3.xml", [statement_xml(30, at(20, 1).replace(month=5), 60, "late user")])
+    audit_stream(spark, incoming, store).awaitTermination()
+    store.apply_retention(at(20, 2).replace(month=5))
+    assert store.logins().count() == 2 and store.checkpoints().count() == 2
+    deliver(spark, incoming, "T_0_2.xml", [login_xml(20, at(19, 1).replace(month=5), 62, "eve", "e", "e")])
+    audit_stream(spark, incoming, store).awaitTermination()
+    assert rows(store.audit(), "statement", "client_net_address") == [("late user", "10.0.0.1")]
+
+
+def test_log_names_lost_files_and_is_purged(spark, tmp_path):
+    incoming, store = str(tmp_path / "in"), AuditStore(spark, str(tmp_path / "store"))
+    deliver(spark, incoming, "T_0_1.xml", [statement_xml(1, at(1, 2), 60, "a")])
+    audit_stream(spark, incoming, store).awaitTermination()
+    store.note_lost_files(spark.createDataFrame([("/x/T_0_1.xml",)], "path string"))
+    store.note_lost_files(spark.createDataFrame([("/x/T_0_2.xml",)], "path string"))
+    assert rows(store.log(), "msg") == [("Audit stream started",), ("Lost audit file: T_0_1.xml",)]
+    store.apply_retention(at(1).replace(year=2099))
+    assert store.log().count() == 0 and store.checkpoints().count() == 1
+    with pytest.raises(ValueError):
+        audit_stream(spark, incoming, AuditStore(spark, str(tmp_path / "s2"), AuditConfig(keep_raw=True)), format="xml")

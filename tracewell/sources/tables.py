@@ -25,6 +25,11 @@ def has_data(spark: SparkSession, path: str) -> bool:
     )
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end."""
+    return _files(spark, path).exists(_path(spark, f"{path}/_SUCCESS"))
+
+
 def partition_values(spark: SparkSession, path: str, partition: str) -> list[str]:
     """Values of the partition folders right under ``path``."""
     fs, folder = _files(spark, path), _path(spark, path)

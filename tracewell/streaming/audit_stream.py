@@ -22,18 +22,31 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.times import utc_date
-from tracewell.model import CHECKPOINT, CONNECTIONS, EVENT_XML, FULL_AUDIT, LIVE_SESSIONS, RAW_EVENT, AuditConfig
+from tracewell.model import (
+    CHECKPOINT,
+    CONNECTIONS,
+    EVENT_XML,
+    FULL_AUDIT,
+    LIVE_SESSIONS,
+    PROCESS_LOG,
+    RAW_EVENT,
+    AuditConfig,
+)
 from tracewell.operators.attribution import attribute_with_fallback
 from tracewell.operators.epochs import assign_epoch, trace_starts
 from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
-from tracewell.operators.lifecycle import prune_connections, retain_connections
+from tracewell.operators.lifecycle import lost_files, prune_connections, retain, retain_connections
 from tracewell.plans.audit import AUDIT_KEY, LOGIN_KEY
 from tracewell.session import new_work_path, write_and_read
 from tracewell.sources import tables
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
 
 _STARTS = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("epoch", T.TimestampType())])
-_PROGRESS = T.StructType([*CHECKPOINT.fields, T.StructField("batch_id", T.LongType())])
+_PROGRESS = T.StructType(
+    [*CHECKPOINT.fields, T.StructField("newest_event", T.TimestampType()), T.StructField("batch_id", T.LongType())]
+)
+#: Batch number of the logins that outlive the batches they came in.
+_SPARED = -1
 _STORED_AUDIT = T.StructType(
     [
         T.StructField("file_name", T.StringType()),
@@ -94,6 +107,22 @@ class AuditStore:
             "file_name", "last_offset_done", "first.*"
         )
 
+    def log(self) -> DataFrame:
+        """Messages of the process: lost files, starts, failures."""
+        return tables.read_or_empty(self.spark, self._at("log"), PROCESS_LOG)
+
+    def add_to_log(self, messages: DataFrame | str) -> None:
+        if isinstance(messages, str):
+            messages = self.spark.range(1).select(F.lit(messages).alias("msg"))
+        tables.log_messages(messages, self._at("log"))
+
+    def note_lost_files(self, listing: DataFrame) -> None:
+        """Log the file that the newest checkpoint names, if ``listing`` (path) has it no longer."""
+        names = listing.select(F.element_at(F.split("path", "[/\\\\]"), -1).alias("path"))
+        gone = lost_files(self.checkpoints(), names)
+        if not gone.isEmpty():
+            self.add_to_log(gone)
+
     def state(self, spark: SparkSession, name: str, schema: T.StructType, before: int | None = None) -> DataFrame:
         """The newest version of a state table, or the newest before a batch."""
         versions = [
@@ -127,7 +156,9 @@ class AuditStore:
         events = spark.read.schema(flat.schema).parquet(events_path)
 
         place = F.struct("file_name", F.coalesce("file_offset", F.lit(0)).alias("offset"))
-        first_place, last_place = events.where("file_name IS NOT NULL").agg(F.min(place), F.max(place)).first()
+        first_place, last_place, newest = (
+            events.where("file_name IS NOT NULL").agg(F.min(place), F.max(place), F.unix_micros(F.max("event_time"))).first()
+        )
         if first_place is None:
             return
         first, (last, last_offset) = first_place[0], last_place
@@ -160,7 +191,7 @@ class AuditStore:
             not starts.exceptAll(known).isEmpty()
             or not tables.not_stored(own, self.logins(spark, starts, before=batch_id), LOGIN_KEY).isEmpty()
         ):
-            self._replace_from(spark, first, starts, logins, live_sessions)
+            self._replace_from(spark, first, starts, logins, live_sessions, batch_id)
         else:
             fresh = self._attributed(dated, logins, live_sessions, self._stored_keys(spark, events))
             # Few files per date for a small batch, more for a large one.
@@ -172,10 +203,12 @@ class AuditStore:
             F.lit(last).alias("file_name"),
             F.lit(last_offset).cast("long").alias("last_offset_done"),
             F.current_timestamp().alias("chk_point_time"),
+            F.timestamp_micros(F.lit(newest).cast("long")).alias("newest_event"),
         )
         place = assign_epoch(place, starts, self.config.initial_epoch)
         place.write.mode("overwrite").parquet(f"{self._at('checkpoint')}/batch_id={batch_id}")
         self._drop_old_state(spark, batch_id)
+        tables.remove(spark, self._at("_repair"))
 
     def _stored_keys(self, spark: SparkSession, events: DataFrame) -> DataFrame | None:
         """Keys already audited on the dates of a batch; None when there are none. Equal keys have equal dates."""
@@ -199,9 +232,40 @@ class AuditStore:
         return out.select("file_name", *FULL_AUDIT.names, "source", _event_date().alias("event_date"))
 
     def _replace_from(
-        self, spark: SparkSession, first: str, starts: DataFrame, logins: DataFrame, live_sessions: DataFrame
+        self,
+        spark: SparkSession,
+        first: str,
+        starts: DataFrame,
+        logins: DataFrame,
+        live_sessions: DataFrame,
+        batch_id: int,
+    ) -> None:
+        """Attribute again everything from file ``first`` on and replace the date partitions it touches.
+
+        The new partitions are complete in a folder of the store before the old ones go. A batch that is repeated after a
+        crash in between puts these in place and does not read the table it had begun to replace.
+        """
+        repair = f"{self._at('_repair')}/batch_id={batch_id}"
+        if not tables.is_complete(spark, repair):
+            self._write_repair(spark, repair, first, starts, logins, live_sessions)
+        (
+            spark.read.schema(_STORED_AUDIT)
+            .parquet(repair)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("event_date")
+            .parquet(self._at("audit"))
+        )
+
+    def _write_repair(
+        self,
+        spark: SparkSession,
+        path: str,
+        first: str,
+        starts: DataFrame,
+        logins: DataFrame,
+        live_sessions: DataFrame,
     ) -> None:
-        """Attribute again everything from file ``first`` on and replace the date partitions it touches."""
         events = spark.read.parquet(self._at("events")).where(F.col("file_name") >= first).drop("batch_id")
         stored = self.stored_audit(spark)
         again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
@@ -216,24 +280,17 @@ class AuditStore:
                 for c in ("client_net_address", "client_app_name", "source")
             }
         )
-        work = [new_work_path(spark, "late"), new_work_path(spark, "late")]
-        again = write_and_read(again.select(*_STORED_AUDIT.names), work[0])
+        work = new_work_path(spark, "late")
+        again = write_and_read(again.select(*_STORED_AUDIT.names), work)
         touched = (
             again.select("event_date")
             .union(stored.where(F.col("file_name") >= first).select("event_date"))
             .distinct()
         )
         # Rows of earlier files in those dates are kept. Dates are few, so this join moves nothing.
-        kept = stored.where(F.col("file_name") < first).join(touched, "event_date", "left_semi")
-        replaced = write_and_read(kept.select(*again.columns).unionByName(again), work[1])
-        (
-            replaced.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date")
-            .parquet(self._at("audit"))
-        )
-        for path in work:
-            tables.remove(spark, path)
+        kept = tables.touching(stored.where(F.col("file_name") < first), touched, "event_date")
+        kept.select(*again.columns).unionByName(again).write.mode("overwrite").parquet(path)
+        tables.remove(spark, work)
 
     def apply_retention(self, as_of: dt.datetime) -> list[str]:
         """Forget what is older than the retention, seen from ``as_of`` (UTC). Run it while the stream rests.
@@ -243,12 +300,9 @@ class AuditStore:
         spark, config = self.spark, self.config
         cutoff = as_of - dt.timedelta(days=config.retention_days)
         instant = F.timestamp_micros(F.lit(int(cutoff.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)))
-        if tables.has_data(spark, self._at("events")):
-            # One row per batch; a batch goes when its newest event is too old.
-            newest = spark.read.parquet(self._at("events")).groupBy("batch_id").agg(F.max("event_time").alias("t"))
-            for row in newest.where(F.col("t") < instant).collect():
-                for name in ("events", "logins", "quarantine", "raw"):
-                    tables.remove(spark, f"{self._at(name)}/batch_id={row.batch_id}")
+        progress = tables.read_or_empty(spark, self._at("checkpoint"), _PROGRESS)
+        # Each batch noted its newest event, so nothing but the expired batch numbers is read.
+        expired = [r.batch_id for r in progress.where(F.col("newest_event") < instant).select("batch_id").collect()]
         versions = tables.partition_values(spark, self._at("login_state"), "version")
         if versions:
             state = self.state(spark, "login_state", CONNECTIONS)
@@ -263,10 +317,50 @@ class AuditStore:
             work = new_work_path(spark, "login_state")
             kept = write_and_read(kept.select(*CONNECTIONS.names), work)
             self._save_state(kept, "login_state", max(int(v) for v in versions))
+            self._spare_logins(spark, kept, expired)
             tables.remove(spark, work)
+        for batch in expired:
+            for name in ("events", "logins", "quarantine", "raw"):
+                tables.remove(spark, f"{self._at(name)}/batch_id={batch}")
+        self._forget_places(spark, progress, instant)
         return tables.purge_before(spark, self._at("audit"), cutoff, "event_time", "event_date")
 
 
+    def _spare_logins(self, spark: SparkSession, kept: DataFrame, expired: list[int]) -> None:
+        """Logins of expired batches that the state still holds move to a batch of their own, for late files to find."""
+        batch = T.StructField("batch_id", T.LongType())
+        seen = tables.read_or_empty(spark, self._at("logins"), T.StructType([*_LOGIN_EVENTS.fields, batch]))
+        leaving = seen.where(F.col("batch_id").isin([_SPARED, *expired])).drop("batch_id")
+        dated = assign_epoch(leaving, self.state(spark, "starts", _STARTS), self.config.initial_epoch)
+        spared = dated.join(kept.select(*LOGIN_KEY), LOGIN_KEY, "left_semi").select(*_LOGIN_EVENTS.names).distinct()
+        work = new_work_path(spark, "spared")
+        spared = write_and_read(spared, work)
+        spared.write.mode("overwrite").parquet(f"{self._at('logins')}/batch_id={_SPARED}")
+        tables.remove(spark, work)
+
+    def _forget_places(self, spark: SparkSession, progress: DataFrame, instant: Column) -> None:
+        """Old checkpoints but the furthest one, old log messages, and restarts that no retained event can belong to."""
+        furthest = progress.agg(F.max_by("batch_id", F.struct("file_name", "last_offset_done"))).first()[0]
+        old = progress.where((F.col("chk_point_time") < instant) & (F.col("newest_event") < instant)).select("batch_id")
+        for row in old.collect():
+            if row.batch_id != furthest:
+                tables.remove(spark, f"{self._at('checkpoint')}/batch_id={row.batch_id}")
+        versions = tables.partition_values(spark, self._at("starts"), "version")
+        work = [new_work_path(spark, "starts"), new_work_path(spark, "log")]
+        if versions:
+            starts = self.state(spark, "starts", _STARTS)
+            # The last restart before the cutoff still holds for the events after it.
+            last = starts.where(F.col("epoch") < instant).agg(F.max("file_name")).scalar()
+            kept = write_and_read(starts.where(F.coalesce(F.col("file_name") >= last, F.lit(True))), work[0])
+            self._save_state(kept, "starts", max(int(v) for v in versions))
+        if tables.has_data(spark, self._at("log")):
+            now = instant + F.expr(f"INTERVAL {self.config.retention_days} DAYS")
+            kept = write_and_read(retain(self.log(), "msg_date", now, self.config.retention_days), work[1])
+            kept.write.mode("overwrite").parquet(self._at("log"))
+        for path in work:
+            tables.remove(spark, path)
+
+
 def audit_stream(
     spark: SparkSession,
     path: str,
@@ -282,6 +376,8 @@ def audit_stream(
     ``format`` is that of a raw event table, or ``xml`` for exported trace files. ``source_options`` go to the
     file source, for instance ``cleanSource`` to archive or delete finished files.
     """
+    if format == "xml" and store.config.keep_raw:
+        raise ValueError("raw events are kept only from a raw event table: exported files are the raw events themselves")
     reader = spark.readStream.format(format)
     if format == "xml":
         reader = reader.schema(EVENT_XML).option("rowTag", "event").option("ignoreSurroundingSpaces", "false")
@@ -301,8 +397,13 @@ def audit_stream(
             if store.config.keep_raw:
                 tables.capture_raw(batch, f"{store.path}/raw", batch_id)
             batch = parse_trace_events(batch)
-        store.process(batch, batch_id, live)
+        try:
+            store.process(batch, batch_id, live)
+        except Exception as e:
+            store.add_to_log(f"Batch {batch_id} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+            raise
 
+    store.add_to_log("Audit stream started")
     writer = incoming.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.path}/_stream")
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
     return writer.start()
