@@ -115,3 +115,12 @@ def test_previous_value(spark, bucket_rows):
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "g string, v long")
     expected = [(k, v, ([0] + vs)[i]) for k, vs in values.items() for i, v in enumerate(vs)]
     assert rows(previous_value(df, ["g"], "v", "p", bucket_rows=bucket_rows)) == sorted(expected, key=repr)
+
+
+def test_rows_without_a_sequence_are_dealt_out_and_match_nothing(spark):
+    left = spark.createDataFrame([(1, 1, None, i) for i in range(500)] + [(1, 2, 5, 900)], "s int, e int, q long, id int")
+    right = spark.createDataFrame([(1, 1, 3, "a")], "s int, e int, q long, v string").selectExpr("s", "e", "q", "struct(v) AS p")
+    live = spark.createDataFrame([(1, "host")], "s int, live string")
+    got = asof_attribute(left, right, by="s", epoch="e", seq="q", payload="p", per_key=live).collect()
+    assert len(got) == 501 and {r.live for r in got} == {"host"}
+    assert [r.id for r in got if r.p is not None] == [900]

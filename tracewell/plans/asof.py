@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_ROWS = 1_000_000
+LOOSE_BUCKETS = 1024
 
 _KIND, _CARRY, _TAG, _BUCKET = "__kind", "__carried", "__tag", "__bucket"
 # Order of rows with equal keys: what is stored already, then left rows, then the right ones a strict join must not see.
@@ -106,10 +107,16 @@ def asof_attribute(
     drop_repeats: bool = False,
     stored: DataFrame | None = None,
 ) -> DataFrame:
-    """As-of join on ``by`` under the lexicographic order ``(epoch, seq)``."""
+    """As-of join on ``by`` under the lexicographic order ``(epoch, seq)``.
+
+    Rows without a sequence match nothing. They are dealt over many buckets below all sequences, so that they are no
+    hot cell however many there are (their times and numbers say which); what ``per_key`` knows of them is attached all the same.
+    """
     cut = sequence_bucket(seq, bucket_rows)
+    narrow = [c for c, kind in left.dtypes if kind in ("bigint", "int", "timestamp", "timestamp_ntz", "double")]
+    loose = -1 - F.pmod(F.xxhash64(by, epoch, *narrow), F.lit(LOOSE_BUCKETS))
     out = asof_join(
-        left.withColumn(_BUCKET, cut),
+        left.withColumn(_BUCKET, F.coalesce(cut, loose)),
         right.withColumn(_BUCKET, cut),
         by=[by],
         bucket=[epoch, _BUCKET],
@@ -120,7 +127,7 @@ def asof_attribute(
         drop_repeats=drop_repeats,
         stored=None if stored is None else stored.withColumn(_BUCKET, cut),
     )
-    return out.drop(_BUCKET)
+    return out.withColumn(payload, F.when(F.col(seq).isNotNull(), F.col(payload))).drop(_BUCKET)
 
 
 def previous_value(

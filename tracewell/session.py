@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_work: str | None = None
+_handed_out: list[str] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,11 +43,21 @@ def work_dir(spark: SparkSession) -> str:
     global _local_work
     if _local_work is None or not os.path.isdir(_local_work):
         _local_work = tempfile.mkdtemp(prefix="tracewell-")
+        atexit.register(shutil.rmtree, _local_work, ignore_errors=True)
     return _local_work
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def release_work(spark: SparkSession) -> None:
+    """Remove every work table of this process. Results that read them must be written by then."""
+    while _handed_out:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
