@@ -65,11 +65,10 @@ def find_missing_seq(
 
 def numbered_statements(audit: DataFrame, text: str = "statement") -> DataFrame:
     """Statements of the numbered load, with client ``f`` and number ``s``."""
-    return audit.where(F.col(text).rlike(NUMBERED_STATEMENT)).withColumns(
-        {
-            "f": F.regexp_extract(text, NUMBERED_STATEMENT, 1).cast("int"),
-            "s": F.regexp_extract(text, NUMBERED_STATEMENT, 2).cast("long"),
-        }
+    # No match gives an empty number: the filter needs no pass of its own over the text.
+    number = F.regexp_extract(text, NUMBERED_STATEMENT, 2)
+    return audit.withColumn("s", F.when(number != "", number).cast("long")).where(F.col("s").isNotNull()).select(
+        *audit.columns, F.regexp_extract(text, NUMBERED_STATEMENT, 1).cast("int").alias("f"), "s"
     )
 
 
@@ -181,42 +180,32 @@ def browse_audit(
 def event_trace_map(
     events: DataFrame, event_map: DataFrame, bindings: DataFrame, columns: DataFrame, action_map: DataFrame
 ) -> DataFrame:
-    """Which trace column and action stand behind each event class: a chain of left joins, without copies.
-
-    Each input is made distinct before the joins, where it is narrow. The joined rows are then distinct by
-    themselves, but for classes without bindings, which show no id; those are made distinct apart.
-    """
+    """Which trace column and action stand behind each event class: one chain of left joins over distinct bindings."""
     bound = bindings.select("trace_event_id", "trace_column_id").distinct()
-    named = columns.select("trace_column_id", F.col("name").alias("sql_trace_column")).distinct()
-    actions = action_map.select("trace_column_id", F.col("xe_action_name").alias("extended_events_action")).distinct()
+    named = columns.select("trace_column_id", F.col("name").alias("sql_trace_column"))
+    actions = action_map.select("trace_column_id", F.col("xe_action_name").alias("extended_events_action"))
     mapped = event_map.select(
         F.col("trace_event_id").alias("mapped_id"),
         F.col("package_name").alias("package"),
         F.col("xe_event_name").alias("x_event_name"),
-    ).distinct()
-    classes = (
-        events.select(F.col("trace_event_id").alias("event_id"), F.col("name").alias("event_class"))
-        .distinct()
-        .join(mapped, F.col("event_id") == F.col("mapped_id"), "left")
     )
-    output = [
-        "trace_event_id",
-        "event_class",
-        "package",
-        "x_event_name",
-        "trace_column_id",
-        "sql_trace_column",
-        "extended_events_action",
-    ]
-    with_columns = (
-        classes.join(bound, F.col("mapped_id") == F.col("trace_event_id"))
+    classes = events.select(F.col("trace_event_id").alias("event_id"), F.col("name").alias("event_class"))
+    return (
+        classes.join(mapped, F.col("event_id") == F.col("mapped_id"), "left")
+        .join(bound, F.col("mapped_id") == F.col("trace_event_id"), "left")
         .join(named, "trace_column_id", "left")
         .join(actions, "trace_column_id", "left")
-        .select(*output)
+        .select(
+            "trace_event_id",
+            "event_class",
+            "package",
+            "x_event_name",
+            "trace_column_id",
+            "sql_trace_column",
+            "extended_events_action",
+        )
+        .distinct()
     )
-    ids = bindings.select(F.col("trace_event_id").alias("mapped_id")).distinct()
-    without = classes.join(ids, "mapped_id", "left_anti").select("event_class", "package", "x_event_name").distinct()
-    return with_columns.unionByName(without, allowMissingColumns=True)
 
 
 def pivot_actions(df: DataFrame, key: Sequence[str], action: str, value: str, actions: Sequence[str]) -> DataFrame:

@@ -27,7 +27,10 @@ from tracewell.model import (
     CONNECTIONS,
     EVENT_XML,
     FULL_AUDIT,
+    LIVE_PREFIX,
     LIVE_SESSIONS,
+    NO_ADDRESS,
+    NO_PROGRAM,
     PROCESS_LOG,
     RAW_EVENT,
     AuditConfig,
@@ -273,11 +276,15 @@ class AuditStore:
         said = stored.where((F.col("file_name") >= first) & (F.col("source") == "live")).select(
             *AUDIT_KEY, F.struct("client_net_address", "client_app_name", "source").alias("said")
         )
-        keep = F.col("said").isNotNull() & (F.col("source") != "asof")
+        # A login may name a program and no address: what it names stands, the rest is as it was said.
+        guessed = {
+            c: F.col(c).startswith(LIVE_PREFIX) | F.col(c).isin(NO_ADDRESS, NO_PROGRAM)
+            for c in ("client_net_address", "client_app_name")
+        } | {"source": F.col("source") != "asof"}
         again = again.join(said, AUDIT_KEY, "left").withColumns(
             {
-                c: F.when(keep, F.col("said")[c]).otherwise(F.col(c))
-                for c in ("client_net_address", "client_app_name", "source")
+                c: F.when(F.col("said").isNotNull() & guess, F.col("said")[c]).otherwise(F.col(c))
+                for c, guess in guessed.items()
             }
         )
         work = new_work_path(spark, "late")
