@@ -6,10 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tracewell.functions.times import display_time
+from tracewell.functions.times import display_time, utc_date
 from tracewell.operators import attribution, epochs, events, lifecycle
 from tracewell.plans.audit import AUDIT_KEY, audit_batch
-from tracewell.session import materialise
+from tracewell.session import materialise, new_work_path
 from tracewell.sources import tables
 from tracewell.sources import trace as source
 from tracewell.workload import trace_view as tv
@@ -220,7 +220,6 @@ def audit_end_to_end(spark, sf_dir):
 
 @query("audit_stream_append", _AUDIT_SQL)
 def audit_stream_append(spark, sf_dir):
-    from tracewell.session import new_work_path
     from tracewell.streaming.audit_stream import AuditStore, audit_stream
 
     incoming = new_work_path(spark, "incoming")
@@ -234,7 +233,6 @@ def audit_stream_append(spark, sf_dir):
 @query("audit_stream_out_of_order", _AUDIT_SQL)
 def audit_stream_out_of_order(spark, sf_dir):
     # Every file arrives in three parts, each in a trigger of its own with parts of all others, the last events first.
-    from tracewell.session import new_work_path
     from tracewell.streaming.audit_stream import AuditStore, audit_stream
 
     incoming = new_work_path(spark, "incoming")
@@ -267,6 +265,33 @@ def audit_antijoin_append(spark, sf_dir):
     return tables.not_stored(statements, stored, AUDIT_KEY)
 
 
+@query(
+    "append_new_stored",
+    tv.TRACE_SQL + "SELECT event_id, event_time, epoch, event_sequence FROM statements",
+)
+def append_new_stored(spark, sf_dir):
+    # The table holds all up to noon of the 16th; the whole trace is appended twice, and each row is there once.
+    statements = tv.statements(tv.trace(spark, sf_dir)).select("event_id", *AUDIT_KEY)
+    statements = materialise(statements.withColumn("event_date", utc_date("event_time")), "statements")
+    path = new_work_path(spark, "appended")
+    early = statements.where(F.col("event_time") < F.expr(f"TIMESTAMP_NTZ {_SPLIT[10:]}"))
+    for batch in (early, statements, statements):
+        tables.append_new(batch, path, AUDIT_KEY, partition_by="event_date")
+    return spark.read.parquet(path).drop("event_date")
+
+
+@query(
+    "purge_by_partition",
+    tv.TRACE_SQL + f"SELECT event_id, event_time FROM statements WHERE event_time >= {_SPLIT}",
+)
+def purge_by_partition(spark, sf_dir):
+    statements = tv.statements(tv.trace_rows(spark, sf_dir)).select("event_id", "event_time")
+    path = new_work_path(spark, "purged")
+    statements.withColumn("event_date", utc_date("event_time")).write.partitionBy("event_date").parquet(path)
+    tables.purge_before(spark, path, dt.datetime(2024, 1, 16, 12), "event_time", "event_date")
+    return spark.read.parquet(path).drop("event_date")
+
+
 def _checkpoints(trace):
     read = trace.where(F.col("event_time") < F.expr(f"TIMESTAMP_NTZ {_SPLIT[10:]}"))
     return read.groupBy("file_name").agg(
@@ -554,7 +579,6 @@ def distinct_logins(spark, sf_dir):
 )
 def raw_capture(spark, sf_dir):
     # The debug copy of raw events under its import number, read back.
-    from tracewell.session import new_work_path
 
     path = new_work_path(spark, "bronze")
     tables.capture_raw(tv.raw_trace(tv.trace(spark, sf_dir)), path, 0)
