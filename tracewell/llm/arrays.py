@@ -15,7 +15,7 @@ _MASK = (1 << 64) - 1
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for the words met last; ``keep`` bounds the memory."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 200_000):
         super().__init__()
         self.keep = keep
 

@@ -6,9 +6,10 @@ Each of ``SKETCHES`` sketches is a bucket key; documents meet where one agrees.
 Jaccard similarity of at least ``SIMILARITY``, and its words, aligned in order inside the band that this share allows, match to the same
 share of the longer text.
 
-Equal word sequences are one class from the start. In a bucket every class is first compared with the least one only; where a bucket
-then still spans several components, small buckets compare all pairs across components. Classes of larger ones meet by prefix
-filtering, which misses no pair over the threshold: in the order of rarity, two sets so similar share one of their first k-mers.
+Equal word sequences are one class from the start. In a bucket every class is first compared with one leader only, in a few rounds;
+where a bucket then still spans several components, small buckets compare all pairs across components. Classes of larger ones meet by
+prefix filtering, which misses no pair over the threshold: in the order of rarity, two sets so similar share one of their first
+k-mers, and enough is left of both after it.
 Links of thousands of near copies thus need neither all pairs nor a cap.
 
 Chance to miss a pair of similarity 0.8 in all sketches: (1 - 0.8 ** 5) ** 24, below 1 in 10,000.
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrays import Rolling, WordHashes, mix64
+from tracewell.llm.batches import for_texts
 from tracewell.llm.graph import components
 from tracewell.llm.membership import BITS, bitmap_of_bits, may_contain
 from tracewell.session import materialise
@@ -37,8 +39,10 @@ K = 5
 L = 5
 SKETCHES = 24
 SIMILARITY = 0.8
-#: Buckets up to this size compare all pairs across components, larger ones go by prefixes.
-SMALL_BUCKET = 24
+#: Rounds in which buckets are compared with one leader each. Random leaders after the central one found next to nothing.
+ROUNDS = 1
+#: Buckets up to this size then compare all pairs across components, larger ones go by prefixes.
+SMALL_BUCKET = 8
 
 
 def kmers(items: np.ndarray, rolling: Rolling) -> np.ndarray:
@@ -103,12 +107,14 @@ def _needed_words(bits: bytes, bit_hash):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            split = [x.as_py().split() for x in batch.column("body")]
-            keys = np.array([_key(w) if w else 0 for w in split], np.int64)
-            wanted = may_contain(bits, bit_hash(keys)) if len(keys) else np.empty(0, bool)
-            rows = [i for i in np.flatnonzero(wanted).tolist() if split[i]]
-            words = [(hashes.of(split[i]) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows], pa.int64()), pa.array(words, pa.binary())], ["key", "words"])
+            keys, found = [], []
+            for body in batch.column("body"):  # one document's words at a time
+                words = body.as_py().split()
+                key = _key(words) if words else 0
+                if words and may_contain(bits, bit_hash(np.array([key])))[0]:
+                    keys.append(key)
+                    found.append((hashes.of(words) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "words"])
 
     return run
 
@@ -189,53 +195,97 @@ def _exploded_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _prefix_pairs(docs: DataFrame) -> DataFrame:
     """a, b: all pairs across components of ``docs`` (key, comp, words) that may reach the similarity."""
     sets = materialise(docs.mapInArrow(_exploded_kmers, "key long, comp long, kmers array<long>"), "omh-sets")
-    each = sets.select("key", F.explode("kmers").alias("k"))
+    # Documents are dealt out evenly before each becomes many rows.
+    each = sets.repartition("key").select("key", F.explode("kmers").alias("k"))
     # A k-mer of one document only can make no pair, but it takes its place in the prefix.
     common = each.groupBy("k").agg(F.count("*").alias("f")).where("f > 1")
     ranked = each.join(common, "k").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "k"))).alias("common"))
     n = F.size("kmers")
+    # The most that the k-mers from a place on can share must reach the overlap that the similarity asks for.
     prefix = n - F.ceil(F.lit(SIMILARITY) * n - 1e-9) + 1
-    left = F.greatest(prefix - (n - F.size("common")), F.lit(0)).cast("int")
-    rare = sets.join(ranked, "key").select("key", "comp", n.alias("n"), F.explode(F.slice("common", F.lit(1), left)).alias("p"))
-    rare = materialise(rare.select("key", "comp", "n", F.col("p.k").alias("k")), "omh-prefixes")
-    other = rare.select(F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "k")
+    alone = n - F.size("common")
+    left = F.greatest(prefix - alone, F.lit(0)).cast("int")
+    rare = sets.join(ranked, "key").select(
+        "key", "comp", n.alias("n"), alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), left)).alias("i", "p")
+    )
+    rare = materialise(rare.select("key", "comp", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("p.k").alias("k")),
+                       "omh-prefixes")
+    other = rare.select(F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "k")
+    # The first k-mer that two sets share bounds their overlap by what is left of either.
+    overlap = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("n_b")) - 1e-6
     pairs = rare.withColumnRenamed("key", "a").join(other, "k").where("a < b AND comp <> comp_b")
-    return pairs.where((F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b") - 1e-9)).select("a", "b").distinct()
+    return pairs.where(F.least("left", "left_b") >= overlap).select("a", "b").distinct()
+
+
+def _linked(members: DataFrame, words: DataFrame) -> DataFrame:
+    """node, root over all links between ``members`` (bucket, key, n) of one bucket.
+
+    The first round compares each bucket with its most central class, the one with most company in all its buckets. Later
+    ones take leaders at random, for buckets that still span several components. Work in a round is linear in the members.
+    """
+    central = members.groupBy("key").agg(F.sum("n").alias("central"))
+    members = materialise(members.join(central, "key"), "omh-central")
+    open_ = members.withColumn("comp", F.col("key"))
+    links = tested = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            pairs = _with_leader(open_, F.col("central") if turn == 0 else F.xxhash64("key", F.lit(turn)))
+        else:
+            pairs = _rest(open_, words)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "omh-pairs")
+        found = materialise(_links(pairs, words), "omh-links")
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = components(links)
+        if turn == ROUNDS:
+            break
+        comp = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+        comp = materialise(comp.select("bucket", "key", "n", "central", F.coalesce("root", "key").alias("comp")), "omh-comp")
+        split = comp.groupBy("bucket").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n")
+        )
+        split = split.where("c0 <> c1 AND n > 2")
+        open_ = materialise(comp.join(split.select("bucket"), "bucket", "left_semi"), "omh-open")
+        if open_.isEmpty():
+            break
+    return roots
+
+
+def _with_leader(open_: DataFrame, rank: Column) -> DataFrame:
+    """a, b: the leader of each bucket with every member of another component."""
+    top = open_.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "key", "comp")).alias("top"))
+    pairs = open_.join(top, "bucket").where(F.col("comp") != F.col("top.comp"))
+    return pairs.select(F.least("key", "top.key").alias("a"), F.greatest("key", "top.key").alias("b")).distinct()
+
+
+def _rest(open_: DataFrame, words: DataFrame) -> DataFrame:
+    """a, b: all pairs across components that may be links, within small buckets and by prefixes among members of large ones."""
+    small = open_.where(F.col("n") <= SMALL_BUCKET)
+    other = small.select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = small.join(other, "bucket").where("key < b AND comp <> comp_b").select(F.col("key").alias("a"), "b")
+    large = open_.where(F.col("n") > SMALL_BUCKET).select("key", "comp").distinct().join(words, "key")
+    return pairs.unionByName(_prefix_pairs(large)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the word sequence, null where there are no words), class_id, kept of every row."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
+    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
     sketched = materialise(rows.mapInArrow(_sketched, "doc_id long, key long, buckets array<long>"), "omh-sketches")
     linkable = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = linkable.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets"))
     classes = materialise(classes, "omh-classes")
     each = classes.select("key", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(each.join(shared, "bucket"), "omh-members")
-    star = members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    star = materialise(star, "omh-star")
     # Only words of classes that share a bucket are read again.
     ends = members.select(F.col("key").bitwiseAND(BITS - 1).cast("int").alias("bit"))
     words = rows.where("doc_id IS NOT NULL").mapInArrow(_needed_words(bitmap_of_bits(ends), _bit), "key long, words binary")
     words = words.join(members.select("key").distinct(), "key", "left_semi")
     words = materialise(words.groupBy("key").agg(F.first("words").alias("words")), "omh-words")
-    links = materialise(_links(star, words), "omh-links")
-    roots = components(links)
-    comp = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    comp = comp.withColumn("comp", F.coalesce("root", "key")).drop("root")
-    comp = materialise(comp, "omh-open")
-    split = comp.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    open_ = materialise(comp.join(split, "bucket", "left_semi"), "omh-split")
-    small = open_.where(F.col("n") <= SMALL_BUCKET).where("key <> leader")
-    other = small.select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = small.join(other, "bucket").where("key < b AND comp <> comp_b").select(F.col("key").alias("a"), "b").distinct()
-    large = open_.where(F.col("n") > SMALL_BUCKET).select("key", "comp").distinct().join(words, "key")
-    more = pairs.unionByName(_prefix_pairs(large)).distinct()
-    more = more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(materialise(_links(more, words), "omh-links"))
-    roots = components(links)
+    roots = _linked(members, words)
     rooted = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
