@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.graph import components
+from tracewell.llm.sampling import hash_sample
 from tracewell.llm.vectors import dots, matrix, usable
 from tracewell.session import materialise
 
@@ -133,7 +134,9 @@ def near_vectors(
     classes = materialise(classes, "metric-classes")
     n = classes.count()
     wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, n // PIVOT_ROWS))
-    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(wanted).select("vec").toArrow()
+    drawn = hash_sample(classes, n, wanted, "key").orderBy("key").select("vec").toArrow()
+    if not drawn.num_rows:
+        drawn = classes.select("vec").limit(1).toArrow()
     pivots = np.unique(_units(matrix(drawn["vec"].combine_chunks(), d)), axis=0)
     r = float(np.sqrt(2 - 2 * cosine))
     kind = "label string, rep long, n long, vec array<double>, cell int, inner boolean"

@@ -4,7 +4,7 @@ A feature is the presence of an n-gram (hashed to one of ``BINS`` bins) anywhere
 all bins come from every labelled row that may be learnt from, summed in Spark. A bin's ratio is
 log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)) with the documents of each class that have it. The bins whose ratio is
 largest against its standard error (``FEATURES`` of them) are kept; a logistic regression on their scaled presence is
-fitted to at most ``FIT_ROWS`` labelled rows, drawn by hash of their id. The score of a text is the sum of its bins'
+fitted to about ``FIT_ROWS`` labelled rows at most, drawn by hash of their id. The score of a text is the sum of its bins'
 weights through the logistic function.
 
 Defined results: null and empty texts score as texts without any n-gram do; without labelled rows of both classes, or without
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrays import pack, unpack
+from tracewell.llm.batches import for_texts
+from tracewell.llm.sampling import hash_sample
 from tracewell.session import materialise
 
 ORDERS = (4, 6, 8)
@@ -125,7 +127,7 @@ def _present(chosen: np.ndarray):
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, l2: float = 1.0, steps: int = 300) -> Model:
     """``rows``: doc_id, body, label. What comes to the driver is bounded by ``BINS``, ``FEATURES`` and ``fit_rows``."""
-    rows = materialise(rows, "toxicity-rows")
+    rows = materialise(for_texts(rows), "toxicity-rows")
     counts, total = class_counts(rows)
     prior = float(np.log((total[1] + 1) / (total[0] + 1)))
     if not total.all():
@@ -138,7 +140,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, l2: float = 1.0, steps: int =
     chosen = np.sort(order[strength[order] > 0])
     if not len(chosen):
         return Model(np.zeros(BINS, np.float32), prior)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = hash_sample(rows, int(total.sum()), fit_rows, "doc_id")
     got = sample.select("label", "body").mapInArrow(_present(chosen), "label int, present binary").toArrow()
     y = got["label"].to_numpy().astype(float)
     lists = [np.frombuffer(x, np.int32) for x in got["present"].to_pylist()]
@@ -186,6 +188,6 @@ def _scorer(model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) of every row. The broadcast weights have ``BINS`` entries, whatever the data."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    rows = for_texts(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_scorer(shared), f"doc_id {kind}, score double")
