@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tracewell.llm.batches import for_texts
+
 TO_POOLED = 0.1
 TO_SPHERE = 0.02
 
@@ -107,7 +109,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key (the id), x (the statistics of the text) of every row: what is shuffled and kept instead of texts."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("key"), body.alias("body"))
+    rows = for_texts(docs).select(F.col(id_col).alias("key"), body.alias("body"))
     return rows.mapInArrow(_featured, f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
 
 
@@ -186,6 +188,6 @@ def _accepted(model, least: float):
 def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The input rows with a score of at least ``least``, all columns as they are."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.struct("*").alias("row"), body.alias("body"))
+    rows = for_texts(docs).select(F.struct("*").alias("row"), body.alias("body"))
     kept = rows.mapInArrow(_accepted(model, least), StructType([StructField("row", docs.schema)]))
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

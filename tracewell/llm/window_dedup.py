@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrays import Rolling, WordHashes, pack, unpack
+from tracewell.llm.batches import for_texts
 from tracewell.llm.membership import bit_of, bitmap, may_contain, rows_in
 from tracewell.session import materialise
 
@@ -43,7 +44,7 @@ _RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start
 
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), body.cast("binary").alias("body")).withColumn(
+    return for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.cast("binary").alias("body")).withColumn(
         "tag", F.xxhash64("body")
     )
 
