@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree searched best bin first.
 
 Largest inner product becomes least distance by one more component, sqrt(M**2 - |x|**2) with M the largest norm. The tree is
-fitted to at most ``SAMPLE`` rows; every row is then filed under the leaf it descends to. A query keeps a priority queue of
+fitted to about ``SAMPLE`` rows at most; every row is then filed under the leaf it descends to. A query keeps a priority queue of
 nodes by distance to their centre and opens the nearest first, which ranks the leaves for it. How many leaves to visit is
-calibrated: for at most ``CALIBRATION`` of the queries the true neighbours are found among all rows, and visits widen until the
-share of them in visited leaves reaches ``recall``. Queries then meet the rows of their leaves in groups of bounded size,
-however full a leaf is, and the best of all groups are kept.
+calibrated: for about ``CALIBRATION`` of the queries the true neighbours are found among all rows, and visits widen until the
+share of them in visited leaves reaches ``recall``. Queries then meet the rows of their leaves in bundles of neighbouring leaves of
+bounded size, however full a leaf is, and the best of all bundles are kept.
 
 Scores are inner products of the original vectors in double precision; ties go to the smaller id.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.sampling import hash_sample
 from tracewell.llm.vectors import dots, matrix, usable
 from tracewell.session import materialise
 
@@ -216,19 +217,49 @@ def _visits(tree, visits: int, d: int):
 
 
 def _meet(d: int, k: int):
+    """Queries of a bundle with the rows of the leaves they visit; the best of all its leaves for each query."""
+
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(rows) and len(queries):
-            x, ids = np.array(rows["vec"].tolist()), rows["vec_id"].to_numpy()
-            for own_ids, vecs in zip(queries["ids"], queries["vecs"], strict=True):
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        own_rows = {leaf: (np.array(g["vec"].tolist()), g["vec_id"].to_numpy()) for leaf, g in rows.groupby("leaf")}
+        for leaf, own_ids, vecs in zip(queries["leaf"], queries["ids"], queries["vecs"], strict=True):
+            if leaf in own_rows:
+                x, ids = own_rows[leaf]
                 query_ids = np.frombuffer(own_ids, np.int64)
                 q, r, s = best(np.frombuffer(vecs, np.float64).reshape(-1, d), query_ids, x, ids, k)
-                found.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[r], "score": s}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                found.append((query_ids[q], ids[r], s))
+        q, v, s = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < 2 * k  # room for rows repeated under one id
+        return pd.DataFrame({"query_id": q[keep], "vec_id": v[keep], "score": s[keep]})
 
     return run
 
 
+def bundles(rows: dict[int, int], visits: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """leaf, bundle, chunks, turns: neighbouring leaves together up to ``CHUNK`` rows, fuller ones alone in chunks."""
+    out, bundle, held, asked = [], [], 0, 0
+    number = 0
+
+    def close():
+        nonlocal bundle, held, asked, number
+        if bundle:
+            chunks, turns = max(1, -(-held // CHUNK)), max(1, -(-asked // QUERY_CHUNK))
+            out.extend((leaf, number, chunks, turns) for leaf in bundle)
+            number += 1
+        bundle, held, asked = [], 0, 0
+
+    for leaf in sorted(set(rows) & set(visits)):
+        if held + rows[leaf] > CHUNK:
+            close()
+        bundle.append(leaf)
+        held += rows[leaf]
+        asked += visits[leaf]
+    close()
+    return out
+
+
 @dataclass(frozen=True)
 class Search:
     result: DataFrame  # query_id, rank, vec_id, score
@@ -252,14 +283,14 @@ def search(
         return Search(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), 0, 0, 1.0)
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     n, norm = usable_rows.agg(F.count("*"), F.sqrt(F.max(squares))).first()
-    drawn = usable_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
+    drawn = hash_sample(usable_rows, n, SAMPLE, "vec_id").orderBy("vec_id").select("vec").toArrow()
     leaves = min(MAX_LEAVES, max(1, n // LEAF_ROWS))
     tree = grow(matrix(drawn["vec"].combine_chunks(), d), norm, leaves)
     shared = spark.sparkContext.broadcast(tree)
     index = usable_rows.mapInArrow(_filed(shared, d), "vec_id long, vec array<double>, leaf int")
     index = materialise(index, "ann-index")
     queries = index.where(is_query).select("vec_id", "vec")
-    drawn = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).toArrow()
+    drawn = hash_sample(queries, queries.count(), CALIBRATION, "vec_id", seed=1).orderBy("vec_id").toArrow()
     if not drawn.num_rows:
         return Search(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), tree.leaves, 0, 1.0)
     probe = matrix(drawn["vec"].combine_chunks(), d)
@@ -267,23 +298,25 @@ def search(
     packed = queries.mapInArrow(_visits(shared, visits, d), "leaf int, n int, ids binary, vecs binary")
     packed = materialise(packed, "ann-visits")
     # One row for each leaf: bounded by the tree.
-    pieces = (
-        index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-        .join(packed.groupBy("leaf").agg(F.ceil(F.sum("n") / QUERY_CHUNK).cast("int").alias("turns")), "leaf")
-    )
-    pieces = F.broadcast(pieces)
+    filled = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    asked = {r["leaf"]: r["n"] for r in packed.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    placed = bundles(filled, asked)
+
+    def pieces() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(placed, "leaf int, bundle int, chunks int, turns int"))
+
     left = (
-        index.join(pieces, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int"))
+        index.join(pieces(), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int"))
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     )
     right = (
-        packed.join(pieces, "leaf").withColumn("turn", F.pmod(F.xxhash64("ids"), "turns").cast("int"))
+        packed.join(pieces(), "leaf").withColumn("turn", F.pmod(F.xxhash64("ids"), "turns").cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     )
-    key = ["leaf", "chunk", "turn"]
+    key = ["bundle", "chunk", "turn"]
     met = (
-        left.select(*key, "vec_id", "vec").groupBy(*key)
-        .cogroup(right.select(*key, "ids", "vecs").groupBy(*key))
+        left.select(*key, "leaf", "vec_id", "vec").groupBy(*key)
+        .cogroup(right.select(*key, "leaf", "ids", "vecs").groupBy(*key))
         .applyInPandas(_meet(d, k), "query_id long, vec_id long, score double")
     )
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
