@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import for_texts
+
 #: Words that a task keeps encoded; text bytes whose new words are replayed together.
-KEEP_WORDS = 150_000
-REPLAY_BYTES = 12_000_000
+KEEP_WORDS = 100_000
+REPLAY_BYTES = 6_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -257,7 +259,7 @@ def encode(
     ``and_decode`` adds ``decoded``, the bytes that the ids stand for, in the same pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    rows = for_texts(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids binary"
     if and_decode:
