@@ -95,3 +95,43 @@ def test_sketches_mind_order():
     same = (o.sketches(a) == o.sketches(a)).mean()
     turned = (o.sketches(a) == o.sketches(np.concatenate([a[30:], a[:30]]))).mean()
     assert same == 1 and turned < 0.5
+
+
+def test_few_kmers(spark):
+    """Pairs that no sketch, or not every draw of sketches, brings together."""
+    rng = random.Random(5)
+    new = lambda n: [str(rng.randint(0, 10**9)) for _ in range(n)]
+    rows = []
+    for n in [8] * 5 + [9] * 100 + list(range(10, 40)):
+        base = new(n)
+        rows += [base, base + new(1)]
+    for _ in range(300):
+        base = new(14)
+        rows += [base, base[:-1] + new(1)]
+    rows += [["x"] * n for n in (5, 6, 7)]
+    rows = [(i, " ".join(f)) for i, f in enumerate(rows)]
+    assert got(docs(spark, [(i, t, "s") for i, t in rows])) == classes(rows)
+    # One text under many of one word more: only pairs with it are candidates.
+    base = new(8)
+    rows = [(0, " ".join(base))] + [(i, " ".join(base + new(1))) for i in range(1, 60)]
+    assert set(got(docs(spark, [(i, t, "s") for i, t in rows])).values()) == {0}
+
+
+def test_repeated_kmers(spark):
+    """The labelled k-mers of a pair differ much more than its sets."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(10):
+        base = [str(rng.randint(0, 10**9)) for _ in range(150)]
+        line = [f"{w}{i}" for w in "abcd"]
+        rows += [base + [*line, "e"] * 60, base + [*line, "f"] * 60]
+    rows = [(i, " ".join(f)) for i, f in enumerate(rows)]
+    want = classes(rows)
+    assert len(set(want.values())) == 10
+    assert got(docs(spark, [(i, t, "s") for i, t in rows])) == want
+
+
+def test_sketches_of_a_set():
+    words = o.mix64(np.arange(300, dtype=np.uint64))
+    keys, different = o.bucket_keys(np.concatenate([words, words[:90]]))
+    assert different == 300 and set(o.sketches(words)) <= set(keys)

@@ -12,7 +12,13 @@ prefix filtering, which misses no pair over the threshold: in the order of rarit
 k-mers, and enough is left of both after it.
 Links of thousands of near copies thus need neither all pairs nor a cap.
 
-Chance to miss a pair of similarity 0.8 in all sketches: (1 - 0.8 ** 5) ** 24, below 1 in 10,000.
+Sketches lose pairs of short texts: with ``L`` k-mers or fewer a sketch is all of them. So texts that may be similar to one of fewer
+than ``FEW`` different k-mers meet by prefix filtering too, whatever their buckets, and so do texts that repeat themselves
+(``REPEATED``), whose labelled k-mers say little of the set. A text that repeats any k-mer also has the sketches of its set,
+so that it meets those that do not.
+
+Chance to miss another pair of similarity 0.8 in all sketches, its shared k-mers in the same order: about (1 - 0.8 ** 5) ** 24, below
+1 in 10,000 from ``FEW`` k-mers on (a sketch is drawn without replacement). It is higher where shared k-mers stand in another order.
 
 Defined results: null and empty texts, and rows with a null id, are alone; texts shorter than ``K`` words have one k-mer, the whole; the class of
 a document is the least id of its component; repeated rows share it; extra columns do not take part; an empty table gives an
@@ -43,6 +49,10 @@ SIMILARITY = 0.8
 ROUNDS = 1
 #: Buckets up to this size then compare all pairs across components, larger ones go by prefixes.
 SMALL_BUCKET = 8
+#: Pairs of which one has fewer different k-mers are all found by prefixes.
+FEW = 100
+#: So are pairs of texts with this many labelled k-mers for each different one.
+REPEATED = 1.1
 
 
 def kmers(items: np.ndarray, rolling: Rolling) -> np.ndarray:
@@ -68,7 +78,19 @@ _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A3
 
 def sketches(found: np.ndarray) -> np.ndarray:
     """One bucket key for each sketch."""
-    x = labelled_kmers(found)
+    return _sketches_of(labelled_kmers(found))
+
+
+def bucket_keys(found: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys of all sketches of a text, those of its set included where it repeats a k-mer; how many k-mers differ."""
+    different, first = np.unique(found, return_index=True)
+    keys = sketches(found)
+    if len(different) < len(found):
+        keys = np.unique(np.concatenate([keys, sketches(found[np.sort(first)])]))
+    return keys, len(different)
+
+
+def _sketches_of(x: np.ndarray) -> np.ndarray:
     keys = np.empty(SKETCHES, np.uint64)
     step = max(1, 4_000_000 // len(x))
     for s in range(0, SKETCHES, step):
@@ -92,13 +114,18 @@ def _key(words: list[bytes]) -> int:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, rolling = WordHashes(), Rolling(K)
     for batch in batches:
-        keys, buckets = [], []
+        keys, buckets, few, repeats = [], [], [], []
         for body in batch.column("body"):
             words = body.as_py().split()
             keys.append(_key(words) if words else None)
-            buckets.append(sketches(kmers(hashes.of(words), rolling)).view(np.int64) if words else np.empty(0, np.int64))
-        columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "buckets"])
+            found = kmers(hashes.of(words), rolling) if words else np.empty(0, np.uint64)
+            own, different = bucket_keys(found) if words else (found, 0)
+            buckets.append(own.view(np.int64))
+            few.append(SIMILARITY * different < FEW)
+            repeats.append(len(found) >= REPEATED * different)
+        columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64())),
+                   pa.array(few, pa.bool_()), pa.array(repeats, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "buckets", "few", "repeats"])
 
 
 def _needed_words(bits: bytes, bit_hash):
@@ -192,8 +219,11 @@ def _exploded_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(columns, ["key", "comp", "kmers"])
 
 
-def _prefix_pairs(docs: DataFrame) -> DataFrame:
-    """a, b: all pairs across components of ``docs`` (key, comp, words) that may reach the similarity."""
+def _prefix_pairs(docs: DataFrame, by_size: bool = False) -> DataFrame:
+    """a, b: all pairs across components of ``docs`` (key, comp, words) that may reach the similarity.
+
+    ``by_size`` is for small sets: they also join on both sizes, which leaves out sizes whose overlap a prefix cannot reach.
+    """
     sets = materialise(docs.mapInArrow(_exploded_kmers, "key long, comp long, kmers array<long>"), "omh-sets")
     # Documents are dealt out evenly before each becomes many rows.
     each = sets.repartition("key").select("key", F.explode("kmers").alias("k"))
@@ -210,6 +240,8 @@ def _prefix_pairs(docs: DataFrame) -> DataFrame:
     )
     rare = materialise(rare.select("key", "comp", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("p.k").alias("k")),
                        "omh-prefixes")
+    if by_size:
+        return _pairs_by_size(rare)
     other = rare.select(F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "k")
     # The first k-mer that two sets share bounds their overlap by what is left of either.
     overlap = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("n_b")) - 1e-6
@@ -217,21 +249,35 @@ def _prefix_pairs(docs: DataFrame) -> DataFrame:
     return pairs.where(F.least("left", "left_b") >= overlap).select("a", "b").distinct()
 
 
-def _linked(members: DataFrame, words: DataFrame) -> DataFrame:
-    """node, root over all links between ``members`` (bucket, key, n) of one bucket.
+def _pairs_by_size(rare: DataFrame) -> DataFrame:
+    """a, b from prefixes (key, comp, n, left, k): the smaller set names the sizes it may meet, the larger one likewise."""
+    n = F.col("n")
+    most = F.least(n / SIMILARITY + 1e-9, F.col("left") * ((1 + SIMILARITY) / SIMILARITY) - n + 1e-6)
+    sized = rare.withColumn("most", F.floor(most).cast("int")).withColumn("least", F.ceil(SIMILARITY * n - 1e-9).cast("int"))
+    small = sized.where("most >= n").select("key", "comp", "k", "n", F.explode(F.sequence("n", "most")).alias("m"))
+    large = sized.where("most >= least").select(
+        F.col("key").alias("b"), F.col("comp").alias("comp_b"), "k", n.alias("m"),
+        F.explode(F.sequence("least", F.least("n", "most"))).alias("n"),
+    )
+    pairs = small.join(large, ["k", "n", "m"]).where("comp <> comp_b AND (n < m OR key < b)")
+    return pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
+def _linked(members: DataFrame, words: DataFrame, exact: DataFrame) -> DataFrame:
+    """node, root over all links between ``members`` (bucket, key, n) of one bucket and between ``exact`` (key, few, repeats).
 
     The first round compares each bucket with its most central class, the one with most company in all its buckets. Later
     ones take leaders at random, for buckets that still span several components. Work in a round is linear in the members.
     """
     central = members.groupBy("key").agg(F.sum("n").alias("central"))
     members = materialise(members.join(central, "key"), "omh-central")
-    open_ = members.withColumn("comp", F.col("key"))
+    open_, by_prefix = members.withColumn("comp", F.col("key")), exact.withColumn("comp", F.col("key"))
     links = tested = None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = _with_leader(open_, F.col("central") if turn == 0 else F.xxhash64("key", F.lit(turn)))
         else:
-            pairs = _rest(open_, words)
+            pairs = _rest(open_, words, by_prefix)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "omh-pairs")
@@ -241,6 +287,7 @@ def _linked(members: DataFrame, words: DataFrame) -> DataFrame:
         roots = components(links)
         if turn == ROUNDS:
             break
+        by_prefix = exact.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
         comp = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
         comp = materialise(comp.select("bucket", "key", "n", "central", F.coalesce("root", "key").alias("comp")), "omh-comp")
         split = comp.groupBy("bucket").agg(
@@ -248,7 +295,7 @@ def _linked(members: DataFrame, words: DataFrame) -> DataFrame:
         )
         split = split.where("c0 <> c1 AND n > 2")
         open_ = materialise(comp.join(split.select("bucket"), "bucket", "left_semi"), "omh-open")
-        if open_.isEmpty():
+        if open_.isEmpty() and exact.isEmpty():
             break
     return roots
 
@@ -260,32 +307,40 @@ def _with_leader(open_: DataFrame, rank: Column) -> DataFrame:
     return pairs.select(F.least("key", "top.key").alias("a"), F.greatest("key", "top.key").alias("b")).distinct()
 
 
-def _rest(open_: DataFrame, words: DataFrame) -> DataFrame:
-    """a, b: all pairs across components that may be links, within small buckets and by prefixes among members of large ones."""
+def _rest(open_: DataFrame, words: DataFrame, by_prefix: DataFrame) -> DataFrame:
+    """a, b: all pairs across components that may be links, within small buckets, and by prefixes among members of large ones
+    and texts that repeat themselves, and among texts of few k-mers."""
     small = open_.where(F.col("n") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
     pairs = small.join(other, "bucket").where("key < b AND comp <> comp_b").select(F.col("key").alias("a"), "b")
-    large = open_.where(F.col("n") > SMALL_BUCKET).select("key", "comp").distinct().join(words, "key")
-    return pairs.unionByName(_prefix_pairs(large)).distinct()
+    large = open_.where(F.col("n") > SMALL_BUCKET).select("key", "comp")
+    large = large.unionByName(by_prefix.where("repeats").select("key", "comp")).distinct().join(words, "key")
+    few = by_prefix.where("few").select("key", "comp").join(words, "key")
+    return pairs.unionByName(_prefix_pairs(large)).unionByName(_prefix_pairs(few, by_size=True)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the word sequence, null where there are no words), class_id, kept of every row."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    sketched = materialise(rows.mapInArrow(_sketched, "doc_id long, key long, buckets array<long>"), "omh-sketches")
+    sketched = rows.mapInArrow(_sketched, "doc_id long, key long, buckets array<long>, few boolean, repeats boolean")
+    sketched = materialise(sketched, "omh-sketches")
     linkable = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    classes = linkable.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets"))
+    classes = linkable.groupBy("key").agg(
+        F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("buckets", "few", "repeats"))
+    )
     classes = materialise(classes, "omh-classes")
     each = classes.select("key", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(each.join(shared, "bucket"), "omh-members")
-    # Only words of classes that share a bucket are read again.
-    ends = members.select(F.col("key").bitwiseAND(BITS - 1).cast("int").alias("bit"))
+    exact = classes.where("few OR repeats").select("key", "few", "repeats")
+    # Only words of classes that share a bucket or meet by prefixes are read again.
+    needed = members.select("key").unionByName(exact.select("key"))
+    ends = needed.select(F.col("key").bitwiseAND(BITS - 1).cast("int").alias("bit"))
     words = rows.where("doc_id IS NOT NULL").mapInArrow(_needed_words(bitmap_of_bits(ends), _bit), "key long, words binary")
-    words = words.join(members.select("key").distinct(), "key", "left_semi")
+    words = words.join(needed.distinct(), "key", "left_semi")
     words = materialise(words.groupBy("key").agg(F.first("words").alias("words")), "omh-words")
-    roots = _linked(members, words)
+    roots = _linked(members, words, exact)
     rooted = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
