@@ -65,6 +65,26 @@ def test_search_cases(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 21))
 
 
+def test_search_fills_up_from_an_outlier_leaf(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+
+    def a_leaf_for_each_axis(sample, norm, leaves):
+        tree = ann_tree.Tree(norm, children=[list(range(1, 9))] + [[]] * 8, leaf=[-1, *range(8)], leaves=8)
+        tree.centres = [np.zeros(9), *tree.lift(np.eye(8))]
+        return tree
+
+    monkeypatch.setattr(ann_tree, "grow", a_leaf_for_each_axis)
+    centre = np.eye(8)[np.repeat(np.arange(7), 100)]
+    x = np.concatenate([centre + rng.normal(scale=0.01, size=centre.shape), [[0] * 7 + [1.0]] * 3])
+    rows = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)]
+    found = ann_tree.search(vectors(spark, rows), "vec_id % 20 = 0 AND vec_id < 700 OR vec_id = 702")
+    assert found.visits == 1
+    got = {}
+    for r in found.result.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 36 and {len(v) for v in got.values()} == {20} and {700, 701} <= got[702]
+
+
 def brute_links(rows, c=0.98):
     good = [r for r in rows if r[0] is not None and r[2] is not None and r[1] is not None and len(r[1]) == 8
             and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]

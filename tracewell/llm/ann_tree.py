@@ -4,7 +4,8 @@ Largest inner product becomes least distance by one more component, sqrt(M**2 -
 fitted to about ``SAMPLE`` rows at most; every row is then filed under the leaf it descends to. A query keeps a priority queue of
 nodes by distance to their centre and opens the nearest first, which ranks the leaves for it. How many leaves to visit is
 calibrated: for about ``CALIBRATION`` of the queries the true neighbours are found among all rows, and visits widen until the
-share of them in visited leaves reaches ``recall``. Queries then meet the rows of their leaves in bundles of neighbouring leaves of
+share of them in visited leaves reaches ``recall``. A query whose leaves hold too few rows for a full result goes on to the next ones.
+Queries then meet the rows of their leaves in bundles of neighbouring leaves of
 bounded size, however full a leaf is, and the best of all bundles are kept.
 
 Scores are inner products of the original vectors in double precision; ties go to the smaller id.
@@ -69,23 +70,25 @@ class Tree:
                     out[own] = self.leaf[node]
         return out
 
-    def order(self, queries: np.ndarray, visits: int) -> list[list[int]]:
-        """For each query the leaves that best-bin-first opens, in that order."""
+    def order(self, queries: np.ndarray, visits: int, held: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """For each query the leaves that best-bin-first opens, in that order: ``visits``, and more until they hold ``least`` ids."""
         norms = np.sqrt((queries**2).sum(axis=1, keepdims=True))
         scaled = np.column_stack([queries * (self.norm / norms), np.zeros(len(queries))])
         centres = np.array(self.centres)
         far = (centres**2).sum(axis=1) - 2 * scaled @ centres.T
-        return [self._walk(row, visits) for row in far.tolist()]
+        sizes = [0] * self.leaves if held is None else held.tolist()
+        return [self._walk(row, visits, sizes, least) for row in far.tolist()]
 
-    def _walk(self, far: list[float], visits: int) -> list[int]:
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def _walk(self, far: list[float], visits: int, held: list[int], least: int) -> list[int]:
+        queue, out, got = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or got < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for kid in self.children[node]:
                     heapq.heappush(queue, (far[kid], kid))
             else:
                 out.append(self.leaf[node])
+                got += held[self.leaf[node]]
         return out
 
 
@@ -195,13 +198,13 @@ def calibrate(index: DataFrame, tree: Tree, ids: np.ndarray, queries: np.ndarray
     return visits, float((needed <= visits).mean())
 
 
-def _visits(tree, visits: int, d: int):
+def _visits(tree, visits: int, d: int, held: np.ndarray, least: int):
     """Queries packed by the leaves they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids = matrix(batch.column("vec"), d), batch.column("vec_id").to_numpy()
-            order = tree.value.order(x, visits)
+            order = tree.value.order(x, visits, held, least)
             leaf = np.concatenate([np.array(o, np.int32) for o in order]) if order else np.empty(0, np.int32)
             row = np.repeat(np.arange(len(x)), [len(o) for o in order])
             by_leaf = np.argsort(leaf, kind="stable")
@@ -295,7 +298,13 @@ def search(
         return Search(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), tree.leaves, 0, 1.0)
     probe = matrix(drawn["vec"].combine_chunks(), d)
     visits, reached = calibrate(index, tree, drawn["vec_id"].to_numpy(), probe, k, recall)
-    packed = queries.mapInArrow(_visits(shared, visits, d), "leaf int, n int, ids binary, vecs binary")
+    # One row for each leaf: bounded by the tree. An id in several leaves counts in none, so that no id counts twice.
+    held = np.zeros(tree.leaves, np.int64)
+    of_id = index.groupBy("vec_id").agg(F.min("leaf").alias("leaf"), F.max("leaf").alias("last")).where("leaf = last")
+    for r in of_id.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        held[r["leaf"]] = r["n"]
+    # One more than the result: the query's own id takes no place in it.
+    packed = queries.mapInArrow(_visits(shared, visits, d, held, k + 1), "leaf int, n int, ids binary, vecs binary")
     packed = materialise(packed, "ann-visits")
     # One row for each leaf: bounded by the tree.
     filled = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
