@@ -50,6 +50,8 @@ def asof_join(
     are dropped too: an anti join that costs only the shuffle of the stored keys.
     """
     by, bucket, order = list(by), list(bucket), list(order)
+    if not by:
+        raise ValueError("an as-of join without a key would order all cells in one task: see step_lookup")
     cell = [*by, *bucket]
     right = right.select(*cell, *[o for o in order if o not in cell], payload).dropna(subset=[*cell, *order])
 
