@@ -178,3 +178,79 @@ def test_log_names_lost_files_and_is_purged(spark, tmp_path):
     assert store.log().count() == 0 and store.checkpoints().count() == 1
     with pytest.raises(ValueError):
         audit_stream(spark, incoming, AuditStore(spark, str(tmp_path / "s2"), AuditConfig(keep_raw=True)), format="xml")
+
+
+def test_a_late_login_changes_its_interval_only(spark, tmp_path):
+    # Sessions 60 and 61, statements at 10, 20, ... of five days; a file of the second day comes last.
+    files = {}
+    for day in range(1, 6):
+        events = [login_xml(1, at(1), 62, "eve", "e", "e")] if day == 1 else []
+        for n in range(1, 6):
+            seq = 100 * day + 10 * n
+            events += [statement_xml(seq + i, at(day, n), 60 + i, f"{60 + i} at {seq}") for i in range(2)]
+        events += [login_xml(101 + 100 * day, at(day, 9), 60, f"user{day}", f"10.0.0.{day}", "app")] if day in (1, 4) else []
+        files[f"T_0_{day}.xml"] = events
+    late = [login_xml(225, at(2, 2), 60, "late", "10.0.0.99", None), statement_xml(226, at(2, 2), 60, "new one")]
+    every = [(name, i, x) for name, events in [*files.items(), ("T_0_2.xml", late)] for i, x in enumerate(events)]
+    want = rows(audit_batch(spark.createDataFrame(every, RAW_EVENT)).audit, *COLUMNS, "source")
+
+    incoming, store = str(tmp_path / "in"), AuditStore(spark, str(tmp_path / "store"))
+    for name, events in files.items():
+        deliver(spark, incoming, name, events)
+    audit_stream(spark, incoming, store).awaitTermination()
+    before = {r[:5]: r for r in rows(store.audit(), *COLUMNS, "source")}
+    amended, inner = [], store._amended
+
+    def counted(*a):
+        found = inner(*a)
+        amended.append(0 if found is None else found.count())
+        return found
+
+    store._amended = counted
+    store._replace_from = lambda *a: pytest.fail("a login is no reason to attribute other sessions again")
+    modified = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "audit").rglob("*.parquet")}
+    deliver(spark, incoming, "T_0_2.xml", late)
+    audit_stream(spark, incoming, store).awaitTermination()
+    assert rows(store.audit(), *COLUMNS, "source") == want
+    # From the late login at 225 up to the next one of session 60 at 501: three of the second day, five each of the next two.
+    changed = [r for r in rows(store.audit(), *COLUMNS, "source") if r[:5] in before and before[r[:5]] != r]
+    assert len(changed) == 13 and {r[3] for r in changed} == {60} and {r[5] for r in changed} == {"10.0.0.99"}
+    assert amended == [13]
+    days = {p.parent.name for p, t in modified.items() if p.exists() and p.stat().st_mtime_ns == t}
+    assert days == {"event_date=2024-03-01", "event_date=2024-03-05"}
+
+
+def test_random_late_logins_equal_one_batch(spark, tmp_path):
+    rng = random.Random(8)
+    events = {}
+    for seq in range(1, 400):
+        name, when = f"T_0_{seq // 50}.xml", at(1 + seq // 80, seq % 24)
+        session = 60 if rng.random() < 0.4 else rng.randint(61, 66)
+        address = None if rng.random() < 0.2 else f"10.0.0.{seq}"
+        xml = login_xml(seq, when, session, f"u{seq}", address, rng.choice([None, "app"])) if rng.random() < 0.3 else statement_xml(seq, when, session, f"s{seq}")
+        events.setdefault(name, []).append((seq, xml))
+    every = [(name, seq, x) for name, own in events.items() for seq, x in own]
+    live = spark.createDataFrame([(60, "p60", "h60"), (61, "p61", "h61")], LIVE_SESSIONS)
+    want = rows(audit_batch(spark.createDataFrame(every, RAW_EVENT), live).audit, *COLUMNS, "source")
+    store = AuditStore(spark, str(tmp_path / "store"), AuditConfig(bucket_rows=30))
+    store._replace_from = lambda *a: pytest.fail("no restart is late here")
+    rest = [x for x in every if x[1] != 1]
+    rng.shuffle(rest)
+    from tracewell.sources.trace import parse_trace_events
+
+    parts = [[x for x in every if x[1] == 1] + rest[:60], rest[60:200], rest[200:]]
+    for i, part in enumerate(parts):
+        store.process(parse_trace_events(spark.createDataFrame(part, RAW_EVENT)), i, live)
+    assert rows(store.audit(), *COLUMNS, "source") == want
+
+
+def test_stored_statements_are_read_only_where_a_batch_may_repeat_them(spark, tmp_path, files, batch_rows):
+    incoming, store = str(tmp_path / "in"), AuditStore(spark, str(tmp_path / "store"))
+    asked, inner = [], store._stored_keys
+    store._stored_keys = lambda *a: asked.append(inner(*a)) or asked[-1]
+    names = list(files)
+    for name in [*names, names[1]]:
+        deliver(spark, incoming, name, files[name])
+        audit_stream(spark, incoming, store).awaitTermination()
+    assert [a is None for a in asked] == [True] * len(names) + [False]
+    assert rows(store.audit(), *COLUMNS) == batch_rows

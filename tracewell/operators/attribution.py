@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.model import LIVE_PREFIX, NO_ADDRESS, NO_PROGRAM
@@ -43,11 +43,6 @@ def attribute_with_fallback(
     several copies of an event, as when a restored file is read along with the original; ``stored`` (session_id,
     epoch, event_sequence) names events audited before, which are left out.
     """
-    live = (
-        live_sessions.where(F.col("session_id").isNotNull())
-        .groupBy("session_id")
-        .agg(F.max(F.struct("program_name", "client_net_address")).alias(_LIVE))
-    )
     matched = asof_attribute(
         statements,
         login_facts(logins),
@@ -56,17 +51,63 @@ def attribute_with_fallback(
         "event_sequence",
         _LOGIN,
         bucket_rows,
-        per_key=live,
+        per_key=_live_facts(live_sessions),
         drop_repeats=drop_repeats,
         stored=stored,
     )
+    return matched.select(*statements.columns, *_named())
+
+
+def _live_facts(live_sessions: DataFrame) -> DataFrame:
+    known = live_sessions.where(F.col("session_id").isNotNull())
+    return known.groupBy("session_id").agg(F.max(F.struct("program_name", "client_net_address")).alias(_LIVE))
+
+
+def _named() -> list[Column]:
+    """client_net_address, client_app_name and source from the login and the live session of a row."""
     address, program = F.col(_LOGIN)["client_net_address"], F.col(_LOGIN)["client_app_name"]
     # The live view is asked only when the login gave no address.
     live_address = F.when(address.isNull(), F.col(_LIVE)["client_net_address"])
     live_program = F.when(address.isNull(), F.col(_LIVE)["program_name"])
-    return matched.select(
-        *statements.columns,
+    return [
         F.coalesce(address, F.concat(F.lit(LIVE_PREFIX), live_address), F.lit(NO_ADDRESS)).alias("client_net_address"),
         F.coalesce(program, F.concat(F.lit(LIVE_PREFIX), live_program), F.lit(NO_PROGRAM)).alias("client_app_name"),
         F.when(address.isNotNull(), "asof").when(live_address.isNotNull(), "live").otherwise("none").alias("source"),
+    ]
+
+
+def login_intervals(new: DataFrame, logins: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """``new`` logins with ``until``: epoch and sequence of the next one of their session among ``logins``, NULL for the last.
+
+    A login answers for the statements of its session after it and up to the next login, and for no others.
+    """
+    back = {"__epoch": -F.unix_micros(F.col("epoch").cast("timestamp")), "__seq": -F.col("event_sequence")}
+    payload = F.struct("epoch", "event_sequence").alias("until")
+    return asof_attribute(
+        new.withColumns(back),
+        logins.withColumns(back).select("session_id", *back, payload),
+        "session_id",
+        "__epoch",
+        "__seq",
+        "until",
+        bucket_rows,
+    ).drop(*back)
+
+
+def reattributed(
+    statements: DataFrame, intervals: DataFrame, live_sessions: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS
+) -> DataFrame:
+    """Those of the statements that lie in one of the ``login_intervals``, with what its login and the live view say of them.
+
+    This keeps an as-of join up to date: logins that are found late change the answer inside their intervals only. The
+    statements may have any columns beside their key; only those of the sessions concerned take part in the as-of join.
+    """
+    facts = F.struct("client_net_address", "client_app_name", "until").alias(_LOGIN)
+    right = intervals.select("session_id", "epoch", "event_sequence", facts)
+    own = statements.join(intervals.select("session_id").distinct(), "session_id", "left_semi").select(statements.columns)
+    matched = asof_attribute(
+        own, right, "session_id", "epoch", "event_sequence", _LOGIN, bucket_rows, per_key=_live_facts(live_sessions)
     )
+    until = F.col(_LOGIN)["until"]
+    inside = until.isNull() | (F.struct("epoch", "event_sequence") <= until)
+    return matched.where(F.col(_LOGIN).isNotNull() & inside).select(*statements.columns, *_named())

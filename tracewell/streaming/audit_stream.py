@@ -3,10 +3,15 @@
 Each micro-batch is parsed once into the ``events`` table. Files normally arrive in name order; then the
 statements of the batch are attributed against a small state (newest login per session and epoch) and appended
 where they are new. The file source does not promise that order. A batch with an earlier file than one already
-done is *late*: if it brings a login or a restart not known before, every statement from that file on is
-attributed again from the stored events and the touched date partitions are replaced; if not (a restored file),
-its statements are attributed against all logins and appended where they are new. Either way the table equals
-what one batch over all files gives.
+done is *late*. Its statements are attributed against all logins and appended where they are new. A login it brings changes
+the stored statements of its session up to the next login of that session, and no others: these are found by an as-of
+join of keys alone, and the date partitions that hold them are replaced. Only a restart not known before, which moves
+all that follows it to another epoch, makes every statement from its file on be attributed again from the stored events.
+A restored file replaces nothing. In each case the table equals what one batch over all files gives.
+
+What is stored is read for duplicates only where it can hold any: each batch notes the range of sequences by epoch and
+date, and a batch whose ranges meet none of those before reads no stored statement. (A watermark would do this in the
+stream itself, but drops the late events that this table must take.)
 
 Everything a batch writes lies under its own number and is overwritten when the batch is run again.
 """
@@ -35,7 +40,7 @@ from tracewell.model import (
     RAW_EVENT,
     AuditConfig,
 )
-from tracewell.operators.attribution import attribute_with_fallback
+from tracewell.operators.attribution import attribute_with_fallback, login_intervals, reattributed
 from tracewell.operators.epochs import assign_epoch, trace_starts
 from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
 from tracewell.operators.lifecycle import lost_files, prune_connections, retain, retain_connections
@@ -58,6 +63,14 @@ _STORED_AUDIT = T.StructType(
         T.StructField("event_date", T.DateType()),
     ]
 )
+_RANGES = T.StructType(
+    [
+        T.StructField("epoch", T.TimestampType()),
+        T.StructField("event_date", T.DateType()),
+        T.StructField("first", T.LongType()),
+        T.StructField("last", T.LongType()),
+    ]
+)
 _LOGIN_EVENTS = T.StructType(
     [
         T.StructField("file_name", T.StringType()),
@@ -67,10 +80,34 @@ _LOGIN_EVENTS = T.StructType(
 )
 
 
+_ANSWER = ("client_net_address", "client_app_name", "source")
+
+
 def _event_date() -> Column:
     return utc_date("event_time")
 
 
+def _ranges(statements: DataFrame) -> DataFrame:
+    """First and last sequence by epoch and event_date; rows without a key equal nothing and are left out."""
+    keyed = statements.where(F.col("epoch").isNotNull() & F.col("event_sequence").isNotNull() & F.col("event_date").isNotNull())
+    sequence = F.col("event_sequence")
+    return keyed.groupBy("epoch", "event_date").agg(F.min(sequence).alias("first"), F.max(sequence).alias("last"))
+
+
+def _as_said(answered: DataFrame, said_live: Column) -> DataFrame:
+    """Where the live view once gave an answer, it stands unless a login is known by now: the view has moved on since.
+
+    A login may name a program and no address: what it names stands, the rest is as it was said.
+    """
+    guessed = {
+        c: F.col(c).startswith(LIVE_PREFIX) | F.col(c).isin(NO_ADDRESS, NO_PROGRAM)
+        for c in ("client_net_address", "client_app_name")
+    } | {"source": F.col("source") != "asof"}
+    return answered.withColumns(
+        {c: F.when(said_live & guess, F.col(f"said_{c}")).otherwise(F.col(c)) for c, guess in guessed.items()}
+    )
+
+
 class AuditStore:
     """Tables of one audit under one shared folder."""
 
@@ -140,7 +177,7 @@ class AuditStore:
         df.write.mode("overwrite").parquet(f"{self._at(name)}/version={version}")
 
     def _drop_old_state(self, spark: SparkSession, version: int) -> None:
-        for name in ("starts", "login_state"):
+        for name in ("starts", "login_state", "ranges"):
             old = sorted(int(v) for v in tables.partition_values(spark, self._at(name), "version"))
             # The version before this batch is what a repeat of the batch starts from.
             for v in [v for v in old if v < version][:-1]:
@@ -190,13 +227,14 @@ class AuditStore:
             logins = self.state(spark, "login_state", CONNECTIONS, batch_id).unionByName(own)
         state = prune_connections(logins)
 
-        if late and (
-            not starts.exceptAll(known).isEmpty()
-            or not tables.not_stored(own, self.logins(spark, starts, before=batch_id), LOGIN_KEY).isEmpty()
-        ):
+        if late and not starts.exceptAll(known).isEmpty():
             self._replace_from(spark, first, starts, logins, live_sessions, batch_id)
+            self._save_state(self._stored_ranges(spark), "ranges", batch_id)
         else:
-            fresh = self._attributed(dated, logins, live_sessions, self._stored_keys(spark, events))
+            if late:
+                self._amend(spark, own, logins, self.logins(spark, starts, before=batch_id), live_sessions, batch_id)
+            stored = self._stored_keys(spark, extract_statements(dated), batch_id)
+            fresh = self._attributed(dated, logins, live_sessions, stored)
             # Few files per date for a small batch, more for a large one.
             fresh.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(self._at("audit"))
         self._save_state(state, "login_state", batch_id)
@@ -213,13 +251,37 @@ class AuditStore:
         self._drop_old_state(spark, batch_id)
         tables.remove(spark, self._at("_repair"))
 
-    def _stored_keys(self, spark: SparkSession, events: DataFrame) -> DataFrame | None:
-        """Keys already audited on the dates of a batch; None when there are none. Equal keys have equal dates."""
-        if not tables.has_data(spark, self._at("audit")):
+    def _stored_ranges(self, spark: SparkSession) -> DataFrame:
+        """The range of sequences by epoch and date of all that is stored."""
+        return _ranges(self.stored_audit(spark))
+
+    def _stored_keys(self, spark: SparkSession, statements: DataFrame, batch_id: int) -> DataFrame | None:
+        """Keys already audited that a batch may hold again; None when there can be none. Equal keys have equal dates.
+
+        The ranges of the batch are noted before it is appended: if it is run again, they say that its rows may be there.
+        """
+        noted = [int(v) for v in tables.partition_values(spark, self._at("ranges"), "version")]
+        stored = self.stored_audit(spark)
+        before = self.state(spark, "ranges", _RANGES, batch_id + 1)
+        if not noted and tables.has_data(spark, self._at("audit")):
+            before = self._stored_ranges(spark)  # a table written by a version that noted none
+        work = [new_work_path(spark, "ranges"), new_work_path(spark, "ranges")]
+        # A row for each epoch and date.
+        own = write_and_read(_ranges(statements.withColumn("event_date", _event_date())), work[0])
+        hull = [F.min("first").alias("first"), F.max("last").alias("last")]
+        merged = write_and_read(before.unionByName(own).groupBy("epoch", "event_date").agg(*hull), work[1])
+        other = before.withColumnsRenamed({"first": "stored_first", "last": "stored_last"})
+        meeting = own.join(other, ["epoch", "event_date"]).where("first <= stored_last AND last >= stored_first")
+        lowest, highest = meeting.agg(F.min("first"), F.max("last")).first()
+        self._save_state(merged, "ranges", batch_id)
+        for path in work:
+            tables.remove(spark, path)
+        if lowest is None:
             return None
-        dates = extract_statements(events).select(_event_date().alias("event_date"))
-        stored = tables.touching(self.stored_audit(spark), dates, "event_date")
-        return stored.select("session_id", "epoch", "event_sequence")
+        dates = _event_date().alias("event_date")
+        near = tables.touching(stored, statements.select(dates), "event_date")
+        near = near.where(F.col("event_sequence").between(lowest, highest))
+        return near.select("session_id", "epoch", "event_sequence")
 
     def _attributed(
         self, dated: DataFrame, logins: DataFrame, live_sessions: DataFrame, stored: DataFrame | None = None
@@ -251,6 +313,9 @@ class AuditStore:
         repair = f"{self._at('_repair')}/batch_id={batch_id}"
         if not tables.is_complete(spark, repair):
             self._write_repair(spark, repair, first, starts, logins, live_sessions)
+        self._put_in_place(spark, repair)
+
+    def _put_in_place(self, spark: SparkSession, repair: str) -> None:
         (
             spark.read.schema(_STORED_AUDIT)
             .parquet(repair)
@@ -260,6 +325,65 @@ class AuditStore:
             .parquet(self._at("audit"))
         )
 
+    def _amend(
+        self,
+        spark: SparkSession,
+        own: DataFrame,
+        logins: DataFrame,
+        known: DataFrame,
+        live_sessions: DataFrame,
+        batch_id: int,
+    ) -> None:
+        """Give the stored statements in the intervals of late logins their answer, and replace the dates that hold them."""
+        repair = f"{self._at('_repair')}/batch_id={batch_id}"
+        if not tables.is_complete(spark, repair):
+            work = new_work_path(spark, "amended")
+            amended = self._amended(spark, own, logins, known, live_sessions)
+            if amended is None:
+                return
+            amended = write_and_read(amended.dropDuplicates(LOGIN_KEY), work)
+            if amended.isEmpty():
+                tables.remove(spark, work)
+                return
+            dated = tables.touching(self.stored_audit(spark), amended, "event_date")
+            said = amended.select(*LOGIN_KEY, F.struct(*_ANSWER).alias("now"))
+            # An amended statement is one row by its key; which side moves is Spark's choice by size.
+            found = dated.join(said, LOGIN_KEY, "left")
+            now = F.col("now")
+            found = found.withColumns({c: F.when(now.isNotNull(), now[c]).otherwise(F.col(c)) for c in _ANSWER})
+            found.select(*_STORED_AUDIT.names).write.mode("overwrite").parquet(repair)
+            tables.remove(spark, work)
+        self._put_in_place(spark, repair)
+
+    def _amended(
+        self, spark: SparkSession, own: DataFrame, logins: DataFrame, known: DataFrame, live_sessions: DataFrame
+    ) -> DataFrame | None:
+        """Keys, dates and new answers of the stored statements that logins of a late batch change; None without a new login.
+
+        Only keys are read, of the sessions and of the range of (epoch, sequence) that the logins can reach.
+        """
+        new = tables.not_stored(own, known, LOGIN_KEY)
+        sessions = new.select("session_id").distinct()
+        intervals = login_intervals(new, logins.join(sessions, "session_id", "left_semi"), self.config.bucket_rows)
+        work = new_work_path(spark, "intervals")
+        intervals = write_and_read(intervals, work)
+        place = F.struct("epoch", "event_sequence")
+        # An instant goes to the driver and back as microseconds, whatever its zone there.
+        bounds = intervals.agg(
+            F.unix_micros(F.min("epoch")), F.count("*"), F.count("until"), F.unix_micros(F.max("until")["epoch"]), F.max("until")["event_sequence"]
+        ).first()
+        lowest, n, ended, last_epoch, last_sequence = bounds
+        if not n:
+            return None
+        stored = self.stored_audit(spark).where(F.col("epoch") >= F.timestamp_micros(F.lit(lowest)))
+        if n == ended:
+            last = F.struct(F.timestamp_micros(F.lit(last_epoch)).alias("epoch"), F.lit(last_sequence).cast("long").alias("event_sequence"))
+            stored = stored.where((F.col("epoch") <= F.timestamp_micros(F.lit(last_epoch))) & (place <= last))
+        # What was said before is kept under other names beside the new answer.
+        said = [F.col(c).alias(f"said_{c}") for c in _ANSWER]
+        keys = stored.select(*LOGIN_KEY, "event_date", *said)
+        return _as_said(reattributed(keys, intervals, live_sessions, self.config.bucket_rows), F.col("said_source") == "live")
+
     def _write_repair(
         self,
         spark: SparkSession,
@@ -272,21 +396,11 @@ class AuditStore:
         events = spark.read.parquet(self._at("events")).where(F.col("file_name") >= first).drop("batch_id")
         stored = self.stored_audit(spark)
         again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
-        # What the live view once said stands, unless a login is known by now: the view has moved on since.
         said = stored.where((F.col("file_name") >= first) & (F.col("source") == "live")).select(
             *AUDIT_KEY, F.struct("client_net_address", "client_app_name", "source").alias("said")
         )
-        # A login may name a program and no address: what it names stands, the rest is as it was said.
-        guessed = {
-            c: F.col(c).startswith(LIVE_PREFIX) | F.col(c).isin(NO_ADDRESS, NO_PROGRAM)
-            for c in ("client_net_address", "client_app_name")
-        } | {"source": F.col("source") != "asof"}
-        again = again.join(said, AUDIT_KEY, "left").withColumns(
-            {
-                c: F.when(F.col("said").isNotNull() & guess, F.col("said")[c]).otherwise(F.col(c))
-                for c, guess in guessed.items()
-            }
-        )
+        again = again.join(said, AUDIT_KEY, "left").select("*", *(F.col("said")[c].alias(f"said_{c}") for c in _ANSWER))
+        again = _as_said(again, F.col("said").isNotNull())
         work = new_work_path(spark, "late")
         again = write_and_read(again.select(*_STORED_AUDIT.names), work)
         touched = (

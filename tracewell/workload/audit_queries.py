@@ -232,16 +232,16 @@ def audit_stream_append(spark, sf_dir):
 
 @query("audit_stream_out_of_order", _AUDIT_SQL)
 def audit_stream_out_of_order(spark, sf_dir):
-    # Every file arrives in three parts, each in a trigger of its own with parts of all others, the last events first.
+    # Every file arrives in three parts, each in a run of its own with parts of all others, the last events first.
     from tracewell.streaming.audit_stream import AuditStore, audit_stream
 
     incoming = new_work_path(spark, "incoming")
     raw = materialise(tv.raw_trace(tv.trace(spark, sf_dir)), "raw")
-    for part in (2, 0, 1):
-        raw.where(F.floor(F.col("file_offset") / 8) == part).coalesce(1).write.mode("append").parquet(incoming)
     store = AuditStore(spark, new_work_path(spark, "store"))
     live = materialise(tv.live_sessions(spark, sf_dir), "live")
-    audit_stream(spark, incoming, store, live_sessions=live, max_files_per_trigger=1).awaitTermination()
+    for part in (2, 0, 1):
+        raw.where(F.floor(F.col("file_offset") / 8) == part).write.mode("append").parquet(incoming)
+        audit_stream(spark, incoming, store, live_sessions=live).awaitTermination()
     return _compact_audit(store.audit())
 
 
