@@ -47,6 +47,7 @@ from tracewell.operators.lifecycle import lost_files, prune_connections, retain,
 from tracewell.plans.audit import AUDIT_KEY, LOGIN_KEY
 from tracewell.session import new_work_path, write_and_read
 from tracewell.sources import tables
+from tracewell.sources.tail import FORMAT, tail_stream
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
 
 _STARTS = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("epoch", T.TimestampType())])
@@ -494,13 +495,16 @@ def audit_stream(
 ) -> StreamingQuery:
     """Start the stream: all files there are and then stop, or for ever with ``processing_time``.
 
-    ``format`` is that of a raw event table, or ``xml`` for exported trace files. ``source_options`` go to the
-    file source, for instance ``cleanSource`` to archive or delete finished files.
+    ``format`` is that of a raw event table, ``xml`` for exported trace files that are complete when they appear, or
+    ``trace_tail`` for such files that still grow. ``source_options`` go to the source, for instance ``cleanSource`` of the file
+    source to archive or delete finished files.
     """
     if format == "xml" and store.config.keep_raw:
         raise ValueError("raw events are kept only from a raw event table: exported files are the raw events themselves")
-    reader = spark.readStream.format(format)
-    if format == "xml":
+    reader = tail_stream(spark) if format == FORMAT else spark.readStream.format(format)
+    if format == FORMAT:
+        pass  # the source names its own columns
+    elif format == "xml":
         reader = reader.schema(EVENT_XML).option("rowTag", "event").option("ignoreSurroundingSpaces", "false")
     else:
         reader = reader.schema(RAW_EVENT)
