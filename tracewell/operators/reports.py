@@ -38,28 +38,44 @@ def split_batches(scripts: DataFrame, key: str, text: str = "script") -> DataFra
     """
     lines = _lines(text)
     marked = F.transform(lines, lambda x: F.upper(x["line"]).like("--GO%"))
-    chunked = (
-        scripts.select(key, lines.alias("lines"), marked.alias("marked"))
-        .select(key, "lines", F.posexplode(_runs("lines", "marked")).alias("chunk_no", "run"))
-        .withColumn("marks", F.filter(F.slice("lines", 1, F.col("run.start") + F.col("run.n") + 1), lambda x: F.upper(x["line"]).like("--GO E_%")))
-        .withColumn("switches", F.filter("marks", lambda x: F.substring(x["line"], 7, 1).isin("+", "-")))
-        .withColumn(
-            "errors_muted",
-            F.coalesce(F.substring(F.try_element_at("switches", F.lit(-1))["line"], 7, 1) == "-", F.lit(False)),
-        )
-        .withColumn("cut_end", F.when(F.col("chunk_no") > 0, F.get("lines", F.col("run.start") - 1)["end"]).otherwise(F.lit("")))
-        .withColumn("chunk", F.concat("cut_end", _joined("lines", "run")))
-        .withColumn("mask", masked("chunk"))
+    runs = scripts.select(key, lines.alias("lines"), marked.alias("marked")).select(key, "lines", _runs("lines", "marked").alias("runs"))
+    # Each chunk gets its text and its switch before it becomes a row of its own: rows carry nothing of the rest of the script.
+    chunks = F.zip_with(
+        F.transform("runs", lambda r, i: _chunk(r, i)),
+        F.split(_filled(F.array_join(F.transform("runs", _switch), "")), ""),
+        lambda c, state: F.struct(c["no"].alias("no"), c["text"].alias("text"), (state == "-").alias("muted")),
     )
-    own = chunked.select(
+    chunked = runs.select(key, F.explode(chunks).alias("c")).where("c.no IS NOT NULL").select(
+        key, F.col("c.no").alias("chunk_no"), F.coalesce("c.muted", F.lit(False)).alias("errors_muted"), F.col("c.text").alias("chunk")
+    )
+    own = chunked.withColumn("mask", masked("chunk")).select(
         key, "chunk_no", "errors_muted", _lines("chunk").alias("lines"), F.split("mask", "\r?\n").alias("masked")
     )
     go = F.zip_with(
         "lines", "masked", lambda x, copy: (F.upper(F.trim(x["line"])) == "GO") & (x["line"] == copy)
     )
     cut = own.withColumn("go", F.transform(go, lambda x: F.coalesce(x, F.lit(False))))
-    runs = cut.select(key, "chunk_no", "errors_muted", "lines", F.posexplode(_runs("lines", "go")).alias("batch_no", "run"))
-    return runs.select(key, "chunk_no", "errors_muted", "batch_no", _joined("lines", "run").alias("batch"))
+    batches = F.transform(_runs("lines", "go"), lambda r: _joined(F.col("lines"), r))
+    return cut.select(key, "chunk_no", "errors_muted", F.posexplode(batches).alias("batch_no", "batch"))
+
+
+def _chunk(run: Column, i: Column) -> Column:
+    """Number and text of a run of lines; after the first, with the break of the line that cut it off."""
+    cut_end = F.when(i > 0, F.get("lines", run["start"] - 1)["end"]).otherwise(F.lit(""))
+    return F.struct(i.alias("no"), F.concat(cut_end, _joined(F.col("lines"), run)).alias("text"))
+
+
+def _switch(run: Column) -> Column:
+    """+ or - where the line that ends a run switches the reporting of errors, else a blank."""
+    line = F.get("lines", run["start"] + run["n"])["line"]
+    sign = F.substring(line, 7, 1)
+    return F.when(F.upper(line).like("--GO E_%") & sign.isin("+", "-"), sign).otherwise(F.lit(" "))
+
+
+def _filled(signs: Column) -> Column:
+    """Each blank as the sign before it, in one pass over runs of a sign and its blanks."""
+    parts = F.regexp_extract_all(signs, F.lit("[+-] *|^ +"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.repeat(F.substring(p, 1, 1), F.char_length(p))), "")
 
 
 def _lines(text: str) -> Column:
@@ -79,11 +95,10 @@ def _runs(lines: str, cuts: str) -> Column:
     return pairs
 
 
-def _joined(lines: str, run: str) -> Column:
+def _joined(lines: Column, run: Column) -> Column:
     """Text of a run of lines, without the break after its last line."""
-    own = F.slice(lines, F.col(run)["start"] + 1, F.col(run)["n"])
-    texts = F.transform(own, lambda x, i: F.concat(x["line"], F.when(i < F.col(run)["n"] - 1, x["end"]).otherwise(F.lit(""))))
-    return F.array_join(texts, "")
+    own = F.slice(lines, run["start"] + 1, run["n"])
+    return F.array_join(F.transform(own, lambda x, i: F.concat(x["line"], F.when(i < run["n"] - 1, x["end"]).otherwise(F.lit("")))), "")
 
 
 def sample_rows(df: DataFrame, key: str, fraction: float, first: int, required: str) -> DataFrame:
