@@ -54,6 +54,26 @@ def test_search_on_documents_table(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_search_visits_few_of_many_leaves(spark, monkeypatch):
+    for name, value in (("LEAF_ROWS", 16), ("CHUNK", 300), ("QUERY_CHUNK", 30), ("MERGE_BYTES", 400_000)):
+        monkeypatch.setattr(ann_tree, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 8))
+    x = centres[rng.integers(0, 150, 5000)] + rng.normal(scale=0.1, size=(5000, 8))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    found = ann_tree.search(vectors(spark, [(i, row.tolist(), 0) for i, row in enumerate(x)]), "vec_id % 20 = 0", k=10)
+    assert found.leaves > 200 and found.visits < found.leaves / 4
+    x, got, recall = x.astype(np.float32).astype(float), {}, []
+    for r in found.result.collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 5000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(set(got[q]) & set(np.argsort(-score)[:10].tolist())) / 10)
+        assert len(got[q]) == 10
+    assert len(got) == 250 and np.mean(recall) >= 0.9
+
+
 def test_search_cases(spark):
     few = [(0, [1.0] * 8, 1), (20, [2.0] * 8, 1), (3, [0.5] * 8, 1), (3, [0.5] * 8, 1)]
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann_tree.search(vectors(spark, few + ODD), "vec_id % 20 = 0").result.collect())

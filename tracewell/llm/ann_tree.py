@@ -6,7 +6,8 @@ nodes by distance to their centre and opens the nearest first, which ranks the l
 calibrated: for about ``CALIBRATION`` of the queries the true neighbours are found among all rows, and visits widen until the
 share of them in visited leaves reaches ``recall``. A query whose leaves hold too few rows for a full result goes on to the next ones.
 Queries then meet the rows of their leaves in bundles of neighbouring leaves of
-bounded size, however full a leaf is, and the best of all bundles are kept.
+bounded size, however full a leaf is: a query is sent to a bundle once, with the leaves it visits there. The best of each bundle leave
+it packed by blocks of queries, and each block keeps the best of all bundles.
 
 Scores are inner products of the original vectors in double precision; ties go to the smaller id.
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.arrays import mix64
 from tracewell.llm.sampling import hash_sample
 from tracewell.llm.vectors import dots, matrix, usable
 from tracewell.session import materialise
@@ -37,9 +39,13 @@ BRANCHES = 8
 #: Rows meant for a leaf, and the most leaves (this bounds what is broadcast).
 LEAF_ROWS = 256
 MAX_LEAVES = 4096
+#: Leaves that a small table is split into all the same, of 8 rows at least.
+LEAST_LEAVES = 32
 #: Rows and queries that meet in one task.
 CHUNK = 4096
 QUERY_CHUNK = 20_000
+#: Found rows of all bundles that are merged in one task.
+MERGE_BYTES = 32_000_000
 
 
 @dataclass
@@ -198,8 +204,8 @@ def calibrate(index: DataFrame, tree: Tree, ids: np.ndarray, queries: np.ndarray
     return visits, float((needed <= visits).mean())
 
 
-def _visits(tree, visits: int, d: int, held: np.ndarray, least: int):
-    """Queries packed by the leaves they visit."""
+def _visits(tree, visits: int, d: int, held: np.ndarray, least: int, bundle_of: np.ndarray, shares: int):
+    """Queries packed by the bundles of the leaves they visit and by their own share: each once a bundle, with its leaves there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,58 +213,94 @@ def _visits(tree, visits: int, d: int, held: np.ndarray, least: int):
             order = tree.value.order(x, visits, held, least)
             leaf = np.concatenate([np.array(o, np.int32) for o in order]) if order else np.empty(0, np.int32)
             row = np.repeat(np.arange(len(x)), [len(o) for o in order])
-            by_leaf = np.argsort(leaf, kind="stable")
-            leaf, row = leaf[by_leaf], row[by_leaf]
-            first = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else np.empty(0, int)
-            parts = np.split(row, first[1:]) if len(first) else []
-            columns = [pa.array(leaf[first], pa.int32()), pa.array([len(p) for p in parts], pa.int32()),
-                       pa.array([ids[p].tobytes() for p in parts], pa.binary()),
-                       pa.array([x[p].tobytes() for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["leaf", "n", "ids", "vecs"])
+            some = bundle_of[leaf] >= 0
+            leaf, row = leaf[some], row[some]
+            bundle, share = bundle_of[leaf], _share(ids, shares)[row]
+            by = np.lexsort((row, share, bundle))
+            leaf, row, bundle, share = leaf[by], row[by], bundle[by], share[by]
+            new = np.flatnonzero((np.diff(bundle, prepend=-1) != 0) | (np.diff(share, prepend=-1) != 0))
+            out: list[tuple] = []
+            for first, last in zip(new, np.append(new[1:], len(row)), strict=True):
+                own, counts = np.unique(row[first:last], return_counts=True)
+                out.append((int(bundle[first]), int(share[first]), len(own), ids[own].tobytes(), x[own].tobytes(),
+                            counts.astype(np.int32).tobytes(), leaf[first:last].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _PACKED)
 
     return run
 
 
-def _meet(d: int, k: int):
-    """Queries of a bundle with the rows of the leaves they visit; the best of all its leaves for each query."""
+_PACKED = ["bundle", "share", "n", "ids", "vecs", "counts", "leaves"]
+
+
+def _share(ids: np.ndarray, shares: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+
+
+def _meet(d: int, k: int, blocks: int):
+    """Queries of a bundle with the rows of the leaves they visit; the best of all its leaves for each query, packed by blocks of queries."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        own_rows = {leaf: (np.array(g["vec"].tolist()), g["vec_id"].to_numpy()) for leaf, g in rows.groupby("leaf")}
-        for leaf, own_ids, vecs in zip(queries["leaf"], queries["ids"], queries["vecs"], strict=True):
-            if leaf in own_rows:
-                x, ids = own_rows[leaf]
-                query_ids = np.frombuffer(own_ids, np.int64)
-                q, r, s = best(np.frombuffer(vecs, np.float64).reshape(-1, d), query_ids, x, ids, k)
-                found.append((query_ids[q], ids[r], s))
+        if len(rows) and len(queries):
+            query_ids = np.frombuffer(b"".join(queries["ids"]), np.int64)
+            vecs = np.frombuffer(b"".join(queries["vecs"]), np.float64).reshape(-1, d)
+            asking = np.repeat(np.arange(len(query_ids)), np.frombuffer(b"".join(queries["counts"]), np.int32))
+            asked = np.frombuffer(b"".join(queries["leaves"]), np.int32)
+            for leaf, own in rows.groupby("leaf"):
+                who = asking[asked == leaf]
+                x, ids = np.array(own["vec"].tolist()), own["vec_id"].to_numpy()
+                q, r, s = best(vecs[who], query_ids[who], x, ids, k)
+                found.append((query_ids[who[q]], ids[r], s))
         q, v, s = map(np.concatenate, zip(*found, strict=True))
         order = np.lexsort((v, -s, q))
         q, v, s = q[order], v[order], s[order]
         keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < 2 * k  # room for rows repeated under one id
-        return pd.DataFrame({"query_id": q[keep], "vec_id": v[keep], "score": s[keep]})
+        q, v, s = q[keep], v[keep], s[keep]
+        block = _share(q, blocks)
+        parts = [(b, *(c[block == b].tobytes() for c in (q, v, s))) for b in np.unique(block).tolist()]
+        return pd.DataFrame(parts, columns=["block", "q", "v", "s"])
+
+    return run
+
+
+def _merge(k: int):
+    """The best of all bundles for each query of a block."""
+
+    def run(packed: pd.DataFrame) -> pd.DataFrame:
+        q, v = (np.frombuffer(b"".join(packed[c]), np.int64) for c in ("q", "v"))
+        s = np.frombuffer(b"".join(packed["s"]), np.float64)
+        order = np.lexsort((-s, v, q))
+        q, v, s = q[order], v[order], s[order]
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+        q, v, s = q[once], v[once], s[once]
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left") + 1
+        keep = rank <= k
+        return pd.DataFrame({"query_id": q[keep], "rank": rank[keep].astype(np.int32), "vec_id": v[keep], "score": s[keep]})
 
     return run
 
 
-def bundles(rows: dict[int, int], visits: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """leaf, bundle, chunks, turns: neighbouring leaves together up to ``CHUNK`` rows, fuller ones alone in chunks."""
-    out, bundle, held, asked = [], [], 0, 0
-    number = 0
+def bundles(rows: dict[int, int]) -> list[tuple[int, int, int]]:
+    """leaf, bundle, chunks: neighbouring leaves together up to ``CHUNK`` rows, fuller ones alone in chunks."""
+    out, bundle, held, number = [], [], 0, 0
 
     def close():
-        nonlocal bundle, held, asked, number
+        nonlocal bundle, held, number
         if bundle:
-            chunks, turns = max(1, -(-held // CHUNK)), max(1, -(-asked // QUERY_CHUNK))
-            out.extend((leaf, number, chunks, turns) for leaf in bundle)
+            out.extend((leaf, number, max(1, -(-held // CHUNK))) for leaf in bundle)
             number += 1
-        bundle, held, asked = [], 0, 0
+        bundle, held = [], 0
 
-    for leaf in sorted(set(rows) & set(visits)):
+    for leaf in sorted(rows):
         if held + rows[leaf] > CHUNK:
             close()
         bundle.append(leaf)
         held += rows[leaf]
-        asked += visits[leaf]
     close()
     return out
 
@@ -287,13 +329,14 @@ def search(
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     n, norm = usable_rows.agg(F.count("*"), F.sqrt(F.max(squares))).first()
     drawn = hash_sample(usable_rows, n, SAMPLE, "vec_id").orderBy("vec_id").select("vec").toArrow()
-    leaves = min(MAX_LEAVES, max(1, n // LEAF_ROWS))
+    leaves = min(MAX_LEAVES, max(n // LEAF_ROWS, min(LEAST_LEAVES, n // 8), 1))
     tree = grow(matrix(drawn["vec"].combine_chunks(), d), norm, leaves)
     shared = spark.sparkContext.broadcast(tree)
     index = usable_rows.mapInArrow(_filed(shared, d), "vec_id long, vec array<double>, leaf int")
     index = materialise(index, "ann-index")
     queries = index.where(is_query).select("vec_id", "vec")
-    drawn = hash_sample(queries, queries.count(), CALIBRATION, "vec_id", seed=1).orderBy("vec_id").toArrow()
+    n_queries = queries.count()
+    drawn = hash_sample(queries, n_queries, CALIBRATION, "vec_id", seed=1).orderBy("vec_id").toArrow()
     if not drawn.num_rows:
         return Search(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), tree.leaves, 0, 1.0)
     probe = matrix(drawn["vec"].combine_chunks(), d)
@@ -303,32 +346,38 @@ def search(
     of_id = index.groupBy("vec_id").agg(F.min("leaf").alias("leaf"), F.max("leaf").alias("last")).where("leaf = last")
     for r in of_id.groupBy("leaf").agg(F.count("*").alias("n")).collect():
         held[r["leaf"]] = r["n"]
-    # One more than the result: the query's own id takes no place in it.
-    packed = queries.mapInArrow(_visits(shared, visits, d, held, k + 1), "leaf int, n int, ids binary, vecs binary")
-    packed = materialise(packed, "ann-visits")
     # One row for each leaf: bounded by the tree.
     filled = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    asked = {r["leaf"]: r["n"] for r in packed.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    placed = bundles(filled, asked)
-
-    def pieces() -> DataFrame:
-        return F.broadcast(spark.createDataFrame(placed, "leaf int, bundle int, chunks int, turns int"))
-
-    left = (
-        index.join(pieces(), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int"))
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    )
-    right = (
-        packed.join(pieces(), "leaf").withColumn("turn", F.pmod(F.xxhash64("ids"), "turns").cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    )
+    placed = bundles(filled)
+    bundle_of = np.full(tree.leaves, -1, np.int64)
+    for leaf, bundle, _ in placed:
+        bundle_of[leaf] = bundle
+    shares = max(1, -(-n_queries // QUERY_CHUNK))
+    # One more than the result: the query's own id takes no place in it.
+    packed = queries.mapInArrow(
+        _visits(shared, visits, d, held, k + 1, bundle_of, shares),
+        "bundle int, share int, n int, ids binary, vecs binary, counts binary, leaves binary",
+    )
+    packed = materialise(packed, "ann-visits")
+    # One row for each bundle: bounded by the tree.
+    asked = {r["bundle"]: r["n"] for r in packed.groupBy("bundle").agg(F.sum("n").alias("n")).collect()}
+    # A query is in one share, so all its leaves of a bundle are in one turn.
+    turns = [(leaf, bundle, chunks, min(shares, -(-asked[bundle] // QUERY_CHUNK))) for leaf, bundle, chunks in placed if bundle in asked]
+    per_bundle = sorted({(bundle, chunks, n) for _, bundle, chunks, n in turns})
+
+    left = index.join(F.broadcast(spark.createDataFrame(turns, "leaf int, bundle int, chunks int, turns int")), "leaf")
+    left = left.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int"))
+    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    right = packed.join(F.broadcast(spark.createDataFrame(per_bundle, "bundle int, chunks int, turns int")), "bundle")
+    right = right.withColumn("turn", F.pmod("share", "turns")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = ["bundle", "chunk", "turn"]
+    # What a block of queries gets from all bundles fits in MERGE_BYTES.
+    meetings = sum(chunks for _, chunks, _ in per_bundle) if len(per_bundle) < visits else visits
+    blocks = max(1, -(-n_queries * max(1, meetings) * 48 * k // MERGE_BYTES))
     met = (
         left.select(*key, "leaf", "vec_id", "vec").groupBy(*key)
-        .cogroup(right.select(*key, "leaf", "ids", "vecs").groupBy(*key))
-        .applyInPandas(_meet(d, k), "query_id long, vec_id long, score double")
+        .cogroup(right.select(*key, "ids", "vecs", "counts", "leaves").groupBy(*key))
+        .applyInPandas(_meet(d, k, blocks), "block long, q binary, v binary, s binary")
     )
-    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    result = once.withColumn("rank", place).where(F.col("rank") <= k)
-    return Search(result.select("query_id", "rank", "vec_id", "score"), tree.leaves, visits, reached)
+    result = met.groupBy("block").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    return Search(result, tree.leaves, visits, reached)
