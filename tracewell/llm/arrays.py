@@ -77,6 +77,17 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def steps(a: np.ndarray) -> bytes:
+    """An ascending array by its differences, packed: the smaller they are, the more planes compress to nothing."""
+    out = a.copy()
+    out[1:] -= a[:-1]
+    return pack(out)
+
+
+def from_steps(b: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unpack(b, dtype), dtype=dtype)
+
+
 def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes sum up to ``most``, or single ones above it."""
     start = total = 0

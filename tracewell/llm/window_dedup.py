@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrays import Rolling, WordHashes, pack, unpack
+from tracewell.llm.arrays import Rolling, WordHashes, from_steps, pack, steps, unpack
 from tracewell.llm.batches import for_texts
 from tracewell.llm.membership import bit_of, bitmap, may_contain, rows_in
 from tracewell.session import materialise
@@ -43,10 +43,11 @@ _RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start
 
 
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, body, and a tag that tells rows of one id apart: the hash of the text, or 0 where all ids differ."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.cast("binary").alias("body")).withColumn(
-        "tag", F.xxhash64("body")
-    )
+    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.cast("binary").alias("body"))
+    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return rows.withColumn("tag", F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("body"))
 
 
 def _blocks(k: int, parts: int):
@@ -98,15 +99,16 @@ def _block(held: list[tuple[int, int, np.ndarray]], parts: int) -> pa.RecordBatc
     hit_rows, hit_places, hit_part = hit_rows[by_part], hit_places[by_part], hit_part[by_part]
     hit_edges = np.searchsorted(hit_part, np.arange(parts + 1))
     hit_places = hit_places - starts[hit_rows]
-    packed = pack(docs), pack(tags), pack(starts)
+    row = row[keep]
     rows: list[list] = [[] for _ in range(9)]
     for p in range(parts):
         a, b = edges[p], edges[p + 1]
         c, d = hit_edges[p], hit_edges[p + 1]
         if a == b and c == d:
             continue
-        hits = hit_rows[c:d]
-        values = (p, pack(hashes[a:b]), pack(places[a:b]), *(packed if b > a else (b"", b"", b"")),
+        # Only the documents with a window in the range go along, whatever the block holds.
+        own, hits = np.unique(row[a:b]), hit_rows[c:d]
+        values = (p, steps(hashes[a:b]), pack(places[a:b]), steps(docs[own]), pack(tags[own]), steps(starts[own]),
                   pack(docs[hits]), pack(tags[hits]), pack(hit_places[c:d]))
         for column, v in zip(rows, values, strict=True):
             column.append(v)
@@ -121,10 +123,10 @@ def _repeats(group: pd.DataFrame) -> pd.DataFrame:
     for r in group.itertuples(index=False):
         if not r.hashes:
             continue
-        own, starts = unpack(r.places, np.uint32), unpack(r.starts, np.uint32)
+        own, starts = unpack(r.places, np.uint32), from_steps(r.starts, np.uint32)
         at = np.searchsorted(starts, own, side="right") - 1
-        hashes.append(unpack(r.hashes, np.uint64))
-        docs.append(unpack(r.docs, np.int64)[at])
+        hashes.append(from_steps(r.hashes, np.uint64))
+        docs.append(from_steps(r.docs, np.int64)[at])
         tags.append(unpack(r.tags, np.int64)[at])
         places.append(own - starts[at])
     known = [(unpack(r.hit_docs, np.int64), unpack(r.hit_tags, np.int64), unpack(r.hit_places, np.uint32))
@@ -152,7 +154,10 @@ def _repeats(group: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_windows(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag (hash of the text), places (packed starts of windows that repeat an earlier document), written."""
-    rows = _input(docs, id_col, text_col)
+    return _repeated(_input(docs, id_col, text_col), k)
+
+
+def _repeated(rows: DataFrame, k: int) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(LEAST_RANGES, -(-size // RANGE_BYTES))
     blocks = rows.mapInArrow(_blocks(k, parts), _BLOCK)
@@ -203,7 +208,7 @@ def pc_not_null(column: pa.Array) -> np.ndarray:
 def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, removed (intervals of words), kept (words joined by spaces), for every row."""
     rows = _input(docs, id_col, text_col)
-    hits = repeated_windows(docs, k, id_col, text_col)
+    hits = _repeated(rows, k)
     bits = bitmap(hits, "doc_id", "tag")
     marked = rows.withColumn("bit", bit_of("doc_id", "tag"))
     clean = marked.select("doc_id", "body", "bit").mapInArrow(_cut(k, bits), _RESULT)
