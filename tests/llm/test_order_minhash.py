@@ -135,3 +135,33 @@ def test_sketches_of_a_set():
     words = o.mix64(np.arange(300, dtype=np.uint64))
     keys, different = o.bucket_keys(np.concatenate([words, words[:90]]))
     assert different == 300 and set(o.sketches(words)) <= set(keys)
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words), "s"), (2, "an other text of its own with some more words", "s"), (2, " ".join(words[:39]), "s"), (3, "x y z", "s"), (3, "x  y z", "s")]
+    got = o.one_of_each(docs(spark, rows))
+    assert sorted((r.doc_id, r.text.split()[0]) for r in got.collect()) == [(1, "w0"), (2, "an"), (3, "x")]
+
+
+def test_alignment_of_long_texts_holds_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    a = rng.permutation(60_000)
+    b = np.delete(a, rng.choice(60_000, 5000, replace=False))
+    tracemalloc.start()
+    assert o.aligned(a, b) and not o.aligned(a, np.concatenate([b[30_000:], b[:30_000]]))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
+def test_alignment_equals_the_plain_subsequence(monkeypatch):
+    monkeypatch.setattr(o, "OFTEN", 3)
+    rng = random.Random(9)
+    for _ in range(300):
+        a = [rng.randint(0, 12) for _ in range(rng.randint(5, 40))]
+        b = [x if rng.random() > 0.12 else rng.randint(0, 12) for x in a if rng.random() > 0.08]
+        if b:
+            want = in_order(a, b) >= o.SIMILARITY - 1e-9
+            assert o.aligned(np.array(a), np.array(b)) == want

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.batches import for_texts
+from tracewell.llm.batches import for_texts, giving_back
 
 #: Words that a task keeps encoded; text bytes whose new words are replayed together.
 KEEP_WORDS = 100_000
@@ -200,7 +200,7 @@ class _Words(dict):
         return n
 
 
-def _encoder(ranks, pattern: str):
+def _encoder(ranks, pattern: str, keep_words: int, replay_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -210,7 +210,7 @@ def _encoder(ranks, pattern: str):
             texts, start = batch.column("body"), 0
             while start < len(texts):
                 held, size = [], 0
-                while start < len(texts) and (not held or size < REPLAY_BYTES):
+                while start < len(texts) and (not held or size < replay_bytes):
                     text = texts[start].as_py()
                     found = split(text)
                     held.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
@@ -223,7 +223,7 @@ def _encoder(ranks, pattern: str):
                 columns = [batch.column("doc_id").slice(first, len(held)), pa.array([len(x) // 4 for x in ids], pa.int64()),
                            pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
-                if len(words) > KEEP_WORDS:
+                if len(words) > keep_words:
                     words, spelt = _Words(), []
 
     return run
@@ -241,8 +241,8 @@ def _decoder(ranks):
     return run
 
 
-def _both(ranks, pattern: str):
-    encoded, decoded = _encoder(ranks, pattern), _decoder(ranks)
+def _both(ranks, *args):
+    encoded, decoded = _encoder(ranks, *args), _decoder(ranks)
     return lambda batches: decoded(encoded(batches))
 
 
@@ -253,18 +253,21 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     and_decode: bool = False,
+    keep_words: int = KEEP_WORDS,
+    replay_bytes: int = REPLAY_BYTES,
 ) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row. ``ranks`` is broadcast: a vocabulary.
 
-    ``and_decode`` adds ``decoded``, the bytes that the ids stand for, in the same pass.
+    ``and_decode`` adds ``decoded``, the bytes that the ids stand for, in the same pass. ``keep_words`` and ``replay_bytes`` bound
+    the memory of a task; lower ones merge more words again.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = for_texts(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids binary"
     if and_decode:
-        return rows.mapInArrow(_both(shared, pattern), f"{schema}, decoded binary")
-    return rows.mapInArrow(_encoder(shared, pattern), schema)
+        return rows.mapInArrow(giving_back(_both(shared, pattern, keep_words, replay_bytes)), f"{schema}, decoded binary")
+    return rows.mapInArrow(giving_back(_encoder(shared, pattern, keep_words, replay_bytes)), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

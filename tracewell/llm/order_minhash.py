@@ -35,14 +35,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.bits import in_bitmap
 from tracewell.llm.arrays import Rolling, WordHashes, mix64
-from tracewell.llm.batches import for_texts
+from tracewell.llm.batches import for_texts, giving_back
 from tracewell.llm.graph import components
-from tracewell.llm.membership import BITS, bitmap_of_bits, may_contain
+from tracewell.llm.membership import BITS, bit_of, bitmap, bitmap_of_bits, may_contain
 from tracewell.session import materialise
 
 K = 5
 L = 5
+#: Bits of the map of rows that may go. On very large inputs it fills up; then more rows are shuffled, with the same result.
+CONTESTED_BITS = 1 << 19
+#: Hashes of a text that are ranked at once for several sketches; this bounds the memory beside the text.
+TOGETHER = 400_000
+#: Words of a text that stand more often than this have a row of bits in an alignment.
+OFTEN = 64
 SKETCHES = 24
 SIMILARITY = 0.8
 #: Rounds in which buckets are compared with one leader each. Random leaders after the central one found next to nothing.
@@ -92,7 +99,7 @@ def bucket_keys(found: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _sketches_of(x: np.ndarray) -> np.ndarray:
     keys = np.empty(SKETCHES, np.uint64)
-    step = max(1, 4_000_000 // len(x))
+    step = max(1, TOGETHER // len(x))
     for s in range(0, SKETCHES, step):
         seeds = _SEEDS[s : s + step]
         if len(x) > L:
@@ -123,9 +130,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets.append(own.view(np.int64))
             few.append(SIMILARITY * different < FEW)
             repeats.append(len(found) >= REPEATED * different)
-        columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64())),
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64())),
                    pa.array(few, pa.bool_()), pa.array(repeats, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "buckets", "few", "repeats"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "buckets", "few", "repeats"])
 
 
 def _needed_words(bits: bytes, bit_hash):
@@ -160,6 +167,12 @@ def similar_sets(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> boo
     return both >= share * (len(a) + len(b) - both) - 1e-9
 
 
+def _bits(places: list[int], n: int) -> int:
+    row = np.zeros(n, np.uint8)
+    row[places] = 1
+    return int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> bool:
     """Whether words in common order reach ``share`` of the longer text.
 
@@ -180,16 +193,24 @@ def aligned(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> bool:
         return True
     a, b = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
     width = longest - need
-    masks: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        masks[x] = masks.get(x, 0) | 1 << i
+        places.setdefault(x, []).append(i)
+    # Only words that stand often have a row of bits of their own, so that at most 1000 rows are held whatever the length.
+    often = max(OFTEN, len(a) // 1000)
+    masks = {x: _bits(own, len(a)) for x, own in places.items() if len(own) > often}
     full = (1 << len(a)) - 1
     band = (1 << (2 * width + 1)) - 1
     open_ = full
     for j, y in enumerate(b):
-        m = masks.get(y, 0)
+        if y in masks:
+            m = masks[y] & (band << (j - width) if j >= width else band >> (width - j))
+        else:
+            m = 0
+            for i in places.get(y, ()):
+                if abs(i - j) <= width:
+                    m |= 1 << i
         if m:
-            m &= band << (j - width) if j >= width else band >> (width - j)
             hit = open_ & m
             open_ = ((open_ + hit) | (open_ - hit)) & full
     return head + tail + len(a) - open_.bit_count() >= need
@@ -321,9 +342,19 @@ def _rest(open_: DataFrame, words: DataFrame, by_prefix: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the word sequence, null where there are no words), class_id, kept of every row."""
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    sketched = rows.mapInArrow(_sketched, "doc_id long, key long, buckets array<long>, few boolean, repeats boolean")
+    return _classed(docs, id_col, text_col).select("doc_id", "key", "class_id", "kept")
+
+
+def _body(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same with root, which tells classes apart where rows of several repeat one id, and the hash of the text."""
+    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), _body(text_col).alias("body"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("body"))
+    schema = "doc_id long, text_hash long, key long, buckets array<long>, few boolean, repeats boolean"
+    sketched = hashed.mapInArrow(giving_back(_sketched), schema)
     sketched = materialise(sketched, "omh-sketches")
     linkable = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = linkable.groupBy("key").agg(
@@ -337,34 +368,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only words of classes that share a bucket or meet by prefixes are read again.
     needed = members.select("key").unionByName(exact.select("key"))
     ends = needed.select(F.col("key").bitwiseAND(BITS - 1).cast("int").alias("bit"))
-    words = rows.where("doc_id IS NOT NULL").mapInArrow(_needed_words(bitmap_of_bits(ends), _bit), "key long, words binary")
+    words = rows.where("doc_id IS NOT NULL").mapInArrow(giving_back(_needed_words(bitmap_of_bits(ends), _bit)), "key long, words binary")
     words = words.join(needed.distinct(), "key", "left_semi")
     words = materialise(words.groupBy("key").agg(F.first("words").alias("words")), "omh-words")
     roots = _linked(members, words, exact)
     rooted = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_key = rooted.join(ids, "root").select("key", "class_id")
-    found = linkable.select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id")
-    alone = sketched.where("doc_id IS NULL OR key IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"))
+    of_key = rooted.join(ids, "root").select("key", "root", "class_id")
+    found = linkable.select("doc_id", "text_hash", "key").join(of_key, "key")
+    found = found.select("doc_id", "text_hash", "key", "root", "class_id")
+    alone = sketched.where("doc_id IS NULL OR key IS NULL").select(
+        "doc_id", "text_hash", "key", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id")
+    )
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def _links(pairs: DataFrame, words: DataFrame) -> DataFrame:
     first = words.select(F.col("key").alias("a"), F.col("words").alias("words_a"))
     second = words.select(F.col("key").alias("b"), F.col("words").alias("words_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "words_a", "words_b").mapInArrow(_verified, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "words_a", "words_b").mapInArrow(giving_back(_verified), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay: all that are alone, and of each class the row with the least id (one of repeated rows)."""
-    found = near_duplicates(docs, id_col, text_col).where("kept")
-    kept = found.where("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key").distinct()
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), F.struct("*").alias("row"))
-    blank = (F.col("doc_id").isNull()) | ~F.col("body").cast("string").rlike("[^\\x20\\x09-\\x0D]")
-    alone = rows.where(blank).select("row")
-    worded = rows.where(~blank).join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = materialise(_classed(docs, id_col, text_col).where("key IS NOT NULL AND doc_id IS NOT NULL"), "omh-classed")
+    kept = found.where("kept").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    kept = materialise(kept, "omh-kept")
+    # Of these some rows go: others of a class, and repeated ones. All other texts stay where they are read.
+    rows_of = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    contested = rows_of.join(kept.withColumn("one", F.lit(True)), ["doc_id", "text_hash"], "left").where("n > 1 OR one IS NULL")
+    bits = bitmap(contested, "doc_id", "text_hash", bits=CONTESTED_BITS)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(_body(text_col)).alias("text_hash"), F.struct("*").alias("row")
+    )
+    maybe = in_bitmap(bits, bit_of("doc_id", "text_hash", bits=CONTESTED_BITS))
+    blank = F.col("doc_id").isNull() | ~F.col("row")[text_col].cast("string").rlike("[^\\x20\\x09-\\x0D]")
+    blank = F.coalesce(blank, F.lit(True))
+    sure = rows.where(blank | ~maybe).select("row")
+    worded = rows.where(~blank & maybe)
     # Rows that repeat one id are told apart by their text; equal ones become one.
-    texts = worded.withColumn("text_key", F.sha2("body", 256)).groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
-    return texts.select("row").unionByName(alone).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    texts = worded.join(kept, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+    return texts.select("row").unionByName(sure).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+

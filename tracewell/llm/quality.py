@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tracewell.llm.batches import for_texts
+from tracewell.llm.batches import for_texts, giving_back
 
 TO_POOLED = 0.1
 TO_SPHERE = 0.02
@@ -110,7 +110,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """key (the id), x (the statistics of the text) of every row: what is shuffled and kept instead of texts."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = for_texts(docs).select(F.col(id_col).alias("key"), body.alias("body"))
-    return rows.mapInArrow(_featured, f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(giving_back(_featured), f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -175,19 +175,19 @@ def score(featured: DataFrame, model: Model) -> DataFrame:
     return featured.select("key", "x").mapInArrow(_scorer(model), f"key {kind}, score double")
 
 
-def _accepted(model, least: float):
+def _accepted(model, least: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound = float(np.log(least / (1 - least)))
         for batch in batches:
-            x = np.array([statistics(b.as_py()) for b in batch.column("body")]).reshape(-1, len(NAMES))
-            yield batch.select(["row"]).filter(pa.array(model.log_odds_of(x) >= bound))
+            texts = batch.column("row").field(place)
+            x = np.array([statistics((t.as_py() or "").encode()) for t in texts]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.log_odds_of(x) >= bound))
 
     return run
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The input rows with a score of at least ``least``, all columns as they are."""
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = for_texts(docs).select(F.struct("*").alias("row"), body.alias("body"))
-    kept = rows.mapInArrow(_accepted(model, least), StructType([StructField("row", docs.schema)]))
+    """The input rows with a score of at least ``least``, all columns as they are. Each text goes through Arrow once."""
+    rows = for_texts(docs).select(F.struct("*").alias("row"))
+    kept = rows.mapInArrow(giving_back(_accepted(model, least, docs.columns.index(text_col))), StructType([StructField("row", docs.schema)]))
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
