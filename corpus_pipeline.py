@@ -45,7 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe_replay.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    both = bpe_replay.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, and_decode=True)
+    # Executors still hold the memory of four stages: smaller blocks of words than alone.
+    both = bpe_replay.encode(
+        docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, and_decode=True, keep_words=40_000, replay_bytes=2_000_000
+    )
     return both.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
