@@ -208,7 +208,6 @@ def test_a_late_login_changes_its_interval_only(spark, tmp_path):
 
     store._amended = counted
     store._replace_from = lambda *a: pytest.fail("a login is no reason to attribute other sessions again")
-    modified = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "audit").rglob("*.parquet")}
     deliver(spark, incoming, "T_0_2.xml", late)
     audit_stream(spark, incoming, store).awaitTermination()
     assert rows(store.audit(), *COLUMNS, "source") == want
@@ -216,8 +215,8 @@ def test_a_late_login_changes_its_interval_only(spark, tmp_path):
     changed = [r for r in rows(store.audit(), *COLUMNS, "source") if r[:5] in before and before[r[:5]] != r]
     assert len(changed) == 13 and {r[3] for r in changed} == {60} and {r[5] for r in changed} == {"10.0.0.99"}
     assert amended == [13]
-    days = {p.parent.name for p, t in modified.items() if p.exists() and p.stat().st_mtime_ns == t}
-    assert days == {"event_date=2024-03-01", "event_date=2024-03-05"}
+    days = {day for day, generation in store.parts().live() if generation.startswith("repair")}
+    assert days == {"2024-03-02", "2024-03-03", "2024-03-04"}
 
 
 def test_random_late_logins_equal_one_batch(spark, tmp_path):
@@ -254,3 +253,28 @@ def test_stored_statements_are_read_only_where_a_batch_may_repeat_them(spark, tm
         audit_stream(spark, incoming, store).awaitTermination()
     assert [a is None for a in asked] == [True] * len(names) + [False]
     assert rows(store.audit(), *COLUMNS) == batch_rows
+
+
+@pytest.mark.parametrize("merge_every", [1, 2, 16])
+def test_login_state_grows_by_what_a_batch_brings(spark, tmp_path, monkeypatch, files, batch_rows, merge_every):
+    from tracewell.sources.trace import parse_trace_events
+    from tracewell.streaming import audit_stream as module
+
+    monkeypatch.setattr(module, "MERGE_EVERY", merge_every)
+    store = AuditStore(spark, str(tmp_path / "store"))
+    names = list(files)
+    for i, name in enumerate(names):
+        part = spark.createDataFrame([(name, n, x) for n, x in enumerate(files[name])], RAW_EVENT)
+        for _ in range(2 if i == 2 else 1):  # one batch is run twice
+            store.process(parse_trace_events(part), i)
+    assert rows(store.audit(), *COLUMNS) == batch_rows
+    newest = {}
+    for r in store.logins().collect():
+        key = (r.session_id, r.epoch)
+        newest[key] = max(newest.get(key, (0,)), (r.event_sequence, r.client_net_address))
+    assert {(r.session_id, r.epoch): (r.event_sequence, r.client_net_address) for r in store.login_state().collect()} == newest
+    kept = sorted(p.name for p in (tmp_path / "store").glob("login_increments/version=*"))
+    assert bool(kept) == (merge_every > 1) and (merge_every < 16 or len(kept) == len(names))
+    if merge_every == 16:  # an increment holds the sessions of its batch only
+        last = spark.read.parquet(str(tmp_path / "store" / "login_increments" / f"version={len(names) - 1}"))
+        assert last.count() <= 4 < store.login_state().count()

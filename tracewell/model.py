@@ -111,6 +111,8 @@ NO_DATABASE = "nom de base de données absent"
 LOST_FILE_PREFIX = "Lost audit file: "
 MIN_USER_SESSION = 50
 RETENTION_DAYS = 45
+# A stream slows down after batches of fewer statements, and is silent after so long without an event.
+QUIET_ROWS, QUIET_SECONDS, SILENT_SECONDS = 100, 15, 15 * 60
 DEFAULT_EPOCH = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
 
 

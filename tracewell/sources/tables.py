@@ -25,18 +25,38 @@ def has_data(spark: SparkSession, path: str) -> bool:
     )
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` came to its end."""
-    return _files(spark, path).exists(_path(spark, f"{path}/_SUCCESS"))
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies right under ``path``."""
+    fs, folder = _files(spark, path), _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that it is there with all its text or not at all."""
+    fs, draft = _files(spark, path), _path(spark, f"{path}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, _path(spark, path)):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    stream = _files(spark, path).open(_path(spark, path))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def partition_values(spark: SparkSession, path: str, partition: str) -> list[str]:
     """Values of the partition folders right under ``path``."""
-    fs, folder = _files(spark, path), _path(spark, path)
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return [n.split("=", 1)[1] for n in names if n.startswith(f"{partition}=")]
+    return [n.split("=", 1)[1] for n in names(spark, path) if n.startswith(f"{partition}=")]
+
+
+def size(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of some files."""
+    return sum(_files(spark, p).getFileStatus(_path(spark, p)).getLen() for p in paths)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -47,13 +47,29 @@ from tracewell.operators.lifecycle import lost_files, prune_connections, retain,
 from tracewell.plans.audit import AUDIT_KEY, LOGIN_KEY
 from tracewell.session import new_work_path, write_and_read
 from tracewell.sources import tables
+from tracewell.sources.generations import Generations
 from tracewell.sources.tail import FORMAT, tail_stream
 from tracewell.sources.trace import parse_trace_events, trace_xml_events
+from tracewell.streaming.pace import Pace, query_name, watch_silence
 
 _STARTS = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("epoch", T.TimestampType())])
 _PROGRESS = T.StructType(
-    [*CHECKPOINT.fields, T.StructField("newest_event", T.TimestampType()), T.StructField("batch_id", T.LongType())]
+    [
+        *CHECKPOINT.fields,
+        T.StructField("newest_event", T.TimestampType()),
+        T.StructField("statements", T.LongType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
 )
+#: Size of a packed file, and how it is written: row groups that a look-up can leave out, by range or by bloom filter.
+FILE_BYTES = 256 << 20
+PACKED = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.bloom.filter.enabled#server_principal_name": "true",
+    "parquet.bloom.filter.enabled#client_net_address": "true",
+}
+#: Batches whose logins are kept apart before they are merged into one state.
+MERGE_EVERY = 16
 #: Batch number of the logins that outlive the batches they came in.
 _SPARED = -1
 _STORED_AUDIT = T.StructType(
@@ -100,12 +116,14 @@ def _as_said(answered: DataFrame, said_live: Column) -> DataFrame:
 
     A login may name a program and no address: what it names stands, the rest is as it was said.
     """
-    guessed = {
-        c: F.col(c).startswith(LIVE_PREFIX) | F.col(c).isin(NO_ADDRESS, NO_PROGRAM)
-        for c in ("client_net_address", "client_app_name")
-    } | {"source": F.col("source") != "asof"}
+    def guess(c: str, at: str) -> Column:
+        if c == "source":
+            return F.col(at) != "asof"
+        return F.col(at).startswith(LIVE_PREFIX) | F.col(at).isin(NO_ADDRESS, NO_PROGRAM)
+
+    # A program that an other login named, and not the live view, is no answer of the live view.
     return answered.withColumns(
-        {c: F.when(said_live & guess, F.col(f"said_{c}")).otherwise(F.col(c)) for c, guess in guessed.items()}
+        {c: F.when(said_live & guess(c, c) & guess(c, f"said_{c}"), F.col(f"said_{c}")).otherwise(F.col(c)) for c in _ANSWER}
     )
 
 
@@ -118,8 +136,12 @@ class AuditStore:
     def _at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def parts(self, spark: SparkSession | None = None) -> Generations:
+        """The audit by date; each change of it becomes visible at once."""
+        return Generations(spark or self.spark, self._at("audit"), _STORED_AUDIT, "event_date")
+
     def stored_audit(self, spark: SparkSession | None = None) -> DataFrame:
-        return tables.read_or_empty(spark or self.spark, self._at("audit"), _STORED_AUDIT)
+        return self.parts(spark).read()
 
     def audit(self) -> DataFrame:
         return self.stored_audit().drop("file_name")
@@ -148,6 +170,10 @@ class AuditStore:
             "file_name", "last_offset_done", "first.*"
         )
 
+    def progress(self) -> DataFrame:
+        """What each batch wrote and up to where: batch_id, statements, newest_event and its checkpoint."""
+        return tables.read_or_empty(self.spark, self._at("checkpoint"), _PROGRESS)
+
     def log(self) -> DataFrame:
         """Messages of the process: lost files, starts, failures."""
         return tables.read_or_empty(self.spark, self._at("log"), PROCESS_LOG)
@@ -177,7 +203,46 @@ class AuditStore:
     def _save_state(self, df: DataFrame, name: str, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self._at(name)}/version={version}")
 
+    def login_state(self, spark: SparkSession | None = None, before: int | None = None) -> DataFrame:
+        """The newest login of each session and epoch, before a batch: a base, and what each batch since then brought."""
+        spark = spark or self.spark
+        base, since = self._login_versions(spark, before)
+        state = self.state(spark, "login_state", CONNECTIONS, None if base is None else base + 1)
+        if base is None:
+            state = spark.createDataFrame([], CONNECTIONS)
+        if since:
+            paths = [f"{self._at('login_increments')}/version={v}" for v in since]
+            state = state.unionByName(spark.read.schema(CONNECTIONS).parquet(*paths))
+        return prune_connections(state)
+
+    def _login_versions(self, spark: SparkSession, before: int | None) -> tuple[int | None, list[int]]:
+        def versions(name: str) -> list[int]:
+            found = (int(v) for v in tables.partition_values(spark, self._at(name), "version"))
+            return sorted(v for v in found if before is None or v < before)
+
+        base = max(versions("login_state"), default=None)
+        return base, [v for v in versions("login_increments") if base is None or v > base]
+
+    def _note_logins(self, spark: SparkSession, own: DataFrame, all_logins: DataFrame | None, batch_id: int) -> None:
+        """Add the logins of a batch to the state.
+
+        A batch writes what it brings, so that writes keep in proportion to it; every ``MERGE_EVERY`` batches the increments become a
+        new base. A late batch may have moved known logins to other epochs and writes the base from all of them.
+        """
+        _, since = self._login_versions(spark, batch_id)
+        if all_logins is not None:
+            self._save_state(prune_connections(all_logins), "login_state", batch_id)
+        elif len(since) + 1 >= MERGE_EVERY:
+            self._save_state(prune_connections(self.login_state(spark, batch_id).unionByName(own)), "login_state", batch_id)
+        else:
+            self._save_state(prune_connections(own), "login_increments", batch_id)
+
     def _drop_old_state(self, spark: SparkSession, version: int) -> None:
+        base, _ = self._login_versions(spark, version)
+        for v in tables.partition_values(spark, self._at("login_increments"), "version"):
+            # A repeat of this batch starts from the base before it and what came after that.
+            if base is not None and int(v) <= base:
+                tables.remove(spark, f"{self._at('login_increments')}/version={v}")
         for name in ("starts", "login_state", "ranges"):
             old = sorted(int(v) for v in tables.partition_values(spark, self._at(name), "version"))
             # The version before this batch is what a repeat of the batch starts from.
@@ -186,7 +251,8 @@ class AuditStore:
 
     # --- one micro-batch -----------------------------------------------------------------------------------
 
-    def process(self, parsed: DataFrame, batch_id: int, live_sessions: DataFrame | None = None) -> None:
+    def process(self, parsed: DataFrame, batch_id: int, live_sessions: DataFrame | None = None) -> int:
+        """Audit the events of one batch. Returns the number of statements written, counted as they are written."""
         spark = parsed.sparkSession
         if live_sessions is None:
             live_sessions = spark.createDataFrame([], LIVE_SESSIONS)
@@ -201,7 +267,7 @@ class AuditStore:
             events.where("file_name IS NOT NULL").agg(F.min(place), F.max(place), F.unix_micros(F.max("event_time"))).first()
         )
         if first_place is None:
-            return
+            return 0
         first, (last, last_offset) = first_place[0], last_place
         progress = tables.read_or_empty(spark, self._at("checkpoint"), _PROGRESS)
         done = F.max(F.struct("file_name", "last_offset_done"))
@@ -224,11 +290,15 @@ class AuditStore:
         if late:
             logins = self.logins(spark, starts)
         else:
-            # What went before is needed only as the newest login per session and epoch.
-            logins = self.state(spark, "login_state", CONNECTIONS, batch_id).unionByName(own)
-        state = prune_connections(logins)
-
-        if late and not starts.exceptAll(known).isEmpty():
+            # What went before is needed only as the newest login per session and epoch, and of the sessions at hand.
+            sessions = extract_statements(events).select("session_id").distinct()
+            logins = self.login_state(spark, batch_id).join(sessions, "session_id", "left_semi").unionByName(own)
+
+        written = Observation()
+        # What an earlier attempt at this batch appended does not count as stored.
+        self.parts(spark).take_back(f"batch-{batch_id}")
+        appended = not (late and not starts.exceptAll(known).isEmpty())
+        if not appended:
             self._replace_from(spark, first, starts, logins, live_sessions, batch_id)
             self._save_state(self._stored_ranges(spark), "ranges", batch_id)
         else:
@@ -236,21 +306,24 @@ class AuditStore:
                 self._amend(spark, own, logins, self.logins(spark, starts, before=batch_id), live_sessions, batch_id)
             stored = self._stored_keys(spark, extract_statements(dated), batch_id)
             fresh = self._attributed(dated, logins, live_sessions, stored)
+            fresh = fresh.observe(written, F.count(F.lit(1)).alias("statements"))
             # Few files per date for a small batch, more for a large one.
-            fresh.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(self._at("audit"))
-        self._save_state(state, "login_state", batch_id)
+            self.parts(spark).append(fresh.hint("rebalance", "event_date"), f"batch-{batch_id}")
+        self._note_logins(spark, own, logins if late else None, batch_id)
 
+        statements = written.get["statements"] if appended else None
         # Last of all, so that a batch counts as done only when all it writes is there.
         place = spark.range(1).select(
             F.lit(last).alias("file_name"),
             F.lit(last_offset).cast("long").alias("last_offset_done"),
             F.current_timestamp().alias("chk_point_time"),
             F.timestamp_micros(F.lit(newest).cast("long")).alias("newest_event"),
+            F.lit(statements).cast("long").alias("statements"),
         )
         place = assign_epoch(place, starts, self.config.initial_epoch)
         place.write.mode("overwrite").parquet(f"{self._at('checkpoint')}/batch_id={batch_id}")
         self._drop_old_state(spark, batch_id)
-        tables.remove(spark, self._at("_repair"))
+        return statements or 0
 
     def _stored_ranges(self, spark: SparkSession) -> DataFrame:
         """The range of sequences by epoch and date of all that is stored."""
@@ -264,7 +337,7 @@ class AuditStore:
         noted = [int(v) for v in tables.partition_values(spark, self._at("ranges"), "version")]
         stored = self.stored_audit(spark)
         before = self.state(spark, "ranges", _RANGES, batch_id + 1)
-        if not noted and tables.has_data(spark, self._at("audit")):
+        if not noted and self.parts(spark).live():
             before = self._stored_ranges(spark)  # a table written by a version that noted none
         work = [new_work_path(spark, "ranges"), new_work_path(spark, "ranges")]
         # A row for each epoch and date.
@@ -306,25 +379,27 @@ class AuditStore:
         live_sessions: DataFrame,
         batch_id: int,
     ) -> None:
-        """Attribute again everything from file ``first`` on and replace the date partitions it touches.
-
-        The new partitions are complete in a folder of the store before the old ones go. A batch that is repeated after a
-        crash in between puts these in place and does not read the table it had begun to replace.
-        """
-        repair = f"{self._at('_repair')}/batch_id={batch_id}"
-        if not tables.is_complete(spark, repair):
-            self._write_repair(spark, repair, first, starts, logins, live_sessions)
-        self._put_in_place(spark, repair)
-
-    def _put_in_place(self, spark: SparkSession, repair: str) -> None:
-        (
-            spark.read.schema(_STORED_AUDIT)
-            .parquet(repair)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date")
-            .parquet(self._at("audit"))
+        """Attribute again everything from file ``first`` on and replace the date partitions it touches, all at once."""
+        events = spark.read.parquet(self._at("events")).where(F.col("file_name") >= first).drop("batch_id")
+        stored = self.stored_audit(spark)
+        again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
+        said = stored.where((F.col("file_name") >= first) & (F.col("source") == "live")).select(
+            *AUDIT_KEY, F.struct("client_net_address", "client_app_name", "source").alias("said")
         )
+        again = again.join(said, AUDIT_KEY, "left").select("*", *(F.col("said")[c].alias(f"said_{c}") for c in _ANSWER))
+        again = _as_said(again, F.col("said").isNotNull())
+        work = new_work_path(spark, "late")
+        again = write_and_read(again.select(*_STORED_AUDIT.names), work)
+        touched = (
+            again.select("event_date")
+            .union(stored.where(F.col("file_name") >= first).select("event_date"))
+            .distinct()
+        )
+        # Rows of earlier files in those dates are kept. Dates are few, so this join moves nothing.
+        kept = tables.touching(stored.where(F.col("file_name") < first), touched, "event_date")
+        whole = kept.select(*again.columns).unionByName(again).hint("rebalance", "event_date")
+        self.parts(spark).replace(whole, f"repair-{batch_id}")
+        tables.remove(spark, work)
 
     def _amend(
         self,
@@ -336,25 +411,19 @@ class AuditStore:
         batch_id: int,
     ) -> None:
         """Give the stored statements in the intervals of late logins their answer, and replace the dates that hold them."""
-        repair = f"{self._at('_repair')}/batch_id={batch_id}"
-        if not tables.is_complete(spark, repair):
-            work = new_work_path(spark, "amended")
-            amended = self._amended(spark, own, logins, known, live_sessions)
-            if amended is None:
-                return
-            amended = write_and_read(amended.dropDuplicates(LOGIN_KEY), work)
-            if amended.isEmpty():
-                tables.remove(spark, work)
-                return
+        work = new_work_path(spark, "amended")
+        amended = self._amended(spark, own, logins, known, live_sessions)
+        if amended is None:
+            return
+        amended = write_and_read(amended.dropDuplicates(LOGIN_KEY), work)
+        if not amended.isEmpty():
             dated = tables.touching(self.stored_audit(spark), amended, "event_date")
             said = amended.select(*LOGIN_KEY, F.struct(*_ANSWER).alias("now"))
             # An amended statement is one row by its key; which side moves is Spark's choice by size.
-            found = dated.join(said, LOGIN_KEY, "left")
-            now = F.col("now")
+            found, now = dated.join(said, LOGIN_KEY, "left"), F.col("now")
             found = found.withColumns({c: F.when(now.isNotNull(), now[c]).otherwise(F.col(c)) for c in _ANSWER})
-            found.select(*_STORED_AUDIT.names).write.mode("overwrite").parquet(repair)
-            tables.remove(spark, work)
-        self._put_in_place(spark, repair)
+            self.parts(spark).replace(found.hint("rebalance", "event_date"), f"repair-{batch_id}")
+        tables.remove(spark, work)
 
     def _amended(
         self, spark: SparkSession, own: DataFrame, logins: DataFrame, known: DataFrame, live_sessions: DataFrame
@@ -385,34 +454,26 @@ class AuditStore:
         keys = stored.select(*LOGIN_KEY, "event_date", *said)
         return _as_said(reattributed(keys, intervals, live_sessions, self.config.bucket_rows), F.col("said_source") == "live")
 
-    def _write_repair(
-        self,
-        spark: SparkSession,
-        path: str,
-        first: str,
-        starts: DataFrame,
-        logins: DataFrame,
-        live_sessions: DataFrame,
-    ) -> None:
-        events = spark.read.parquet(self._at("events")).where(F.col("file_name") >= first).drop("batch_id")
-        stored = self.stored_audit(spark)
-        again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
-        said = stored.where((F.col("file_name") >= first) & (F.col("source") == "live")).select(
-            *AUDIT_KEY, F.struct("client_net_address", "client_app_name", "source").alias("said")
-        )
-        again = again.join(said, AUDIT_KEY, "left").select("*", *(F.col("said")[c].alias(f"said_{c}") for c in _ANSWER))
-        again = _as_said(again, F.col("said").isNotNull())
-        work = new_work_path(spark, "late")
-        again = write_and_read(again.select(*_STORED_AUDIT.names), work)
-        touched = (
-            again.select("event_date")
-            .union(stored.where(F.col("file_name") >= first).select("event_date"))
-            .distinct()
-        )
-        # Rows of earlier files in those dates are kept. Dates are few, so this join moves nothing.
-        kept = tables.touching(stored.where(F.col("file_name") < first), touched, "event_date")
-        kept.select(*again.columns).unionByName(again).write.mode("overwrite").parquet(path)
-        tables.remove(spark, work)
+    def compact(self, before: dt.date, least_generations: int = 2, bytes_per_file: int = FILE_BYTES) -> list[str]:
+        """Pack the closed dates before ``before`` into few files, clustered by user. Run it while the stream rests.
+
+        Dates that lie in fewer generations than ``least_generations`` are packed already. Inside a date the files are ranges
+        of user and address, sorted, with small row groups and bloom filters on both, so that a look-up by either reads few of them.
+        Readers see a date as it was or packed, never both; ``vacuum`` removes the old files. Returns the dates packed.
+        """
+        parts = self.parts()
+        dates = [d for d in parts.values() if d < before.isoformat() and parts.generations(d) >= least_generations]
+        if dates:
+            rows = parts.read(dates)
+            size = tables.size(self.spark, rows.inputFiles())
+            key = ["event_date", "server_principal_name", "client_net_address", "event_time"]
+            packed = rows.repartitionByRange(max(1, -(-size // bytes_per_file)), *key).sortWithinPartitions(*key)
+            parts.replace(packed, f"packed-{before.isoformat()}", dates, PACKED)
+        return dates
+
+    def vacuum(self) -> int:
+        """Remove files of the audit that no reader needs that begins now. Returns the number of partition folders removed."""
+        return self.parts().vacuum()
 
     def apply_retention(self, as_of: dt.datetime) -> list[str]:
         """Forget what is older than the retention, seen from ``as_of`` (UTC). Run it while the stream rests.
@@ -425,9 +486,9 @@ class AuditStore:
         progress = tables.read_or_empty(spark, self._at("checkpoint"), _PROGRESS)
         # Each batch noted its newest event, so nothing but the expired batch numbers is read.
         expired = [r.batch_id for r in progress.where(F.col("newest_event") < instant).select("batch_id").collect()]
-        versions = tables.partition_values(spark, self._at("login_state"), "version")
-        if versions:
-            state = self.state(spark, "login_state", CONNECTIONS)
+        base, since = self._login_versions(spark, None)
+        if base is not None or since:
+            state = self.login_state(spark)
             now = instant + F.expr(f"INTERVAL {config.retention_days} DAYS")
             kept = retain_connections(
                 state.withColumn("at", F.col("login_time").cast("timestamp")),
@@ -438,15 +499,25 @@ class AuditStore:
             )
             work = new_work_path(spark, "login_state")
             kept = write_and_read(kept.select(*CONNECTIONS.names), work)
-            self._save_state(kept, "login_state", max(int(v) for v in versions))
+            self._save_state(kept, "login_state", max([*since, *([] if base is None else [base])]))
             self._spare_logins(spark, kept, expired)
             tables.remove(spark, work)
         for batch in expired:
             for name in ("events", "logins", "quarantine", "raw"):
                 tables.remove(spark, f"{self._at(name)}/batch_id={batch}")
         self._forget_places(spark, progress, instant)
-        return tables.purge_before(spark, self._at("audit"), cutoff, "event_time", "event_date")
-
+        return self._purge(cutoff, instant)
+
+    def _purge(self, cutoff: dt.datetime, instant: Column) -> list[str]:
+        """Drop whole expired dates and write the one that the cutoff splits again. Undated rows stay."""
+        parts, last_day = self.parts(), cutoff.date().isoformat()
+        # The partition of undated rows does not sort below a date.
+        dropped = [d for d in parts.values() if d < last_day]
+        parts.drop(dropped)
+        if last_day in parts.values():
+            parts.replace(parts.read([last_day]).where(F.col("event_time") >= instant), f"purged-{last_day}", [last_day])
+        parts.vacuum()
+        return dropped
 
     def _spare_logins(self, spark: SparkSession, kept: DataFrame, expired: list[int]) -> None:
         """Logins of expired batches that the state still holds move to a batch of their own, for late files to find."""
@@ -492,12 +563,14 @@ def audit_stream(
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
     source_options: dict[str, str] | None = None,
+    pace: Pace = Pace(),
 ) -> StreamingQuery:
     """Start the stream: all files there are and then stop, or for ever with ``processing_time``.
 
     ``format`` is that of a raw event table, ``xml`` for exported trace files that are complete when they appear, or
     ``trace_tail`` for such files that still grow. ``source_options`` go to the source, for instance ``cleanSource`` of the file
-    source to archive or delete finished files.
+    source to archive or delete finished files. A stream that runs for ever keeps the ``pace``: it waits after batches that wrote
+    little, and tells in the log when nothing comes any more.
     """
     if format == "xml" and store.config.keep_raw:
         raise ValueError("raw events are kept only from a raw event table: exported files are the raw events themselves")
@@ -523,12 +596,16 @@ def audit_stream(
                 tables.capture_raw(batch, f"{store.path}/raw", batch_id)
             batch = parse_trace_events(batch)
         try:
-            store.process(batch, batch_id, live)
+            statements = store.process(batch, batch_id, live)
         except Exception as e:
             store.add_to_log(f"Batch {batch_id} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
             raise
+        if processing_time:
+            pace.after(statements)
 
+    if processing_time:
+        watch_silence(spark, query_name(store.path), store.add_to_log, pace)
     store.add_to_log("Audit stream started")
     writer = incoming.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.path}/_stream")
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
-    return writer.start()
+    return writer.queryName(query_name(store.path)).start() if processing_time else writer.start()

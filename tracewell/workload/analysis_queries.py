@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.functions.times import utc_date
 from tracewell.operators import analytics, monitoring, reports
 from tracewell.plans.gates import all_match, keep_if
+from tracewell.plans.intervals import interval_join
+from tracewell.plans.patterns import pattern_join
 from tracewell.session import materialise
 from tracewell.workload import trace_view as tv
 from tracewell.workload.registry import query, table
@@ -257,6 +260,66 @@ def pattern_lookup(spark, sf_dir):
     return text.match_patterns(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", _TYPE_PATTERNS)
 
 
+@query(
+    "pattern_table_join",
+    tv.TRACE_SQL
+    + f"""
+, watched AS (SELECT '%BY ' || CAST(c_custkey AS VARCHAR) || ' *_' AS pattern, c_name FROM customer WHERE c_acctbal > 0)
+SELECT event_id, c_name, pattern FROM (SELECT *, {tv.STATEMENT_SQL} AS statement FROM statements) JOIN watched ON statement ILIKE pattern
+""",
+)
+def pattern_table_join(spark, sf_dir):
+    # A pattern for each watched customer, as a table: which statements carry their mark.
+    statements = tv.statements(tv.trace_rows(spark, sf_dir)).select("event_id", tv.statement_text().alias("statement"))
+    watched = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    watched = watched.select(F.concat(F.lit("%BY "), F.col("c_custkey").cast("string"), F.lit(" *_")).alias("pattern"), "c_name")
+    return pattern_join(statements, "statement", watched, "pattern").select("event_id", "c_name", "pattern")
+
+
+@query(
+    "interval_runs",
+    tv.TRACE_SQL
+    + """
+, runs AS (
+  SELECT session_id, event_id AS run_end, lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id) AS previous_end
+  FROM trace WHERE event_type = 'error'
+)
+SELECT t.event_id, t.session_id, t.event_type, r.run_end
+FROM trace t JOIN runs r ON t.session_id = r.session_id AND t.event_id <= r.run_end
+  AND (r.previous_end IS NULL OR t.event_id > r.previous_end)
+""",
+)
+def interval_runs(spark, sf_dir):
+    # An error ends a run of its user; every step lies in (previous end, end]. The first run has no previous end.
+    trace = tv.trace_rows(spark, sf_dir)
+    ends = trace.where("event_type = 'error'").select("session_id", F.col("event_id").alias("run_end"))
+    before = F.lag("run_end").over(Window.partitionBy("session_id").orderBy("run_end"))
+    steps = trace.select("event_id", "session_id", "event_type")
+    met = interval_join(steps, ends.withColumn("previous_end", before), "event_id", "previous_end", "run_end", by=["session_id"])
+    return met.select("event_id", "session_id", "event_type", "run_end")
+
+
+@query(
+    "sessions_open_by_hour",
+    tv.TRACE_SQL
+    + """
+, hours AS (SELECT DISTINCT CAST(date_trunc('hour', event_time) AS TIMESTAMP) AS hour FROM trace)
+, held AS (
+  SELECT session_id, event_time AS since, lead(event_time) OVER (PARTITION BY session_id ORDER BY event_time, event_id) AS until FROM logins
+)
+SELECT hour, count(*) AS logins FROM hours JOIN held ON since <= hour AND (until IS NULL OR hour < until) GROUP BY hour
+""",
+)
+def sessions_open_by_hour(spark, sf_dir):
+    # A login holds until the next one of its session; the last ones are open. No key: only the interval joins.
+    trace = tv.trace_rows(spark, sf_dir)
+    hours = trace.select(F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("hour")).distinct()
+    after = F.lead("since").over(Window.partitionBy("session_id").orderBy("since", "event_id"))
+    held = trace.where("is_login").select("session_id", F.col("event_time").alias("since"), "event_id").withColumn("until", after)
+    met = interval_join(hours, held.drop("event_id"), "hour", "since", "until", closed="left")
+    return met.groupBy("hour").agg(F.count("*").alias("logins"))
+
+
 @query(
     "threshold_left_join_gate",
     """
@@ -348,6 +411,22 @@ def zero_row_gate(spark, sf_dir):
     return keep_if(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), big)
 
 
+@query(
+    "statement_in_batch",
+    """
+WITH d AS (SELECT doc_id, text, doc_id % 11 AS a, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 11 + doc_id % 40 END AS b FROM documents)
+SELECT doc_id, substr(text, CAST(a AS INTEGER) + 1, CAST(CASE WHEN b = -1 THEN length(text) ELSE b END - a AS INTEGER)) AS statement FROM d
+""",
+)
+def statement_in_batch(spark, sf_dir):
+    # Offsets count bytes of UTF-16 from 0, as the server counts; -1 is the end of the batch.
+    first, last = F.col("doc_id") % 11, F.col("doc_id") % 11 + F.col("doc_id") % 40
+    batches = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", (2 * first).alias("a"), F.when(F.col("doc_id") % 3 == 0, -1).otherwise(2 * last).alias("b")
+    )
+    return batches.select("doc_id", monitoring.statement_text("text", "a", "b").alias("statement"))
+
+
 @query(
     "snapshot_delta",
     """

@@ -245,6 +245,45 @@ def audit_stream_out_of_order(spark, sf_dir):
     return _compact_audit(store.audit())
 
 
+@query("audit_stream_growing_files", _AUDIT_SQL)
+def audit_stream_growing_files(spark, sf_dir):
+    # Every trace file is read when it is half written, cut inside an event, and again when it is complete.
+    from tracewell.streaming.audit_stream import AuditStore, audit_stream
+
+    folder = new_work_path(spark, "growing")
+    raw = materialise(tv.raw_trace(tv.trace(spark, sf_dir)), "raw")
+    store = AuditStore(spark, new_work_path(spark, "store"))
+    live = materialise(tv.live_sessions(spark, sf_dir), "live")
+    for share in (0.5, 1.0):
+        tv.write_trace_files(raw, folder, share)
+        audit_stream(spark, folder, store, live_sessions=live, format="trace_tail").awaitTermination()
+    return _compact_audit(store.audit())
+
+
+@query(
+    "login_state_by_batch",
+    tv.TRACE_SQL
+    + """
+, started AS (SELECT epoch AS week, min(event_time) AS epoch FROM trace GROUP BY ALL)
+SELECT CAST(session_id AS INTEGER) AS session_id, w.epoch, event_sequence, client_net_address
+FROM logins l JOIN started w ON l.epoch = w.week
+QUALIFY row_number() OVER (PARTITION BY session_id, w.epoch ORDER BY event_sequence DESC) = 1
+""",
+)
+def login_state_by_batch(spark, sf_dir):
+    # The newest login of each session and epoch, kept up to date by what each of three batches brings.
+    from tracewell.streaming.audit_stream import AuditStore, audit_stream
+
+    incoming, store = new_work_path(spark, "incoming"), AuditStore(spark, new_work_path(spark, "store"))
+    raw = materialise(tv.raw_trace(tv.trace(spark, sf_dir)), "raw")
+    for first, last in (("T_0_20240101", "T_0_20240110"), ("T_0_20240110", "T_0_20240120"), ("T_0_20240120", "T_1")):
+        part = raw.where((F.col("file_name") >= first) & (F.col("file_name") < last))
+        part.write.mode("append").parquet(incoming)
+        audit_stream(spark, incoming, store).awaitTermination()
+    state = store.login_state().withColumn("epoch", display_time("epoch", "UTC"))
+    return state.select("session_id", "epoch", "event_sequence", "client_net_address")
+
+
 _SPLIT = "TIMESTAMP '2024-01-16 12:00:00'"
 
 
@@ -586,3 +625,135 @@ def raw_capture(spark, sf_dir):
     return kept.groupBy("file_name", "file_offset", "batch_id").agg(F.count(F.lit(1)).alias("events"))
 
 
+
+
+@query(
+    "audit_packed_browse",
+    f"SELECT * FROM ({_AUDIT_SQL}) WHERE server_principal_name IN ('user_51', 'user_77', 'user_90')",
+)
+def audit_packed_browse(spark, sf_dir):
+    # The audit in two generations a date, packed by user, then looked up by user: only files and row groups of theirs are read.
+    from tracewell.model import FULL_AUDIT
+    from tracewell.streaming.audit_stream import AuditStore
+
+    batch = audit_batch(tv.raw_trace(tv.trace(spark, sf_dir)), tv.live_sessions(spark, sf_dir))
+    dated = batch.audit.select("file_name", *FULL_AUDIT.names, "source", utc_date("event_time").alias("event_date"))
+    dated = materialise(dated, "dated")
+    store = AuditStore(spark, new_work_path(spark, "store"))
+    for half in (0, 1):
+        store.parts().append(dated.where(F.pmod("event_sequence", F.lit(2)) == half), f"half-{half}")
+    store.compact(dt.date(2100, 1, 1))
+    store.vacuum()
+    return _compact_audit(store.audit().where(F.col("server_principal_name").isin("user_51", "user_77", "user_90")))
+
+
+@query(
+    "stored_logins",
+    tv.TRACE_SQL
+    + """
+, started AS (SELECT epoch AS week, min(event_time) AS epoch FROM trace GROUP BY ALL)
+SELECT 'user_' || CAST(session_id AS VARCHAR) AS login_name, CAST(session_id AS INTEGER) AS session_id, event_time AS login_time,
+       client_net_address, client_app_name, w.epoch, event_sequence
+FROM logins l JOIN started w ON l.epoch = w.week
+""",
+)
+def stored_logins(spark, sf_dir):
+    # All logins that a stream has met, each once, though their file came twice.
+    from tracewell.streaming.audit_stream import AuditStore, audit_stream
+
+    incoming, store = new_work_path(spark, "incoming"), AuditStore(spark, new_work_path(spark, "store"))
+    raw = materialise(tv.raw_trace(tv.trace(spark, sf_dir)), "raw")
+    raw.unionByName(raw.where("file_name < 'T_0_20240105'")).write.parquet(incoming)
+    audit_stream(spark, incoming, store).awaitTermination()
+    return store.logins().withColumn("epoch", display_time("epoch", "UTC"))
+
+
+@query("list_trace_files", tv.TRACE_SQL + "SELECT DISTINCT file_name FROM trace WHERE file_name >= 'T_0_20240110'")
+def list_trace_files(spark, sf_dir):
+    # Files written as the capture side does, listed by name; one folder further down is not.
+    folder = new_work_path(spark, "listing")
+    raw = materialise(tv.raw_trace(tv.trace(spark, sf_dir)), "raw")
+    tv.write_trace_files(raw.where("file_name >= 'T_0_20240110'"), folder, 1.0)
+    tv.write_trace_files(raw.where("file_name < 'T_0_20240110'"), f"{folder}/older", 1.0)
+    listed = source.list_trace_files(spark, folder)
+    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
+@query(
+    "existing_files",
+    _CHECKPOINT_SQL
+    + _LISTING_SQL
+    + """
+SELECT c.file_name AS path, CASE WHEN l.path IS NOT NULL THEN 1 END AS existing
+FROM checkpoints c LEFT JOIN listing l ON l.path = c.file_name
+""",
+)
+def existing_files(spark, sf_dir):
+    from tracewell.functions.text import existing_files as marked
+
+    trace = tv.trace_rows(spark, sf_dir)
+    return marked(_checkpoints(trace).select(F.col("file_name").alias("path")), _listing(trace))
+
+
+@query(
+    "process_log",
+    tv.TRACE_SQL + "SELECT 'Lost audit file: ' || file_name AS msg, count(*) AS n FROM trace GROUP BY file_name",
+)
+def process_log(spark, sf_dir):
+    # Every file is named lost once for each event in it, in three writes; the log holds all messages.
+    path = new_work_path(spark, "log")
+    names = materialise(tv.trace_rows(spark, sf_dir).select("event_id", F.concat(F.lit("Lost audit file: "), "file_name").alias("msg")), "names")
+    for part in range(3):
+        tables.log_messages(names.where(F.col("event_id") % 3 == part), path)
+    return spark.read.parquet(path).groupBy("msg").agg(F.count("*").alias("n"))
+
+
+@query(
+    "legacy_checkpoint",
+    tv.TRACE_SQL
+    + """
+SELECT file_name, max(file_offset) AS last_offset_done, max(event_time) AS chk_point_time, TIMESTAMP '2000-01-01 00:00:00' AS epoch
+FROM trace GROUP BY file_name
+""",
+)
+def legacy_checkpoint(spark, sf_dir):
+    from tracewell.operators.migrate import migrate_legacy
+
+    old = tv.trace_rows(spark, sf_dir).groupBy("file_name").agg(
+        F.max("file_offset").alias("last_Offset_done"), F.max("event_time").alias("DateSuivi"), F.count("*").alias("NbTotalFich")
+    )
+    new = migrate_legacy(old, "EvenementsTraitesSuivi")
+    return new.withColumns({c: display_time(c, "UTC") for c in ("chk_point_time", "epoch")})
+
+
+@query(
+    "legacy_audit",
+    tv.TRACE_SQL
+    + """
+SELECT 'user_' || CAST(session_id AS VARCHAR) AS server_principal_name, event_time, CAST(session_id AS INTEGER) AS session_id,
+       epoch, event_sequence, k * 2 AS cpu_time, CAST(NULL AS BIGINT) AS dur_micro_sec
+FROM statements
+""",
+)
+def legacy_audit(spark, sf_dir):
+    from tracewell.operators.migrate import migrate_legacy_audit
+
+    # An audit of before its counters: one is there, the others are added as NULL.
+    old = tv.statements(tv.trace(spark, sf_dir)).select(
+        F.concat(F.lit("user_"), F.col("session_id")).alias("server_principal_name"), "event_time", F.col("session_id").alias("Session_id"),
+        F.col("epoch").alias("ExtendedSessionCreateTime"), "event_sequence", (F.col("k") * 2).alias("cpu_time"),
+    )
+    new = migrate_legacy_audit(old).withColumns({c: display_time(c, "UTC") for c in ("event_time", "epoch")})
+    return new.select("server_principal_name", "event_time", "session_id", "epoch", "event_sequence", "cpu_time", "dur_micro_sec")
+
+
+@query(
+    "legacy_log",
+    tv.TRACE_SQL + "SELECT event_time AS msg_date, 'event ' || event_id AS msg FROM trace WHERE event_type = 'error'",
+)
+def legacy_log(spark, sf_dir):
+    from tracewell.operators.migrate import migrate_legacy
+
+    errors = tv.trace_rows(spark, sf_dir).where("event_type = 'error'")
+    old = errors.select(F.col("event_time").alias("MsgDate"), F.concat(F.lit("event "), F.col("event_id")).alias("Msg"))
+    return migrate_legacy(old, "LogTraitementAudit").withColumn("msg_date", display_time("msg_date", "UTC"))

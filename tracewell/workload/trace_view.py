@@ -7,6 +7,8 @@ sessions are the customers with money in their account.
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +181,23 @@ def raw_trace(trace: DataFrame) -> DataFrame:
     return dealt.select("file_name", "file_offset", xml.alias("event_data"))
 
 
+def write_trace_files(raw: DataFrame, folder: str, share: float) -> None:
+    """The files of a raw trace as the capture side writes them, up to a share of their bytes: one task writes one file."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        name = rows["file_name"].iloc[0]
+        body = "".join(rows.sort_values(["file_offset", "sequence"])["event_data"]).encode()
+        store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(path) as out:
+            out.write(body[: int(len(body) * share)])
+        return pd.DataFrame({"file_name": [name]})
+
+    sequence = F.regexp_extract("event_data", 'event_sequence"><value>(\\d+)', 1).cast("long")
+    files = raw.withColumn("sequence", sequence).groupBy("file_name").applyInPandas(write, "file_name string")
+    files.write.format("noop").mode("overwrite").save()
+
+
 # What the raw trace must turn into.
 PROJECTED_SQL = f"""
 , projected AS (
