@@ -47,3 +47,27 @@ def test_rebalancing_edits_the_map():
     assert load.max() - load.min() <= 2 and (second != first).mean() < 0.2
     grown = slots.rebalance(second, sizes, 25)  # one more shard takes its share
     assert np.bincount(grown, sizes, 25).min() > 0.9 * sizes.sum() / 25
+
+
+def test_stored_map_is_edited_version_by_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rng = np.random.default_rng(5)
+    first = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(1, 500, 20_000))], "id long, size long")
+    more = first.unionByName(spark.createDataFrame([(i, 900) for i in range(20_000, 21_000)], "id long, size long"))
+    assert slots.read_map(spark, path) is None
+
+    def loads(placed):
+        return [r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+
+    one = loads(slots.shard_by_stored_map(first, 6, "size", ["id"], path))
+    two = loads(slots.shard_by_stored_map(more, 6, "size", ["id"], path))
+    three = loads(slots.shard_by_stored_map(more, 7, "size", ["id"], path))
+    assert [max(x) - min(x) <= 900 for x in (one, two, three)] == [True] * 3 and len(three) == 7
+    maps = [{r.vslot: r.shard for r in slots.read_map(spark, path, v).collect()} for v in (1, 2, 3)]
+    assert all(len(m) == slots.SLOTS for m in maps)
+    assert {r.version for r in slots.read_map(spark, path).select("version").collect()} == {3}
+    moved = [sum(a[k] != b[k] for k in a) / slots.SLOTS for a, b in zip(maps, maps[1:])]
+    assert 0 < moved[0] < 0.1 and 0 < moved[1] < 0.4  # few slots move for other sizes, about a seventh for one more shard
+    again = slots.shard_by_stored_map(more, 7, "size", ["id"], path)
+    last = {r.vslot: r.shard for r in slots.read_map(spark, path).collect()}
+    assert last == maps[2] and again.count() == 21_000

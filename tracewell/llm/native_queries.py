@@ -61,7 +61,7 @@ def virtual_slots(spark, sf_dir):
     records = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    placed, _ = slots.shard(records, 24, "size", ["doc_id", "text_crc32"])
+    placed = slots.shard_by_stored_map(records, 24, "size", ["doc_id", "text_crc32"], new_work_path(spark, "slot-map"))
     return placed.select(
         "doc_id",
         "size",

@@ -1,7 +1,7 @@
 """Sharding by fixed virtual slots.
 
 A record hashes into one of a fixed number of slots. Bytes are summed per slot in Spark; a small versioned table maps
-slots to shards. Rebalancing edits that table: slots move, or trade places, between the heaviest and lighter shards,
+slots to shards. It is stored with its version (``shard_by_stored_map``). Rebalancing edits the newest version: slots move, or trade places, between the heaviest and lighter shards,
 and the edited map is the next version. Records never choose a shard by themselves, so one map edit moves whole slots.
 
 Defined results: a null text counts no bytes; a null id hashes like any value; repeated rows share a slot and get
@@ -14,9 +14,11 @@ a whole slot of equal ids.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources import tables
+
 SLOTS = 4096
 MAP = "version int, vslot int, shard int, bytes long, n long, first long"
 
@@ -132,3 +134,32 @@ def shard(
     joined = numbered.drop("shard", "slot").join(F.broadcast(places), ["vslot", "vcut"])
     out = joined.withColumn("slot", F.col("base") + F.col("number") - 1).drop("vcut", "base", "number")
     return out, slot_map
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """A version of the stored slot map, by default the newest; None without one."""
+    versions = [int(v) for v in tables.partition_values(spark, path, "version")]
+    if not versions:
+        return None
+    return spark.read.schema(MAP).parquet(f"{path}/version={max(versions) if version is None else version}")
+
+
+def shard_by_stored_map(
+    records: DataFrame, shards: int, size_col: str, key_cols: list[str], path: str, slots: int = SLOTS
+) -> DataFrame:
+    """The records placed by the newest map under ``path``, edited for their sizes; the edit is stored as the next version.
+
+    A map is one small table a version and is never written over. Records are placed by what has been stored.
+    """
+    spark = records.sparkSession
+    newest = read_map(spark, path)
+    previous, version = None, 0
+    if newest is not None:
+        rows = newest.select("version", "vslot", "shard").collect()  # ``slots`` rows
+        version = rows[0]["version"]
+        previous = np.zeros(slots, np.int64)
+        for r in rows:
+            previous[r["vslot"]] = r["shard"]
+    placed, edited = shard(records, shards, size_col, key_cols, slots, previous, version + 1)
+    edited.coalesce(1).write.parquet(f"{path}/version={version + 1}")
+    return placed
