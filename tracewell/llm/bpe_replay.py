@@ -200,7 +200,9 @@ class _Words(dict):
         return n
 
 
-def _encoder(ranks, pattern: str, keep_words: int, replay_bytes: int):
+def _encoder(ranks, pattern: str, keep_words: int | None = None, replay_bytes: int | None = None):
+    keep_words, replay_bytes = keep_words or KEEP_WORDS, replay_bytes or REPLAY_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -253,13 +255,13 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     and_decode: bool = False,
-    keep_words: int = KEEP_WORDS,
-    replay_bytes: int = REPLAY_BYTES,
+    keep_words: int | None = None,
+    replay_bytes: int | None = None,
 ) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row. ``ranks`` is broadcast: a vocabulary.
 
     ``and_decode`` adds ``decoded``, the bytes that the ids stand for, in the same pass. ``keep_words`` and ``replay_bytes`` bound
-    the memory of a task; lower ones merge more words again.
+    the memory of a task (``KEEP_WORDS`` and ``REPLAY_BYTES`` by default); lower ones merge more words again.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = for_texts(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
