@@ -71,9 +71,8 @@ SELECT event_id, f, s, bs FROM steps WHERE s - bs <> 1
 )
 def numbered_statement_gaps(spark, sf_dir):
     # Texts as the load test sends them, every other kind with the leading comment.
-    f, s = F.lpad((F.col("session_id") % 1000).cast("string"), 3, "0"), F.lpad(
-        F.col("event_sequence").cast("string"), 5, "0"
-    )
+    # Padded, but never cut: lpad would shorten a number of six digits.
+    f, s = F.format_string("%03d", F.col("session_id") % 1000), F.format_string("%05d", "event_sequence")
     body = F.concat(F.lit("SELECT Fen="), f, F.lit(",Seq="), s, F.lit(",title FROM Posts"))
     tagged = F.concat(F.lit("/*"), f, F.lit("-"), s, F.lit("*/"), body)
     statements = tv.statements(tv.trace(spark, sf_dir)).select(
