@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
 from helpers import rows
-from tracewell.workload import analysis_queries
+from tracewell.workload import analysis_queries, trace_view
 
 
 def test_numbered_statements_of_six_digits(spark, tmp_path):
@@ -13,3 +16,18 @@ def test_numbered_statements_of_six_digits(spark, tmp_path):
     made.write.parquet(f"{tmp_path}/events.parquet")
     got = analysis_queries.numbered_statement_gaps(spark, str(tmp_path))
     assert sorted(rows(got)) == [(5, 7, 6, 1), (99_998, 7, 99_999, 6), (1_234_567, 7, 1_234_568, 100_002)]
+
+
+@pytest.mark.parametrize("share", [0.5, 1.0])
+def test_trace_files_are_written_row_by_row(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda *a, **k: pytest.fail("a whole file in one group"))
+    events = [(f"T_0_{n % 3}.xml", n // 7, f'<action name="event_sequence"><value>{n}</value></action>é') for n in range(200)]
+    raw = spark.createDataFrame(events, "file_name string, file_offset long, event_data string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        trace_view.write_trace_files(raw, f"file://{tmp_path}/out", share)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        whole = "".join(x for name, _, x in events if name == f"T_0_{k}.xml").encode()
+        assert (tmp_path / "out" / f"T_0_{k}.xml").read_bytes() == whole[: int(len(whole) * share)]

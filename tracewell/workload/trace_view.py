@@ -7,7 +7,9 @@ sessions are the customers with money in their account.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import text_to_utf16_hex
 from tracewell.workload.registry import table
 
+#: Bytes gathered before they go to a trace file.
+WRITE_BYTES = 1 << 20
 ADDRESS = "CASE WHEN k % 10 <> 0 THEN concat('10.0.0.', k) END"
 
 # The same view for the SQL side; starts a WITH list.
@@ -182,20 +186,38 @@ def raw_trace(trace: DataFrame) -> DataFrame:
 
 
 def write_trace_files(raw: DataFrame, folder: str, share: float) -> None:
-    """The files of a raw trace as the capture side writes them, up to a share of their bytes: one task writes one file."""
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows["file_name"].iloc[0]
-        body = "".join(rows.sort_values(["file_offset", "sequence"])["event_data"]).encode()
-        store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
-        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with store.open_output_stream(path) as out:
-            out.write(body[: int(len(body) * share)])
-        return pd.DataFrame({"file_name": [name]})
-
+    """The files of a raw trace as the capture side writes them, up to a share of their bytes.
+
+    One task writes one file, as its rows come out of the sort: a batch of them is in memory, however large the file is.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, left = None, None, 0
+        try:
+            for batch in batches:
+                for file, size, text in zip(*(batch.column(c).to_pylist() for c in ("file_name", "size", "event_data")), strict=True):
+                    if out is None or file != name:
+                        if out is not None:
+                            out.close()
+                        name, left = file, int(size * share)
+                        store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+                        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                        out = store.open_output_stream(path, buffer_size=WRITE_BYTES)
+                    if left > 0:
+                        body = text.encode()[:left]
+                        out.write(body)
+                        left -= len(body)
+        finally:
+            if out is not None:
+                out.close()
+        yield from ()
+
+    # A row for each file.
+    sizes = raw.groupBy("file_name").agg(F.sum(F.octet_length("event_data")).alias("size")).withColumnRenamed("file_name", "sized")
     sequence = F.regexp_extract("event_data", 'event_sequence"><value>(\\d+)', 1).cast("long")
-    files = raw.withColumn("sequence", sequence).groupBy("file_name").applyInPandas(write, "file_name string")
-    files.write.format("noop").mode("overwrite").save()
+    rows = raw.withColumn("sequence", sequence).join(F.broadcast(sizes), F.col("file_name").eqNullSafe(F.col("sized")))
+    rows = rows.repartition("file_name").sortWithinPartitions("file_name", "file_offset", "sequence")
+    rows.select("file_name", "size", "event_data").mapInArrow(write, "file_name string").write.format("noop").mode("overwrite").save()
 
 
 # What the raw trace must turn into.
