@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from helpers import rows
+from tracewell.plans import patterns
 from tracewell.workload import analysis_queries, trace_view
 
 
@@ -31,3 +33,17 @@ def test_trace_files_are_written_row_by_row(spark, tmp_path, monkeypatch, share)
     for k in range(3):
         whole = "".join(x for name, _, x in events if name == f"T_0_{k}.xml").encode()
         assert (tmp_path / "out" / f"T_0_{k}.xml").read_bytes() == whole[: int(len(whole) * share)]
+
+
+def test_many_patterns_of_like_numbers_meet_their_own_texts_only(spark, monkeypatch):
+    like = []
+    monkeypatch.setattr(patterns, "materialise", lambda df, label: like.append(df.persist()) or like[-1], raising=False)
+    texts = spark.range(2000).selectExpr("id", "concat('SELECT x /* by ', 1000000 + id * 97, ' */') AS t")
+    made = spark.range(200_000).selectExpr("id AS j", "concat('%by ', 1000000 + id, ' *_') AS p")
+    assert patterns.pattern_join(texts, "t", made, "p").count() == 2000
+    shared = like[0].groupBy("__gram").count().agg(F.max("count")).first()[0] if like else None
+    assert shared is not None and shared <= 2
+    fits = patterns._fits(like[0])(8)
+    grams = texts.select(F.explode(F.filter(patterns._grams(F.lower("t"), 8), fits)).alias("g"))
+    assert 2000 <= grams.count() <= 8000
+    like[0].unpersist()

@@ -1,22 +1,28 @@
 """Join of texts with a table of LIKE patterns, without a nested loop and with no bound on the patterns.
 
 A text can only match a pattern if it holds all the literal parts of it. Each pattern is filed under one n-gram of its literal parts, the one that
-is rarest in a sample of the texts. A text is exploded to those of its n-grams under which a pattern may be filed (a bitmap
-of fixed size says which), both meet by equality on the n-gram, and ``like`` decides on what has met. Each pattern is filed once and the
+few texts of a sample and few other patterns hold. n-grams are as long as the parts allow: short ones are few in all, so with more patterns
+more of them would share one, and meet all its texts. A text is exploded to those of its n-grams under which a pattern may be filed (bitmaps
+of fixed size say which), both meet by equality on the n-gram, and ``like`` decides on what has met. Each pattern is filed once and the
 n-grams of a text are distinct, so no pair meets twice. Patterns without a literal say something of the length alone: they go by
 the join of lengths with ranges of lengths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.bits import bitmap, in_bitmap
 from tracewell.plans.intervals import interval_join
+from tracewell.session import materialise
 
-#: Longest n-grams; texts that say which n-grams are rare; bits of the bitmap.
+#: Longest of the short n-grams, and the longer ones; texts that say which n-grams are rare; bits of a bitmap.
 GRAM = 4
+LONG = (8, 16, 32)
 SAMPLE = 20_000
 BITS = 1 << 17
 _TEXT, _PATTERN, _GRAM, _LENGTH, _LEAST, _MOST = "__text", "__pattern", "__gram", "__length", "__least", "__most"
@@ -33,7 +39,7 @@ def _with_grams(patterns: DataFrame) -> DataFrame:
     Wildcards, escaped or not, and backslashes part literals: a character after a backslash begins another part.
     """
     grams = F.lit(None).cast("array<string>")
-    for n in range(1, GRAM + 1):
+    for n in (*range(1, GRAM + 1), *LONG):
         own = _grams(F.col(_PATTERN), n, r"[^%_\\]")
         grams = F.when(F.size(own) > 0, own).otherwise(grams)
     return patterns.withColumn("__grams", grams)
@@ -43,6 +49,41 @@ def _bit(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BITS))
 
 
+def _filed(texts: DataFrame, patterns: DataFrame, sizes: list[int]) -> DataFrame:
+    """The n-gram of each pattern that few texts of a sample and few patterns hold: any would be right, a rare one meets few."""
+    total = texts.count()
+    drawn = F.pmod(F.xxhash64(_TEXT), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(total, 1)))
+    seen = texts.where(drawn).select(F.explode(F.concat(*(_grams(F.col(_TEXT), n) for n in sizes))).alias(_GRAM))
+    seen = seen.groupBy(_GRAM).agg(F.count("*").alias("__seen"))
+    wanted = patterns.where(F.col("__grams").isNotNull()).select(_PATTERN, "__grams").distinct()
+    each = wanted.select(_PATTERN, F.explode("__grams").alias(_GRAM))
+    known = each.groupBy(_GRAM).agg(F.count("*").alias("__sharing")).join(seen, _GRAM, "left")
+    meetings = (F.coalesce("__seen", F.lit(0)) + 1) * F.col("__sharing")
+    rank = F.struct(meetings.alias("meetings"), F.col(_GRAM))
+    return each.join(known, _GRAM).groupBy(_PATTERN).agg(F.min(rank)[_GRAM].alias(_GRAM))
+
+
+def _fits(filed: DataFrame) -> Callable[[int], Callable[[Column], Column]]:
+    """For each length, whether a pattern may be filed under an n-gram.
+
+    Of many patterns the long n-grams fill any bitmap of fixed size; their beginnings and ends are short ones, which are few.
+    """
+    gram = F.col(_GRAM)
+    ends = F.array(F.substring(gram, 1, GRAM), F.right(gram, F.lit(GRAM)))
+    is_short = F.char_length(gram) <= GRAM
+    short, long = filed.where(is_short), filed.where(~is_short)
+    held, whole = bitmap(short, _bit(gram), BITS), bitmap(long, _bit(gram), BITS)
+    edges = bitmap(long.select(F.explode(ends).alias(_GRAM)), _bit(gram), BITS)
+
+    def of(n: int) -> Callable[[Column], Column]:
+        if n <= GRAM:
+            return lambda g: in_bitmap(held, _bit(g))
+        places = (1, n - GRAM + 1)
+        return lambda g: reduce(Column.__and__, (in_bitmap(edges, _bit(F.substring(g, p, GRAM))) for p in places)) & in_bitmap(whole, _bit(g))
+
+    return of
+
+
 def pattern_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, ignore_case: bool = True) -> DataFrame:
     """One row for each text and pattern that match, with the columns of both sides, which must differ.
 
@@ -55,25 +96,19 @@ def pattern_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
     right = _with_grams(right)
     columns = [*texts.columns, *patterns.columns]
 
-    # The rarest n-gram of a pattern in a sample of the texts: any would be right, a rare one meets few.
-    sizes = range(1, GRAM + 1)
-    total = left.count()
-    drawn = F.pmod(F.xxhash64(_TEXT), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(total, 1)))
-    seen = left.where(drawn).select(F.explode(F.concat(*(_grams(F.col(_TEXT), n) for n in sizes))).alias(_GRAM))
-    seen = seen.groupBy(_GRAM).agg(F.count("*").alias("__seen"))
-    wanted = right.where(F.col("__grams").isNotNull()).select(_PATTERN, "__grams").distinct()
-    each = wanted.select(_PATTERN, F.explode("__grams").alias(_GRAM)).join(seen, _GRAM, "left")
-    rank = F.struct(F.coalesce("__seen", F.lit(0)), -F.char_length(_GRAM), F.col(_GRAM))
-    filed = each.groupBy(_PATTERN).agg(F.min_by(F.col(_GRAM), rank).alias(_GRAM))
-
-    held = bitmap(filed, _bit(F.col(_GRAM)), BITS)
-    used = sorted(r[0] for r in filed.select(F.char_length(_GRAM)).distinct().collect())
-    met = None
+    # All n-grams of a pattern have one length.
+    kinds = {r[0] for r in right.select(F.char_length(F.get("__grams", F.lit(0)))).distinct().collect()}
+    used, found = sorted(kinds - {None}), []
     if used:
-        own = F.concat(*(_grams(F.col(_TEXT), n) for n in used))
-        met = left.withColumn(_GRAM, F.explode(F.filter(own, lambda gram: in_bitmap(held, _bit(gram)))))
+        filed = materialise(_filed(left, right, used), "filed")
+        fits = _fits(filed)
+        own = F.concat(*(F.filter(_grams(F.col(_TEXT), n), fits(n)) for n in used))
         named = right.join(filed, _PATTERN)
-        met = met.join(named, _GRAM).where(F.expr(f"{_TEXT} LIKE {_PATTERN}")).select(*columns)
+        # Neither side is known to be small: what the texts come to is not what Spark expects of the table they are in.
+        met = left.withColumn(_GRAM, F.explode(own)).hint("merge").join(named, _GRAM)
+        found.append(met.where(F.expr(f"{_TEXT} LIKE {_PATTERN}")).select(*columns))
+    if used and None not in kinds:
+        return found[0]
 
     # Without a literal: each character that is not a percent sign stands for one of the text.
     bare = F.regexp_replace(F.col(_PATTERN), r"\\.", "_")
@@ -82,5 +117,5 @@ def pattern_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
     )
     lengths = left.withColumn(_LENGTH, F.char_length(_TEXT))
     wild = interval_join(lengths, bounds, _LENGTH, _LEAST, _MOST, closed="both")
-    wild = wild.where(F.expr(f"{_TEXT} LIKE {_PATTERN}")).select(*columns)
-    return wild if met is None else met.unionByName(wild)
+    found.append(wild.where(F.expr(f"{_TEXT} LIKE {_PATTERN}")).select(*columns))
+    return reduce(DataFrame.unionByName, found)
