@@ -1,12 +1,14 @@
 """Faults that show only when tables, files or numbers are larger than those of the smallest scale."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
-from helpers import rows
+from helpers import plan, rows
+from tracewell.operators import analytics
 from tracewell.plans import patterns
 from tracewell.workload import analysis_queries, trace_view
 
@@ -47,3 +49,22 @@ def test_many_patterns_of_like_numbers_meet_their_own_texts_only(spark, monkeypa
     grams = texts.select(F.explode(F.filter(patterns._grams(F.lower("t"), 8), fits)).alias("g"))
     assert 2000 <= grams.count() <= 8000
     like[0].unpersist()
+
+
+def test_event_trace_map_is_distinct_before_its_joins(spark):
+    def made(rows_, schema):
+        return spark.createDataFrame(rows_ * 2, schema)
+
+    got = analytics.event_trace_map(
+        made([(1, "A"), (1, "A2"), (2, "B"), (3, "C"), (4, "C"), (None, "N")], "trace_event_id int, name string"),
+        made([(1, "p", "xa"), (1, "p", None), (2, "p", "xb"), (None, "q", "x")], "trace_event_id int, package_name string, xe_event_name string"),
+        made([(1, 10), (1, None), (1, 12), (3, 10), (None, 10)], "trace_event_id int, trace_column_id int"),
+        made([(10, "c"), (10, "d"), (None, "e")], "trace_column_id int, name string"),
+        made([(10, None), (10, "act")], "trace_column_id int, xe_action_name string"),
+    )
+    want = {(1, k, "p", x, *rest) for k in ("A", "A2") for x in ("xa", None) for rest in
+            [(10, n, a) for n in "cd" for a in (None, "act")] + [(None, None, None), (12, None, None)]}
+    want |= {(None, "B", "p", "xb", None, None, None), (None, "C", None, None, None, None, None), (None, "N", None, None, None, None, None)}
+    assert rows(got) == sorted(want, key=repr)
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan(got))
+    assert keys and not any("extended_events_action" in k and "event_class" in k for k in keys)

@@ -180,32 +180,32 @@ def browse_audit(
 def event_trace_map(
     events: DataFrame, event_map: DataFrame, bindings: DataFrame, columns: DataFrame, action_map: DataFrame
 ) -> DataFrame:
-    """Which trace column and action stand behind each event class: one chain of left joins over distinct bindings."""
+    """Which trace column and action stand behind each event class: joins over distinct bindings, each row once.
+
+    Each table is made distinct before the joins, while its rows are narrow: a class with bindings then comes out distinct,
+    because its number is in the result. Classes without a binding lose theirs and are few: only they are made distinct again.
+    """
     bound = bindings.select("trace_event_id", "trace_column_id").distinct()
-    named = columns.select("trace_column_id", F.col("name").alias("sql_trace_column"))
-    actions = action_map.select("trace_column_id", F.col("xe_action_name").alias("extended_events_action"))
+    named = columns.select("trace_column_id", F.col("name").alias("sql_trace_column")).distinct()
+    actions = action_map.select("trace_column_id", F.col("xe_action_name").alias("extended_events_action")).distinct()
     mapped = event_map.select(
         F.col("trace_event_id").alias("mapped_id"),
         F.col("package_name").alias("package"),
         F.col("xe_event_name").alias("x_event_name"),
-    )
-    classes = events.select(F.col("trace_event_id").alias("event_id"), F.col("name").alias("event_class"))
-    return (
-        classes.join(mapped, F.col("event_id") == F.col("mapped_id"), "left")
-        .join(bound, F.col("mapped_id") == F.col("trace_event_id"), "left")
+    ).distinct()
+    classes = events.select(F.col("trace_event_id").alias("event_id"), F.col("name").alias("event_class")).distinct()
+    known = classes.join(mapped, F.col("event_id") == F.col("mapped_id"), "left")
+    out = ["trace_event_id", "event_class", "package", "x_event_name", "trace_column_id", "sql_trace_column", "extended_events_action"]
+    met = (
+        known.join(bound, F.col("mapped_id") == F.col("trace_event_id"))
         .join(named, "trace_column_id", "left")
         .join(actions, "trace_column_id", "left")
-        .select(
-            "trace_event_id",
-            "event_class",
-            "package",
-            "x_event_name",
-            "trace_column_id",
-            "sql_trace_column",
-            "extended_events_action",
-        )
-        .distinct()
+        .select(*out)
     )
+    numbers = bindings.select("trace_event_id").distinct()
+    unmet = known.join(numbers, F.col("mapped_id") == F.col("trace_event_id"), "left_anti")
+    unmet = unmet.select("event_class", "package", "x_event_name").distinct()
+    return met.unionByName(unmet, allowMissingColumns=True)
 
 
 def pivot_actions(df: DataFrame, key: Sequence[str], action: str, value: str, actions: Sequence[str]) -> DataFrame:
