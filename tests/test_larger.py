@@ -10,6 +10,7 @@ from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 from helpers import plan, rows
 from tracewell.operators import analytics
 from tracewell.plans import patterns
+from tracewell.streaming.audit_stream import _STORED_AUDIT, AuditStore
 from tracewell.workload import analysis_queries, trace_view
 
 
@@ -68,3 +69,16 @@ def test_event_trace_map_is_distinct_before_its_joins(spark):
     assert rows(got) == sorted(want, key=repr)
     keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan(got))
     assert keys and not any("extended_events_action" in k and "event_class" in k for k in keys)
+
+
+def test_packing_is_dealt_by_the_size_of_rows(spark, tmp_path):
+    # Texts that compress to almost nothing: by the size of their files they would all be one task.
+    own = {"server_principal_name": "concat('u', id % 9)", "statement": "repeat('x', 1000)", "event_sequence": "id", "event_date": "DATE '2024-01-01'"}
+    cells = [f"CAST({own.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in _STORED_AUDIT]
+    rows_ = spark.range(10_000).selectExpr(*cells)
+    store = AuditStore(spark, str(tmp_path / "store"))
+    for half in (0, 1):
+        store.parts().append(rows_.where(f"event_sequence % 2 = {half}"), f"half-{half}")
+    assert store.compact(dt.date(2100, 1, 1), bytes_per_task=2 << 20) == ["2024-01-01"]
+    assert 4 <= len(store.parts().read().inputFiles()) <= 12
+    assert rows(store.audit(), "event_sequence") == sorted(((n,) for n in range(10_000)), key=repr)

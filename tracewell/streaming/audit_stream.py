@@ -61,8 +61,10 @@ _PROGRESS = T.StructType(
         T.StructField("batch_id", T.LongType()),
     ]
 )
-#: Size of a packed file, and how it is written: row groups that a look-up can leave out, by range or by bloom filter.
+#: Most bytes of a packed file, and how it is written: row groups that a look-up can leave out, by range or by bloom filter.
 FILE_BYTES = 256 << 20
+#: Bytes of the rows of a packed file, which one task sorts: its texts, and for each row its other columns.
+TASK_BYTES, ROW_BYTES = 256 << 20, 300
 PACKED = {
     "parquet.block.size": str(8 << 20),
     "parquet.bloom.filter.enabled#server_principal_name": "true",
@@ -454,11 +456,13 @@ class AuditStore:
         keys = stored.select(*LOGIN_KEY, "event_date", *said)
         return _as_said(reattributed(keys, intervals, live_sessions, self.config.bucket_rows), F.col("said_source") == "live")
 
-    def compact(self, before: dt.date, least_generations: int = 2, bytes_per_file: int = FILE_BYTES) -> list[str]:
+    def compact(
+        self, before: dt.date, least_generations: int = 2, bytes_per_file: int = FILE_BYTES, bytes_per_task: int = TASK_BYTES
+    ) -> list[str]:
         """Pack the closed dates before ``before`` into few files, clustered by user. Run it while the stream rests.
 
         Dates that lie in fewer generations than ``least_generations`` are packed already. Inside a date the files are ranges
-        of user and address, sorted, with small row groups and bloom filters on both, so that a look-up by either reads few of them.
+        of user and address, of ``bytes_per_file`` at most and of rows of about ``bytes_per_task``, sorted, with small row groups and bloom filters on both, so that a look-up by either reads few of them.
         Readers see a date as it was or packed, never both; ``vacuum`` removes the old files. Returns the dates packed.
         """
         parts = self.parts()
@@ -467,7 +471,11 @@ class AuditStore:
             rows = parts.read(dates)
             size = tables.size(self.spark, rows.inputFiles())
             key = ["event_date", "server_principal_name", "client_net_address", "event_time"]
-            packed = rows.repartitionByRange(max(1, -(-size // bytes_per_file)), *key).sortWithinPartitions(*key)
+            texts = [f.name for f in _STORED_AUDIT if isinstance(f.dataType, T.StringType)]
+            # Files are compressed, sometimes to a fiftieth: a task sorts rows, so their own size bounds it too.
+            held = rows.agg(F.count("*") * ROW_BYTES + F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)))).first()[0]
+            pieces = max(1, -(-size // bytes_per_file), -(-(held or 0) // bytes_per_task))
+            packed = rows.repartitionByRange(pieces, *key).sortWithinPartitions(*key)
             parts.replace(packed, f"packed-{before.isoformat()}", dates, PACKED)
         return dates
 
