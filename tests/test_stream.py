@@ -6,6 +6,7 @@ from helpers import at, login_xml, rows, statement_xml
 from tracewell.model import LIVE_SESSIONS, RAW_EVENT, AuditConfig
 from tracewell.operators.analytics import find_missing_seq, numbered_statements
 from tracewell.plans.audit import audit_batch
+from tracewell.streaming import audit_stream as stream_module
 from tracewell.streaming.audit_stream import AuditStore, audit_stream
 
 COLUMNS = ["event_time", "epoch", "event_sequence", "session_id", "statement", "client_net_address", "client_app_name"]
@@ -279,3 +280,19 @@ def test_login_state_grows_by_what_a_batch_brings(spark, tmp_path, monkeypatch,
     if merge_every == 16:  # an increment holds the sessions and epochs of its batch only
         last = spark.read.parquet(str(tmp_path / "store" / "login_increments" / f"version={len(parts) - 1}"))
         assert 0 < last.count() < store.login_state().count()
+
+
+def test_a_late_restart_drafts_no_statements(spark, tmp_path, monkeypatch):
+    # The restart moves every statement to another epoch, so nothing said before can stand and the texts are written once.
+    drafts, inner = [], stream_module.write_and_read
+    monkeypatch.setattr(stream_module, "write_and_read", lambda df, *a: drafts.append(df.columns) or inner(df, *a))
+    incoming, store = str(tmp_path / "in"), AuditStore(spark, str(tmp_path / "store"))
+    live = spark.createDataFrame([(61, "p1", "h1")], LIVE_SESSIONS)
+    parts = [[statement_xml(7, at(1, 2), 60, "a"), statement_xml(8, at(1, 2), 61, "b")], [login_xml(1, at(1, 1), 60, "ann", "h", "app")]]
+    for offset, events in enumerate(parts):
+        raw = spark.createDataFrame([("T_0_1.xml", 10 - 5 * offset, x) for x in events], RAW_EVENT)
+        raw.coalesce(1).write.mode("append").parquet(incoming)
+        audit_stream(spark, incoming, store, live_sessions=live).awaitTermination()
+    assert rows(store.audit(), "statement", "client_net_address") == [("a", "h"), ("b", "(Cur)-> h1")]
+    assert [g for _, g in store.parts().live()][0].startswith("repair") and drafts
+    assert not any("statement" in columns for columns in drafts)

@@ -289,8 +289,10 @@ class AuditStore:
 
         own = spark.read.schema(_LOGIN_EVENTS).parquet(f"{self._at('logins')}/batch_id={batch_id}")
         own = assign_epoch(own, starts, self.config.initial_epoch).select(*CONNECTIONS.names)
+        work = new_work_path(spark, "logins")
         if late:
-            logins = self.logins(spark, starts)
+            # Dated and made distinct once: intervals, attribution and state all read them, some of them several times.
+            logins = write_and_read(self.logins(spark, starts), work)
         else:
             # What went before is needed only as the newest login per session and epoch, and of the sessions at hand.
             sessions = extract_statements(events).select("session_id").distinct()
@@ -312,6 +314,7 @@ class AuditStore:
             # Few files per date for a small batch, more for a large one.
             self.parts(spark).append(fresh.hint("rebalance", "event_date"), f"batch-{batch_id}")
         self._note_logins(spark, own, logins if late else None, batch_id)
+        tables.remove(spark, work)
 
         statements = written.get["statements"] if appended else None
         # Last of all, so that a batch counts as done only when all it writes is there.
@@ -384,22 +387,27 @@ class AuditStore:
         """Attribute again everything from file ``first`` on and replace the date partitions it touches, all at once."""
         events = spark.read.parquet(self._at("events")).where(F.col("file_name") >= first).drop("batch_id")
         stored = self.stored_audit(spark)
-        again = self._attributed(assign_epoch(events, starts, self.config.initial_epoch), logins, live_sessions)
+        dated = assign_epoch(events, starts, self.config.initial_epoch)
+        again = self._attributed(dated, logins, live_sessions)
         said = stored.where((F.col("file_name") >= first) & (F.col("source") == "live")).select(
             *AUDIT_KEY, F.struct("client_net_address", "client_app_name", "source").alias("said")
         )
-        again = again.join(said, AUDIT_KEY, "left").select("*", *(F.col("said")[c].alias(f"said_{c}") for c in _ANSWER))
-        again = _as_said(again, F.col("said").isNotNull())
-        work = new_work_path(spark, "late")
-        again = write_and_read(again.select(*_STORED_AUDIT.names), work)
+        # A row that moves to another epoch has another key. What can meet none is left out, and where nothing is left
+        # the statements are not shuffled for it.
+        work = new_work_path(spark, "said")
+        said = write_and_read(said.join(dated.select("epoch").distinct(), "epoch", "left_semi").select(*said.columns), work)
+        if not said.isEmpty():
+            again = again.join(said, AUDIT_KEY, "left").select("*", *(F.col("said")[c].alias(f"said_{c}") for c in _ANSWER))
+            again = _as_said(again, F.col("said").isNotNull())
         touched = (
-            again.select("event_date")
+            extract_statements(dated)
+            .select(_event_date().alias("event_date"))
             .union(stored.where(F.col("file_name") >= first).select("event_date"))
             .distinct()
         )
         # Rows of earlier files in those dates are kept. Dates are few, so this join moves nothing.
         kept = tables.touching(stored.where(F.col("file_name") < first), touched, "event_date")
-        whole = kept.select(*again.columns).unionByName(again).hint("rebalance", "event_date")
+        whole = kept.select(*_STORED_AUDIT.names).unionByName(again.select(*_STORED_AUDIT.names)).hint("rebalance", "event_date")
         self.parts(spark).replace(whole, f"repair-{batch_id}")
         tables.remove(spark, work)
 
@@ -434,11 +442,12 @@ class AuditStore:
 
         Only keys are read, of the sessions and of the range of (epoch, sequence) that the logins can reach.
         """
-        new = tables.not_stored(own, known, LOGIN_KEY)
+        drafts = [new_work_path(spark, "new_logins"), new_work_path(spark, "intervals")]
+        new = write_and_read(tables.not_stored(own, known, LOGIN_KEY), drafts[0])
         sessions = new.select("session_id").distinct()
         intervals = login_intervals(new, logins.join(sessions, "session_id", "left_semi"), self.config.bucket_rows)
-        work = new_work_path(spark, "intervals")
-        intervals = write_and_read(intervals, work)
+        intervals = write_and_read(intervals, drafts[1])
+        tables.remove(spark, drafts[0])
         place = F.struct("epoch", "event_sequence")
         # An instant goes to the driver and back as microseconds, whatever its zone there.
         bounds = intervals.agg(
