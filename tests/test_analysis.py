@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,44 @@ def test_split_batches_by_line_feeds_and_any_character(spark):
     ]
 
 
+def test_split_batches_of_odd_scripts(spark):
+    # No line becomes an element of an array: a script is cut by two patterns and each chunk by one pass over its mask.
+    scripts = {
+        1: "--GO\r\n--go e- x\n--GOTO\r\n\r\nb\r\n--GO", 2: "\n--GO\r\r\nGO\r\r\n GO \r\n\nGO", 3: "", 4: "x --GO\n'\nGO\n'\nGO -- c\n\tGO\nG\ngo",
+        5: "/* /* */\nGO\n*/\nGO\n--GO E+\n\n--GO E?\na--\n--GO E-",
+    }
+    got = reports.split_batches(spark.createDataFrame(list(scripts.items()), "id int, script string"), "id")
+    assert "lines" not in plan(got)
+    assert rows(got, "id", "chunk_no", "errors_muted", "batch_no", "batch") == sorted(
+        (i, *found) for i, script in scripts.items() for found in by_lines(script)
+    )
+
+
+def by_lines(script):
+    """chunk_no, errors_muted, batch_no, batch of a script, line by line."""
+    parts = re.split(r"(\r?\n)", script)
+    lines, runs, first = list(zip(parts[::2], [*parts[1::2], ""], strict=True)), [], 0
+    joined = lambda run: "".join(x + e for x, e in run[:-1]) + (run[-1][0] if run else "")
+    for i, (line, end) in enumerate([*lines, ("--GO", "")]):
+        if line.upper().startswith("--GO"):
+            runs.append((lines[first - 1][1] if first else "", lines[first:i], line))
+            first = i + 1
+    muted = False
+    for no, (begin, run, line) in enumerate(runs):
+        sign = re.match(r"--GO E([+-])", line.upper())
+        muted = sign.group(1) == "-" if sign else muted
+        text, batches, at = begin + joined(run), [], 0
+        pieces = re.split(r"(\r?\n)", text)
+        own = list(zip(pieces[::2], [*pieces[1::2], ""], strict=True))
+        copies = re.split(r"\r?\n", mask(text))
+        for i, (x, _) in enumerate(own):
+            if x.strip(" ").upper() == "GO" and x == copies[i]:
+                batches.append(joined(own[at:i]))
+                at = i + 1
+        for i, batch in enumerate([*batches, joined(own[at:])]):
+            yield no, muted, i, batch
+
+
 def test_templates_and_messages(spark):
     errors = spark.createDataFrame(
         [(1, 2, 3, 4, "p", "boom"), (1, 2, 3, None, None, "boom"), (1, 2, 3, 4, "p", None), (1, 2, 3, None, "#errstate#", "#ERRNUMBER#")],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.masking import masked
+from tracewell.functions.masking import go_batches, masked
 
 def alert_digest(log: DataFrame, n: int = 3, separator: str = "<br>", tie: str | None = None) -> DataFrame:
     """The last ``n`` log messages, newest first, in one text. ``n`` bounds what is gathered."""
@@ -36,40 +36,34 @@ def split_batches(scripts: DataFrame, key: str, text: str = "script") -> DataFra
     ``--GO E+`` reports them again. A later chunk begins with the break of the line that cut it off. Lines end in CRLF or LF; a batch keeps the breaks between its own lines. Cuts are
     line numbers, so no character of a script has a meaning of its own.
     """
-    lines = _lines(text)
-    marked = F.transform(lines, lambda x: F.upper(x["line"]).like("--GO%"))
-    runs = scripts.select(key, lines.alias("lines"), marked.alias("marked")).select(key, "lines", _runs("lines", "marked").alias("runs"))
+    marks = F.regexp_extract_all(text, F.lit(_MARK), F.lit(0))
+    cut = scripts.where(F.col(text).isNotNull()).select(key, F.split(text, _MARK).alias("texts"), marks.alias("marks"))
     # Each chunk gets its text and its switch before it becomes a row of its own: rows carry nothing of the rest of the script.
+    # The last chunk has no mark: its switch is that of the mark before it.
+    states = F.split(_filled(F.concat(F.array_join(F.transform("marks", _switch), ""), F.lit(" "))), "")
     chunks = F.zip_with(
-        F.transform("runs", lambda r, i: _chunk(r, i)),
-        F.split(_filled(F.array_join(F.transform("runs", _switch), "")), ""),
-        lambda c, state: F.struct(c["no"].alias("no"), c["text"].alias("text"), (state == "-").alias("muted")),
+        F.transform("texts", _chunk), states, lambda c, state: F.struct(c["no"].alias("no"), c["text"].alias("text"), (state == "-").alias("muted"))
     )
-    chunked = runs.select(key, F.explode(chunks).alias("c")).where("c.no IS NOT NULL").select(
+    chunked = cut.select(key, F.explode(chunks).alias("c")).where("c.no IS NOT NULL").select(
         key, F.col("c.no").alias("chunk_no"), F.coalesce("c.muted", F.lit(False)).alias("errors_muted"), F.col("c.text").alias("chunk")
     )
-    own = chunked.withColumn("mask", masked("chunk")).select(
-        key, "chunk_no", "errors_muted", _lines("chunk").alias("lines"), F.split("mask", "\r?\n").alias("masked")
-    )
-    go = F.zip_with(
-        "lines", "masked", lambda x, copy: (F.upper(F.trim(x["line"])) == "GO") & (x["line"] == copy)
-    )
-    cut = own.withColumn("go", F.transform(go, lambda x: F.coalesce(x, F.lit(False))))
-    batches = F.transform(_runs("lines", "go"), lambda r: _joined(F.col("lines"), r))
-    return cut.select(key, "chunk_no", "errors_muted", F.posexplode(batches).alias("batch_no", "batch"))
+    return chunked.select(key, "chunk_no", "errors_muted", F.posexplode(go_batches("chunk")).alias("batch_no", "batch"))
+
 
+#: A line that begins with --GO, with the break before it and without its own.
+_MARK = r"(?:\A|\r?\n)--[Gg][Oo][^\n]*?(?=\r?\n|\z)"
 
-def _chunk(run: Column, i: Column) -> Column:
-    """Number and text of a run of lines; after the first, with the break of the line that cut it off."""
-    cut_end = F.when(i > 0, F.get("lines", run["start"] - 1)["end"]).otherwise(F.lit(""))
-    return F.struct(i.alias("no"), F.concat(cut_end, _joined(F.col("lines"), run)).alias("text"))
 
+def _chunk(text: Column, i: Column) -> Column:
+    """Number and text of a chunk. Two marks in turn share a break, which is the text of the chunk between them."""
+    shared = F.regexp_extract(F.get("marks", i), r"\A(\r?\n)", 1)
+    return F.struct(i.alias("no"), F.when((i > 0) & (text == ""), F.coalesce(shared, F.lit(""))).otherwise(text).alias("text"))
 
-def _switch(run: Column) -> Column:
-    """+ or - where the line that ends a run switches the reporting of errors, else a blank."""
-    line = F.get("lines", run["start"] + run["n"])["line"]
-    sign = F.substring(line, 7, 1)
-    return F.when(F.upper(line).like("--GO E_%") & sign.isin("+", "-"), sign).otherwise(F.lit(" "))
+
+def _switch(mark: Column) -> Column:
+    """+ or - where a mark switches the reporting of errors, else a blank."""
+    sign = F.regexp_extract(mark, r"\A(?:\r?\n)?--[Gg][Oo] [Ee]([+-])", 1)
+    return F.when(sign != "", sign).otherwise(F.lit(" "))
 
 
 def _filled(signs: Column) -> Column:
@@ -78,29 +72,6 @@ def _filled(signs: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.repeat(F.substring(p, 1, 1), F.char_length(p))), "")
 
 
-def _lines(text: str) -> Column:
-    """line, end (its break, empty for the last) of each line."""
-    breaks = F.regexp_extract_all(text, F.lit("\r?\n"), F.lit(0))
-    return F.zip_with(
-        F.split(text, "\r?\n"), breaks, lambda x, y: F.struct(x.alias("line"), F.coalesce(y, F.lit("")).alias("end"))
-    )
-
-
-def _runs(lines: str, cuts: str) -> Column:
-    """start (lines before it), n: the runs of lines between those where ``cuts`` is true."""
-    at = F.filter(F.transform(cuts, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size(lines)))
-    pairs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(
-        (a + 1).alias("start"), (b - a - 1).alias("n")))
-    return pairs
-
-
-def _joined(lines: Column, run: Column) -> Column:
-    """Text of a run of lines, without the break after its last line."""
-    own = F.slice(lines, run["start"] + 1, run["n"])
-    return F.array_join(F.transform(own, lambda x, i: F.concat(x["line"], F.when(i < run["n"] - 1, x["end"]).otherwise(F.lit("")))), "")
-
-
 def sample_rows(df: DataFrame, key: str, fraction: float, first: int, required: str) -> DataFrame:
     """A repeatable sample by hash of ``key``; of it the first rows by key with ``required`` set, numbered."""
     edge = format(min(int(fraction * 16**8), 16**8 - 1), "08x")
