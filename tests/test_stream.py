@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -5,7 +6,9 @@ import pytest
 from helpers import at, login_xml, rows, statement_xml
 from tracewell.model import LIVE_SESSIONS, RAW_EVENT, AuditConfig
 from tracewell.operators.analytics import find_missing_seq, numbered_statements
+from tracewell.operators import events as events_module
 from tracewell.plans.audit import audit_batch
+from tracewell.sources.trace import parse_trace_events
 from tracewell.streaming import audit_stream as stream_module
 from tracewell.streaming.audit_stream import AuditStore, audit_stream
 
@@ -296,3 +299,23 @@ def test_a_late_restart_drafts_no_statements(spark, tmp_path, monkeypatch):
     assert rows(store.audit(), "statement", "client_net_address") == [("a", "h"), ("b", "(Cur)-> h1")]
     assert [g for _, g in store.parts().live()][0].startswith("repair") and drafts
     assert not any("statement" in columns for columns in drafts)
+
+
+def test_a_batch_decodes_its_logins_once(spark, tmp_path, monkeypatch):
+    calls, inner = [], events_module._decoded
+    monkeypatch.setattr(events_module, "_decoded", lambda flat: calls.append(1) or inner(flat))
+    two = json.dumps([{"LoginName": n, "LoginTime": "2024-03-01T01:00:00", "spid": s} for n, s in (("ann \U0001f600", 60), (None, 61))])
+    payloads = [two.encode("utf-16-le").hex(), "00D8", "5B0", "", "5B00\n", "3c00"]
+    logins = [login_xml(i + 2, at(1, 1), 0, "", user_data=p) for i, p in enumerate(payloads)]
+    flat = events_module.flatten_events(parse_trace_events(spark.createDataFrame([("T_0_1.xml", 1, x) for x in logins], RAW_EVENT)))
+    bad = ["event_sequence", "user_data", "reason"]
+    want = rows(events_module.decode_logins(flat), "login_name", "session_id"), rows(events_module.quarantined_logins(flat), *bad)
+    assert want[0] == [("ann \U0001f600", 60)] and {r[0]: r[2] for r in want[1]} == {
+        2: "login or session missing", 3: "not UTF-16LE hex", 4: "not UTF-16LE hex", 5: "not a JSON login", 6: "not UTF-16LE hex", 7: "not a JSON login"
+    }
+    calls.clear()
+    incoming, store = str(tmp_path / "in"), AuditStore(spark, str(tmp_path / "store"))
+    deliver(spark, incoming, "T_0_1.xml", logins)
+    audit_stream(spark, incoming, store).awaitTermination()
+    assert (rows(store.logins(), "login_name", "session_id"), rows(store.quarantine(), *bad)) == want
+    assert calls == [1]

@@ -23,6 +23,8 @@ ERROR_TEMPLATE_SHORT = " Msg: #ErrMessage# Error: #ErrNumber# Severity: #ErrSeve
 _UTF16LE_UNIT = (
     r"(?i)\G(?:[0-9A-F]{2}(?:[0-9A-CEF][0-9A-F]|D[0-7])|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F])"
 )
+# Units without any surrogate, in one match: each is of fixed length, so no match recurses.
+_PLAIN_UNITS = r"^(?:[0-9A-Fa-f]{2}(?![Dd][89A-Fa-f])[0-9A-Fa-f]{2})*+\z"
 
 
 def _col(c: str | Column) -> Column:
@@ -90,7 +92,8 @@ def existing_files(paths: DataFrame, listing: DataFrame, path: str = "path") ->
 def utf16_hex_to_text(hex_text: str | Column) -> Column:
     """Text held as the hex of UTF-16LE bytes; NULL when it is not that."""
     hex_text = _col(hex_text)
-    sound = F.regexp_replace(hex_text, _UTF16LE_UNIT, "") == ""
+    # Most texts have no surrogate pair; only the others are taken apart unit by unit.
+    sound = F.when(hex_text.rlike(_PLAIN_UNITS), F.lit(True)).otherwise(F.regexp_replace(hex_text, _UTF16LE_UNIT, "") == "")
     return F.when(sound, F.decode(F.unhex(hex_text), "UTF-16LE"))
 
 

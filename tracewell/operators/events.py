@@ -101,17 +101,36 @@ def decode_logins(flat: DataFrame) -> DataFrame:
 
 def quarantined_logins(flat: DataFrame) -> DataFrame:
     """Login events that name no login or session, with the step that failed."""
-    reason = (
+    return _quarantine(_decoded(flat).where(~_usable()).withColumn("reason", _reason()))
+
+
+def _reason():
+    return (
         F.when(F.col("user_data").isNull(), "no payload")
         .when(F.col("payload").isNull(), "not UTF-16LE hex")
         .when(F.coalesce("login_name", F.col("session_id").cast("string")).isNull(), "not a JSON login")
         .otherwise("login or session missing")
     )
-    return (
-        _decoded(flat)
-        .where(~_usable())
-        .select("file_name", "event_sequence", "event_time", "user_data", reason.alias("reason"))
-    )
+
+
+def _quarantine(decoded: DataFrame) -> DataFrame:
+    return decoded.select("file_name", "event_sequence", "event_time", "user_data", "reason")
+
+
+def judged_logins(flat: DataFrame) -> DataFrame:
+    """All login events decoded, to be written once: those of :func:`decode_logins` without a ``reason``, the others with theirs.
+
+    Payloads stay only where they could not be used.
+    """
+    reason = F.when(~_usable(), _reason())
+    return _decoded(flat).select(
+        "*", reason.alias("reason"), F.when(reason.isNotNull(), F.col("user_data")).alias("__payload")
+    ).drop("user_data", "payload").withColumnRenamed("__payload", "user_data")
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What :func:`decode_logins` and :func:`quarantined_logins` give, from logins that are decoded already."""
+    return judged.where("reason IS NULL").drop("user_data", "reason").distinct(), _quarantine(judged.where("reason IS NOT NULL"))
 
 
 def login_payloads(logins: DataFrame, sessions: DataFrame, out: str = "user_data") -> DataFrame:

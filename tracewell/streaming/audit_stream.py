@@ -42,7 +42,7 @@ from tracewell.model import (
 )
 from tracewell.operators.attribution import attribute_with_fallback, login_intervals, reattributed
 from tracewell.operators.epochs import assign_epoch, trace_starts
-from tracewell.operators.events import decode_logins, extract_statements, flatten_events, quarantined_logins
+from tracewell.operators.events import extract_statements, flatten_events, judged_logins, split_judged
 from tracewell.operators.lifecycle import lost_files, prune_connections, retain, retain_connections
 from tracewell.plans.audit import AUDIT_KEY, LOGIN_KEY
 from tracewell.session import new_work_path, write_and_read
@@ -283,9 +283,12 @@ class AuditStore:
         starts = self.state(spark, "starts", _STARTS, batch_id + 1)
 
         dated = assign_epoch(events, starts, self.config.initial_epoch)
-        found = decode_logins(events).select(*_LOGIN_EVENTS.names)
-        found.write.mode("overwrite").parquet(f"{self._at('logins')}/batch_id={batch_id}")
-        quarantined_logins(events).write.mode("overwrite").parquet(f"{self._at('quarantine')}/batch_id={batch_id}")
+        # Payloads are decoded once for both tables.
+        work = new_work_path(spark, "judged")
+        found, unusable = split_judged(write_and_read(judged_logins(events), work))
+        found.select(*_LOGIN_EVENTS.names).write.mode("overwrite").parquet(f"{self._at('logins')}/batch_id={batch_id}")
+        unusable.write.mode("overwrite").parquet(f"{self._at('quarantine')}/batch_id={batch_id}")
+        tables.remove(spark, work)
 
         own = spark.read.schema(_LOGIN_EVENTS).parquet(f"{self._at('logins')}/batch_id={batch_id}")
         own = assign_epoch(own, starts, self.config.initial_epoch).select(*CONNECTIONS.names)
